@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.packed_fields import packed_names
 from ..runtime import table
 from . import cooccurrence as co
+from . import tokenization
 
 
 def p2_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
@@ -23,6 +24,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_cooccurrence(spark, d).select("field_name", "item_a", "item_b")
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenization.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
