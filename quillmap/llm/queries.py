@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.packed_fields import packed_names
 from ..runtime import table
 from . import cooccurrence as co
-from . import tokenization
+from . import clusters, leakage, names, neighbours, tokenization
 
 
 def p2_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
@@ -24,10 +24,51 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_cooccurrence(spark, d).select("field_name", "item_a", "item_b")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "author_names")
+    return names.person_pairs(names.link_names(rows, "name_id", "author_name", "affiliation", "top_keyword", "first_year", "last_year"))
+
+
+#: Lengths of the vectors of intrinsic_vectors and som_neurons.
+VECTOR_DIM, NEURON_DIM = 24, 12
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest others of each usable vector, with distances."""
+    vectors = neighbours.nearest_ids(table(spark, d, "intrinsic_vectors"), "vec_id", "intrinsic_data", VECTOR_DIM)
+    neurons = neighbours.nearest_ids(table(spark, d, "som_neurons"), "neuron_id", "weights", NEURON_DIM)
+    return vectors.select(F.lit("vectors").alias("coll"), "*").unionByName(neurons.select(F.lit("neurons").alias("coll"), "*"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_neighbours(spark, d).select("coll", "vec_id", "near_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    vectors = clusters.groups(table(spark, d, "intrinsic_vectors"), "vec_id", "intrinsic_data", VECTOR_DIM)
+    neurons = clusters.groups(table(spark, d, "som_neurons"), "neuron_id", "weights", NEURON_DIM, "run_id")
+    both = vectors.select(F.lit("vectors").alias("coll"), "*").unionByName(neurons.select(F.lit("neurons").alias("coll"), "*"))
+    return both.where(F.col("id") != F.col("head")).select("coll", F.col("head").alias("head_id"), F.col("id").alias("member_id"))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical members of each group of intrinsic_vectors."""
+    rows = table(spark, d, "intrinsic_vectors")
+    return clusters.describe(rows, "vec_id", "intrinsic_data", clusters.groups(rows, "vec_id", "intrinsic_data", VECTOR_DIM), VECTOR_DIM)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenization.encode(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
