@@ -37,7 +37,7 @@ from ..runtime import spread
 
 #: Words of a shingle, share of an item's shingles a candidate must hold, share of its words a case
 #: must cover, share of own words in a stretch, items that make a sentence stock, items of a block.
-SHINGLE, ALPHA, COVER, OWN, STOCK, BLOCK_ITEMS = 3, 0.12, 0.48, 0.45, 5, 20_000
+SHINGLE, ALPHA, COVER, OWN, STOCK, BLOCK_ITEMS = 3, 0.12, 0.5, 0.45, 2, 20_000
 #: Words that may stand between two matches of one stretch.
 SLACK = 7
 #: Letters of other scripts that look like Latin ones, and letters without accents to fold.
@@ -249,7 +249,7 @@ def _stock(rows: list[tuple[int, str | None]]) -> tuple[set[tuple[str, ...]], di
         own = {tuple(words_of(s)) for s in _SENTENCE.split(text or "")}
         sentences.update(own)
         words.update({w for s in own for w in s})
-    return {s for s, n in sentences.items() if n >= STOCK}, dict(words)
+    return {s for s, n in sentences.items() if n >= STOCK and len(s) > 4}, dict(words)
 
 
 def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, block_items: int = BLOCK_ITEMS) -> DataFrame:
