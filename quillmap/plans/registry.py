@@ -1,24 +1,42 @@
-"""Registered queries of the core package and their SQL."""
+"""Registered queries of the core package and their SQL.
+
+Each module of this folder registers with `@query(name, sql)`: a function (spark, folder) -> DataFrame
+and the same result as SQL over the same tables, or no SQL where SQL cannot say it.
+"""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import packed_fields
-from ..runtime import table
-
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+MODULES = ("packed", "text")
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return packed_fields.split_packed_scopus(table(spark, d, "scopus_records"))
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"{__package__}.{m}")
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
