@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.packed_fields import packed_names
 from ..runtime import table
 from . import cooccurrence as co
-from . import clusters, leakage, names, neighbours, tokenization
+from . import clusters, leakage, matching, names, neighbours, subjects, tokenization
 
 
 def p2_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +24,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_cooccurrence(spark, d).select("field_name", "item_a", "item_b")
 
 
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Each pair of rows of one work with cosine, evidence and confidence."""
+    c = F.col
+    sem = table(spark, d, "semantic_records")
+    left = matching.fields(sem, "sem_id", 0, c("title"), c("doi"), c("extras")["PY"], c("extras")["AU"], c("extras")["SO"], F.array_join("keywords", ";"))
+    scopus = matching.fields(table(spark, d, "scopus_records"), "rec_id", 1, c("title"), c("doi"), c("pub_year"), c("authors"), c("source_title"), c("author_keywords"))
+    ris = matching.fields(table(spark, d, "ris_records"), "rec_id", 1, c("title"), c("doi"), c("pub_year"), F.array_join("authors", ";"), c("journal"), F.array_join("keywords", ";"))
+    return matching.match_records(left, scopus.unionByName(ris)).select(c("a").alias("sem_id"), c("b").alias("rec_id"), F.round("cosine", 6).alias("cosine"), F.round("evidence", 6).alias("evidence"), "confidence")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_matches(spark, d).select("sem_id", "rec_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "author_names")
     return names.person_pairs(names.link_names(rows, "name_id", "author_name", "affiliation", "top_keyword", "first_year", "last_year"))
@@ -69,6 +83,18 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).select("doc_id", "item_id")
 
 
+def p9_subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.assign(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_subjects(spark, d).select("doc_id", "subject")
+
+
+def p9_makeup(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.makeup(p9_subjects(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
