@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("packed", "text")
+MODULES = ("packed", "text", "networks", "indicators", "matrices", "maps", "semantic", "imports")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
