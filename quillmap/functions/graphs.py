@@ -94,7 +94,7 @@ def map_read_out(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) ->
 
     rows = nodes.select(F.col("term").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("weight"))
     rows = rows.unionByName(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
-    return rows.groupBy(F.lit(1)).applyInPandas(lambda pdf: work(pdf), "term string, cluster int, x double, y double")
+    return rows.groupBy().applyInPandas(lambda pdf: work(pdf), "term string, cluster int, x double, y double")
 
 
 def circular(nodes: DataFrame, scale: float = 500.0) -> DataFrame:

@@ -123,9 +123,9 @@ def bubble(df: DataFrame, value: str, low: float = 6.0, wide: float = 20.0) -> D
 def box(df: DataFrame, key: str, value: str) -> DataFrame:
     """key, low, q1, median, q3, high: the values of rank floor(n p). Ranks are counted, nothing is gathered."""
     own = Window.partitionBy(key)
-    r = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("v"), (F.row_number().over(own.orderBy(value)) - 1).alias("k"), F.count(F.lit(1)).over(own).alias("n"))
-    at = lambda p: F.max(F.when(F.col("k") == F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("v")))
-    return r.groupBy(key).agg(F.min("v").alias("low"), at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), F.max("v").alias("high"))
+    r = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("__v"), (F.row_number().over(own.orderBy(value)) - 1).alias("__k"), F.count(F.lit(1)).over(own).alias("__n"))
+    at = lambda p: F.max(F.when(F.col("__k") == F.least(F.floor(F.col("__n") * p), F.col("__n") - 1), F.col("__v")))
+    return r.groupBy(key).agg(F.min("__v").alias("low"), at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), F.max("__v").alias("high"))
 
 
 def clip_bounds(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:

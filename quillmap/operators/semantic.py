@@ -162,7 +162,7 @@ def manifold(data: DataFrame, near: DataFrame, k: int = 15, least: float = 0.1,
                 np.add.at(pos, i, np.clip(2 * diff / ((0.001 + d2) * (1 + d2)), -4, 4) * rate * 0.2)
         return pd.DataFrame({"id": pdf["id"], "x": pos[:, 0].round(6), "y": pos[:, 1].round(6)})
 
-    return rows.groupBy(F.lit(1)).applyInPandas(work, "id long, x double, y double")
+    return rows.groupBy().applyInPandas(work, "id long, x double, y double")
 
 
 def density_clusters(data: DataFrame, least: int, seed: int = 42) -> DataFrame:
@@ -180,7 +180,7 @@ def density_clusters(data: DataFrame, least: int, seed: int = 42) -> DataFrame:
             label = lloyd(x, min(5, max(2, len(x) // 20)), seed)
         return pd.DataFrame({"id": pdf["id"], "cluster": label.astype(np.int32)})
 
-    return data.groupBy(F.lit(1)).applyInPandas(work, "id long, cluster int")
+    return data.groupBy().applyInPandas(work, "id long, cluster int")
 
 
 def hdbscan(x: np.ndarray, least: int) -> np.ndarray:

@@ -138,7 +138,7 @@ def train_online(data: DataFrame, rows: int, cols: int, epochs: int, rate: float
                 k += 1
         return pd.DataFrame({"idx": np.arange(len(w), dtype=np.int32), "w": list(w)})
 
-    return data.groupBy(F.lit(1)).applyInPandas(work, "idx int, w array<double>")
+    return data.groupBy().applyInPandas(work, "idx int, w array<double>")
 
 
 def neurons_frame(spark: SparkSession, weights: np.ndarray, rows: int, cols: int) -> DataFrame:

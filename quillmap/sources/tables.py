@@ -19,8 +19,23 @@ from ..functions import text as T
 SCOPUS_COLUMNS = {"AU": "Authors", "TI": "Title", "PY": "Year", "SO": "Source title", "DE": "Author Keywords", "ID": "Index Keywords", "AB": "Abstract", "DI": "DOI", "TC": "Cited by", "UT": "EID", "C1": "Affiliations"}
 
 
-def head(spark: SparkSession, path: str, n: int = 15) -> list[str]:
-    return [r[0] for r in spark.read.text(path).limit(n).collect()]
+def head(spark: SparkSession, path: str, n: int = 15, most: int = 65_536) -> list[str]:
+    """The first lines of a file (or of the first file of a folder), from its first `most` bytes, byte-order mark included."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    if fs.getFileStatus(p).isDirectory():
+        found = sorted((f.getPath() for f in fs.listStatus(p) if f.isFile() and f.getPath().getName()[0] not in "._"), key=lambda q: q.getName())
+        if not found:
+            return []
+        p = found[0]
+    stream = fs.open(p)
+    try:
+        size = min(most, fs.getFileStatus(p).getLen())
+        data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(size)))
+    finally:
+        stream.close()
+    return data.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")[:n]
 
 
 def fields(line: str, sep: str = ",") -> list[str]:
