@@ -30,7 +30,7 @@ from ..runtime import materialize, spread
 from . import linkage
 
 #: Cosine of family names, evidence at which two rows are one person, mean similarity of a group.
-COSINE, EVIDENCE, LINK = 0.42, 2.5, 0.5
+COSINE, EVIDENCE, LINK = 0.33, 2.5, 0.5
 #: Words that open a family name, name suffixes, and words of no use in affiliations.
 PARTICLES = frozenset("de la da di del dos du van von der den el al bin ter ten le las los".split())
 SUFFIXES = frozenset("jr sr ii iii iv".split())
