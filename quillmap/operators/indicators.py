@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import global_rank, with_group, with_total
+
 
 def is_baseline(entity: Column) -> Column:
     return F.coalesce(F.contains(F.lower(entity), F.lit("baseline")), F.lit(False))
@@ -77,13 +79,14 @@ def growth(df: DataFrame, entity: str, t: str, value: str) -> DataFrame:
 
 def upper_median(df: DataFrame, value: str) -> DataFrame:
     """median: the value of rank floor(n / 2) from 0."""
-    ranked = df.select(value, (F.row_number().over(Window.orderBy(value)) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    return ranked.where(F.col("k") == F.floor(F.col("n") / 2)).select(F.col(value).alias("median"))
+    ranked = with_total(global_rank(df.select(F.col(value).alias("median")), "median", name="__k"), __n=F.count(F.lit(1)))
+    return ranked.where(F.col("__k") - 1 == F.floor(F.col("__n") / 2)).select("median")
 
 
 def stacked_share(df: DataFrame, t: str, value: str) -> DataFrame:
     """Adds percent: the row's part of its period's total; 0 where the total is 0."""
-    return df.withColumn("percent", F.round(ratio(F.col(value), F.sum(value).over(Window.partitionBy(t))) * 100, 6))
+    out = with_group(df, [t], __total=F.sum(value))
+    return out.withColumn("percent", F.round(ratio(F.col(value), F.col("__total")) * 100, 6)).drop("__total")
 
 
 def top_entities(df: DataFrame, indicator: str, entity: str, t: str, value: str, n: int = 20) -> DataFrame:
@@ -101,7 +104,7 @@ def non_zero(df: DataFrame, values: list[str]) -> DataFrame:
 def prefer(df: DataFrame, name: str, order: list[str]) -> DataFrame:
     """Adds place: preferred names first in their order, the others by name."""
     rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(o) for o in order]), F.col(name)), F.lit(0)), F.lit(999))
-    return df.withColumn("place", F.row_number().over(Window.orderBy(rank, name)))
+    return global_rank(df, rank, name, name="place")
 
 
 def fallback(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,20 +1,19 @@
 """Matrix normalisations, scalings and box statistics on long tables (row, feature, value).
 
 Nulls count as 0 (as an unreadable cell of a matrix does). A zero or missing divisor gives what each
-function says. Sums are windows over the feature or the row, so a matrix of any height is one
-shuffle; results are rounded to 6 digits where they are divided.
+function says. Statistics of a feature or row are aggregated on the map side and joined back, and
+ranks come from a range sort, so no feature, key or table is ever one task; results are rounded to 6
+digits where they are divided.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _over(key: str, f: Callable[[Column], Column]) -> Column:
-    return f(F.col("value")).over(Window.partitionBy(key))
+from ..runtime import global_rank, with_group, with_total
 
 
 def _or_one(c: Column) -> Column:
@@ -31,19 +30,19 @@ def fill(df: DataFrame) -> DataFrame:
 
 def div_max(df: DataFrame) -> DataFrame:
     """x / max of the column, a maximum of 0 counts as 1. p1: the maximum."""
-    m = _or_one(_over("feature", F.max))
-    return fill(df).withColumn("p1", m).withColumn("value", F.round(F.col("value") / F.col("p1"), 6))
+    out = with_group(fill(df), ["feature"], p1=_or_one(F.max("value")))
+    return out.withColumn("value", F.round(F.col("value") / F.col("p1"), 6))
 
 
 def min_max(df: DataFrame) -> DataFrame:
     """(x - min) / range, a range of 0 counts as 1. p1: minimum, p2: range."""
-    out = fill(df).withColumn("p1", _over("feature", F.min)).withColumn("p2", _or_one(_over("feature", F.max) - _over("feature", F.min)))
+    out = with_group(fill(df), ["feature"], p1=F.min("value"), p2=_or_one(F.max("value") - F.min("value")))
     return out.withColumn("value", F.round((F.col("value") - F.col("p1")) / F.col("p2"), 6))
 
 
 def z_score(df: DataFrame) -> DataFrame:
     """(x - mean) / population deviation, a deviation of 0 counts as 1. p1: mean, p2: deviation."""
-    out = fill(df).withColumn("p1", _over("feature", F.avg)).withColumn("p2", _or_one(F.round(_over("feature", F.stddev_pop), 9)))
+    out = with_group(fill(df), ["feature"], p1=F.avg("value"), p2=_or_one(F.round(F.stddev_pop("value"), 9)))
     return out.withColumn("value", F.round((F.col("value") - F.col("p1")) / F.col("p2"), 6)).withColumn("p1", F.round("p1", 6)).withColumn("p2", F.round("p2", 6))
 
 
@@ -79,16 +78,17 @@ def inclusion(df: DataFrame) -> DataFrame:
 
 
 def by_row(df: DataFrame) -> DataFrame:
-    return fill(df).withColumn("value", F.round(F.col("value") / _or_one(_over("row", F.sum)), 6))
+    return with_group(fill(df), ["row"], s=_or_one(F.sum("value"))).withColumn("value", F.round(F.col("value") / F.col("s"), 6)).drop("s")
 
 
 def by_column(df: DataFrame) -> DataFrame:
-    return fill(df).withColumn("value", F.round(F.col("value") / _or_one(_over("feature", F.sum)), 6))
+    return with_group(fill(df), ["feature"], s=_or_one(F.sum("value"))).withColumn("value", F.round(F.col("value") / F.col("s"), 6)).drop("s")
 
 
 def symmetric(df: DataFrame) -> DataFrame:
     """x / sqrt(row sum x column sum), 0 where that is 0."""
-    return fill(df).withColumn("value", F.round(_safe(F.col("value"), F.sqrt(_over("row", F.sum) * _over("feature", F.sum))), 6))
+    out = with_group(with_group(fill(df), ["row"], r=F.sum("value")), ["feature"], c=F.sum("value"))
+    return out.withColumn("value", F.round(_safe(F.col("value"), F.sqrt(F.col("r") * F.col("c"))), 6)).drop("r", "c")
 
 
 NORMALIZATIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -104,8 +104,8 @@ def normalize(df: DataFrame, how: str, *keys: str) -> DataFrame:
 
 def radar(df: DataFrame) -> DataFrame:
     """0 to 100 by the column's maximum, half rounded up; 0 where the maximum isn't above 0."""
-    top = _over("feature", F.max)
-    return fill(df).withColumn("value", F.when(top > 0, F.floor(F.col("value") / top * 100 + 0.5)).otherwise(F.lit(0)).cast("double"))
+    out = with_group(fill(df), ["feature"], top=F.max("value"))
+    return out.withColumn("value", F.when(F.col("top") > 0, F.floor(F.col("value") / F.col("top") * 100 + 0.5)).otherwise(F.lit(0)).cast("double")).drop("top")
 
 
 def heat(df: DataFrame) -> DataFrame:
@@ -116,31 +116,33 @@ def heat(df: DataFrame) -> DataFrame:
 
 def bubble(df: DataFrame, value: str, low: float = 6.0, wide: float = 20.0) -> DataFrame:
     """Adds radius: low + sqrt of the part of the maximum x wide."""
-    top = F.nullif(F.max(value).over(Window.partitionBy()), F.lit(0.0))
-    return df.withColumn("radius", F.round(low + F.sqrt(F.greatest(F.coalesce(F.try_divide(F.col(value), top), F.lit(0.0)), F.lit(0.0))) * wide, 6))
+    out = with_total(df, __top=F.nullif(F.max(value), F.lit(0.0)))
+    return out.withColumn("radius", F.round(low + F.sqrt(F.greatest(F.coalesce(F.try_divide(F.col(value), F.col("__top")), F.lit(0.0)), F.lit(0.0))) * wide, 6)).drop("__top")
 
 
 def box(df: DataFrame, key: str, value: str) -> DataFrame:
-    """key, low, q1, median, q3, high: the values of rank floor(n p). Ranks are counted, nothing is gathered."""
-    own = Window.partitionBy(key)
-    r = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("__v"), (F.row_number().over(own.orderBy(value)) - 1).alias("__k"), F.count(F.lit(1)).over(own).alias("__n"))
-    at = lambda p: F.max(F.when(F.col("__k") == F.least(F.floor(F.col("__n") * p), F.col("__n") - 1), F.col("__v")))
-    return r.groupBy(key).agg(F.min("__v").alias("low"), at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), F.max("__v").alias("high"))
+    """key, low, q1, median, q3, high: the values of rank floor(n p) of each key. Ranks come from one range sort by key
+    and value, so the rows of a key with a third of the table are sorted by many tasks; null keys and values don't count."""
+    rows = df.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(value).alias("__v"))
+    ranked = with_group(global_rank(rows, "__key", "__v", name="__r"), ["__key"], __first=F.min("__r"), __n=F.count(F.lit(1)))
+    k = F.col("__r") - F.col("__first")
+    at = lambda p: F.max(F.when(k == F.least(F.floor(F.col("__n") * p), F.col("__n") - 1), F.col("__v")))
+    return ranked.groupBy(F.col("__key").alias(key)).agg(F.min("__v").alias("low"), at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), F.max("__v").alias("high"))
 
 
 def clip_bounds(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """low, high: the values of rank floor(n p) of the finite values."""
-    finite = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    r = finite.select(F.col(value).alias("v"), (F.row_number().over(Window.orderBy(value)) - 1).alias("k"), n.alias("n"))
-    at = lambda p: F.max(F.when(F.col("k") == F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("v")))
+    finite = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))).select(F.col(value).alias("v"))
+    r = with_total(global_rank(finite, "v", name="k"), n=F.count(F.lit(1)))
+    at = lambda p: F.max(F.when(F.col("k") - 1 == F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("v")))
     return r.agg(at(low).alias("low"), at(high).alias("high"))
 
 
 def tiers(df: DataFrame, name: str, size: str) -> DataFrame:
-    """name, tier: 1 for the 16 largest, 2 to rank 46, 3 to rank 101, else 4; ties by name."""
-    k = F.row_number().over(Window.orderBy(F.desc(size), name))
-    return df.select(name, F.when(k <= 16, 1).when(k <= 46, 2).when(k <= 101, 3).otherwise(4).alias("tier"))
+    """name, tier: 1 for the 16 largest, 2 to rank 46, 3 to rank 101, else 4; ties by name. Only 101 rows are ranked."""
+    top = df.select(F.col(name).alias("__name"), F.col(size).alias("__size")).orderBy(F.desc("__size"), "__name").limit(101)
+    ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("__size")).alias("s"), "__name"))).alias("a")).select(F.posexplode("a").alias("k", "x")).select(F.col("x.__name").alias("__name"), F.when(F.col("k") < 16, 1).when(F.col("k") < 46, 2).otherwise(3).alias("__tier"))
+    return df.join(F.broadcast(ranked), F.col(name) == F.col("__name"), "left").select(name, F.coalesce("__tier", F.lit(4)).alias("tier"))
 
 
 def splat(points: DataFrame, x: str, y: str, value: str, width: int, height: int, sigma: float) -> DataFrame:
@@ -158,11 +160,9 @@ def splat(points: DataFrame, x: str, y: str, value: str, width: int, height: int
 
 def bounds(df: DataFrame, x: str, y: str, size: float = 1.0) -> DataFrame:
     """x, y moved and scaled to 0..size of the larger extent."""
-    w = Window.partitionBy()
-    lo_x, lo_y = F.min(x).over(w), F.min(y).over(w)
-    span = _or_one(F.greatest(F.max(x).over(w) - lo_x, F.max(y).over(w) - lo_y))
-    out = df.withColumn("_x", F.round((F.col(x) - lo_x) / span * size, 6)).withColumn("_y", F.round((F.col(y) - lo_y) / span * size, 6))
-    return out.drop(x, y).withColumnsRenamed({"_x": x, "_y": y})
+    box_ = with_total(df, __lx=F.min(x), __ly=F.min(y), __span=_or_one(F.greatest(F.max(x) - F.min(x), F.max(y) - F.min(y))))
+    moved = box_.withColumn("__x", F.round((F.col(x) - F.col("__lx")) / F.col("__span") * size, 6)).withColumn("__y", F.round((F.col(y) - F.col("__ly")) / F.col("__span") * size, 6))
+    return moved.drop(x, y, "__lx", "__ly", "__span").withColumnsRenamed({"__x": x, "__y": y})
 
 
 def drop_empty(df: DataFrame) -> DataFrame:

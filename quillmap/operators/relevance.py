@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import global_rank, with_group, with_total
 from . import network as N
 
 # Words that are no keyword of a title, English and Spanish.
@@ -24,9 +25,8 @@ def relevance(docs: DataFrame, least: int = 1) -> DataFrame:
     nodes = N.node_counts(docs)
     half = N.pairs(docs).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c"))
     both = half.unionAll(half.select("dst", "src", "c"))
-    total = F.sum("count").over(Window.partitionBy())
-    q = nodes.select(F.col("term").alias("dst"), (F.col("count") / total).alias("q"))
-    p = both.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy("src"))).join(q, "dst")
+    q = with_total(nodes, total=F.sum("count")).select(F.col("term").alias("dst"), (F.col("count") / F.col("total")).alias("q"))
+    p = with_group(both, ["src"], total=F.sum("c")).withColumn("p", F.col("c") / F.col("total")).join(q, "dst")
     score = p.groupBy(F.col("src").alias("term")).agg(F.round(F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))), 4).alias("score"))
     return nodes.select("term", "count").join(score, "term", "left").select("term", "count", F.coalesce("score", F.lit(0.0)).alias("score"))
 
@@ -35,9 +35,8 @@ def select_terms(scored: DataFrame, least: int, ratio: float) -> DataFrame:
     """The best floor(n ratio), at least one, of the n terms of `least` records or more; ties by term.
     Where no term is frequent enough all are kept."""
     eligible = scored.where(F.col("count") >= least)
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    k = F.row_number().over(Window.orderBy(F.desc("score"), "term"))
-    best = eligible.withColumn("n", n).withColumn("k", k).where(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("n") * ratio))).drop("n", "k")
+    ranked = with_total(global_rank(eligible, F.desc("score"), "term", name="k"), n=F.count(F.lit(1)))
+    best = ranked.where(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("n") * ratio))).drop("n", "k")
     none = eligible.limit(1).agg((F.count(F.lit(1)) == 0).alias("none"))
     return best.unionByName(scored.crossJoin(F.broadcast(none)).where("none").drop("none"))
 

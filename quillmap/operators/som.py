@@ -159,11 +159,15 @@ def hits(assigned: DataFrame, neurons: DataFrame) -> DataFrame:
     return all_.select("idx", part("n").alias("frequency"), part("e").alias("error"))
 
 
-def _neighbours(neurons: DataFrame, run: str) -> DataFrame:
-    """run, idx, w, nidx, nw: neurons of one run at a grid distance above 0 and under 1.85."""
-    other = neurons.select(F.col(run), F.col("idx").alias("nidx"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("w").alias("nw"))
+def _neighbours(neurons: DataFrame, run: str, reach: float = 1.85) -> DataFrame:
+    """run, idx, w, nidx, nw: neurons of one run at a grid distance above 0 and under reach. An equi-join on square
+    cells of that size and the eight around each, so a map of many neurons isn't paired with itself."""
+    cell = lambda c: F.floor(F.col(c) / reach).cast("int")
+    around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    a = neurons.select("*", cell("x").alias("_cx"), F.explode(around).alias("_dx")).select("*", (F.col("_cx") + F.col("_dx")).alias("_x"), cell("y").alias("_cy"), F.explode(around).alias("_dy")).withColumn("_y", F.col("_cy") + F.col("_dy"))
+    other = neurons.select(F.col(run), cell("x").alias("_x"), cell("y").alias("_y"), F.col("idx").alias("nidx"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("w").alias("nw"))
     d = F.sqrt((F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2)
-    return neurons.join(other, run).where((d > 0) & (d < 1.85))
+    return a.join(other, [run, "_x", "_y"]).where((d > 0) & (d < reach))
 
 
 def umatrix(neurons: DataFrame, run: str) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import indicators as I
 from ..operators import series as S
-from ..runtime import table
+from ..runtime import global_rank, table
 from .registry import query
 
 LINES = "lines AS (SELECT l_orderkey, sum(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY l_orderkey)"
@@ -142,13 +142,11 @@ def ts_smooth(spark, d):
     SELECT t || '_' || entity AS label, round(raw, 6) AS raw, round(e3, 6) AS ecma3, round(e5, 6) AS ecma5, row_number() OVER (ORDER BY t DESC, raw DESC, entity) AS place FROM e""",
 )
 def evolution_profile(spark, d):
-    from pyspark.sql import Window
-
     ind = indicator_table(spark, d)
     alive = ind.groupBy("entity").agg(F.sum("docs").alias("n")).where("n > 0")
     rows = S.smoothed(ind.join(alive.select("entity"), "entity", "left_semi"), ["entity"], "year", "docs")
-    place = F.row_number().over(Window.orderBy(F.desc("year"), F.desc("raw"), "entity"))
-    return rows.select(F.concat(F.col("year").cast("string"), F.lit("_"), "entity").alias("label"), "raw", "ecma3", "ecma5", place.alias("place"))
+    ranked = global_rank(rows, F.desc("year"), F.desc("raw"), "entity", name="place")
+    return ranked.select(F.concat(F.col("year").cast("string"), F.lit("_"), "entity").alias("label"), "raw", "ecma3", "ecma5", "place")
 
 
 @query("cma_smooth", f"""WITH {IND}, s AS (SELECT entity, year, CAST(docs AS DOUBLE) AS v, row_number() OVER (PARTITION BY entity ORDER BY year) - 1 AS i, count(*) OVER (PARTITION BY entity) AS n FROM ind)
@@ -170,12 +168,10 @@ def series_pivot(spark, d):
     return indicator_table(spark, d).groupBy("year").pivot("entity", names).agg(F.sum("docs")).na.fill(0, names)
 
 
-@query("bar_ranking", f"WITH {IND} SELECT entity, docs, CAST(row_number() OVER (ORDER BY docs DESC, entity) AS INTEGER) AS place FROM ind WHERE year = 1997 AND docs > 0")
+@query("bar_ranking", f"WITH {IND} SELECT entity, docs, row_number() OVER (ORDER BY docs DESC, entity) AS place FROM ind WHERE year = 1997 AND docs > 0")
 def bar_ranking(spark, d):
-    from pyspark.sql import Window
-
-    rows = indicator_table(spark, d).where("year = 1997 and docs > 0")
-    return rows.select("entity", "docs", F.row_number().over(Window.orderBy(F.desc("docs"), "entity")).alias("place"))
+    rows = indicator_table(spark, d).where("year = 1997 and docs > 0").select("entity", "docs")
+    return global_rank(rows, F.desc("docs"), "entity", name="place")
 
 
 @query("entity_limit", f"WITH {IND} SELECT entity, sum(cited) AS cited FROM ind GROUP BY entity ORDER BY cited DESC, entity LIMIT 10")
@@ -183,7 +179,7 @@ def entity_limit(spark, d):
     return indicator_table(spark, d).groupBy("entity").agg(F.sum("cited").alias("cited")).orderBy(F.desc("cited"), "entity").limit(10)
 
 
-@query("unit_order", "SELECT r_name AS unit, CAST(row_number() OVER (ORDER BY CASE r_name WHEN 'EUROPE' THEN 1 WHEN 'ASIA' THEN 2 ELSE 999 END, r_name) AS INTEGER) AS place FROM region")
+@query("unit_order", "SELECT r_name AS unit, row_number() OVER (ORDER BY CASE r_name WHEN 'EUROPE' THEN 1 WHEN 'ASIA' THEN 2 ELSE 999 END, r_name) AS place FROM region")
 def unit_order(spark, d):
     return I.prefer(table(spark, d, "region").select(F.col("r_name").alias("unit")), "unit", ["EUROPE", "ASIA"])
 

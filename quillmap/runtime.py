@@ -55,3 +55,31 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
 def norm_blank(c):
     """Lower case, outer white space gone, inner white space one blank."""
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)\s+", " "), r"^ | $", "")
+
+
+def global_rank(df: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """Adds the row number from 1 in the given order over all rows, without one task that sees them all: a range sort,
+    a place within each sorted partition, and the sizes of the partitions before it (a row per partition)."""
+    held = materialize(df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("__m", 33)
+    sizes = held.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.withColumnsRenamed({"__p": "__q", "__n": "__k"})
+    starts = sizes.join(F.broadcast(before), F.col("__q") < F.col("__p"), "left").groupBy("__p").agg(F.coalesce(F.sum("__k"), F.lit(0)).alias("__s"))
+    return held.join(F.broadcast(starts), part == F.col("__p")).withColumn(name, F.col("__s") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__m", "__p", "__s")
+
+
+def with_total(df: DataFrame, **aggregates) -> DataFrame:
+    """Adds aggregates over all rows as columns: one partially aggregated row, sent to the rows it belongs to."""
+    one = df.agg(*[a.alias(n) for n, a in aggregates.items()])
+    return df.crossJoin(F.broadcast(one))
+
+
+def with_group(df: DataFrame, keys: list[str], **aggregates) -> DataFrame:
+    """Adds aggregates per group as columns: summed on the map side and joined back, so that a group with a third of all
+    rows is spread over tasks (as a window over it would not be). Null keys are a group."""
+    g = df.groupBy(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)]).agg(*[a.alias(n) for n, a in aggregates.items()])
+    on = None
+    for i, k in enumerate(keys):
+        c = F.col(k).eqNullSafe(F.col(f"__{i}"))
+        on = c if on is None else on & c
+    return df.join(g, on).drop(*[f"__{i}" for i in range(len(keys))])
