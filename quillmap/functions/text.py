@@ -77,23 +77,29 @@ def clean_scientific(c: Column, notices: bool = True, headings: bool = True) ->
 
 def singular(term: Column) -> Column:
     """The last word of a lower-case term in the singular, by irregular forms, then endings."""
-    head, last = F.regexp_extract(term, r"(?s)^(.* )?([^ ]*)$", 1), F.regexp_extract(term, r"(?s)^(.* )?([^ ]*)$", 2)
-    cut = lambda n: F.substring(last, F.lit(1), F.length(last) - n)
     irregular = F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv])
-    regular = (
-        F.when(F.length(last) <= 4, last)
-        .when(last.rlike("ies$") & ~last.rlike("eies$"), F.concat(cut(3), F.lit("y")))
-        .when(last.rlike("ses$") & ~last.rlike("sses$"), cut(2))
-        .when(last.rlike("(ches|shes|xes|zes)$"), cut(2))
-        .when(last.rlike("s$") & ~last.rlike("(ss|us|is|as)$"), cut(1))
-        .otherwise(last)
-    )
-    return F.concat(head, F.coalesce(F.try_element_at(irregular, last), regular))
+
+    def one(w: Column) -> Column:
+        ends = lambda *e: reduce(lambda x, y: x | y, [F.endswith(w, F.lit(v)) for v in e])
+        cut = lambda n: F.substring(w, F.lit(1), F.length(w) - n)
+        return (
+            F.when(w.isin(list(IRREGULAR)), F.try_element_at(irregular, w))
+            .when((F.length(w) <= 4) | ~ends("s"), w)
+            .when(ends("ies") & ~ends("eies"), F.concat(cut(3), F.lit("y")))
+            .when(ends("ses") & ~ends("sses"), cut(2))
+            .when(ends("ches", "shes", "xes", "zes"), cut(2))
+            .when(~ends("ss", "us", "is", "as"), cut(1))
+            .otherwise(w)
+        )
+
+    # a one-element array binds the last word, which is then evaluated once
+    last = F.substring_index(term, " ", -1)
+    return F.transform(F.array(last), lambda w: F.concat(F.substring(term, F.lit(1), F.length(term) - F.length(w)), one(w)))[0]
 
 
 def noun_phrases(text: Column) -> Column:
     """Runs of up to three content words of each sentence, singular, longer than two letters."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS + GENERAL])
+    is_stop = lambda w: w.isin(STOPWORDS + GENERAL)  # noqa: E731  a hash set once optimised
     sentences = F.split(clean_scientific(text), r"[.!?;\n]+")
 
     def chunks(sentence: Column) -> Column:
@@ -103,7 +109,7 @@ def noun_phrases(text: Column) -> Column:
         def step(s: Column, t: Column) -> Column:
             low, cur = F.lower(t), s["cur"]
             out = F.when(F.size(cur) > 0, F.array_append(s["out"], F.array_join(cur, " "))).otherwise(s["out"])
-            skip = F.array_contains(stop, low) | ((F.length(t) == 1) & (t == low))
+            skip = is_stop(low) | ((F.length(t) == 1) & (t == low))
             grows = (F.size(cur) > 0) & (F.size(cur) < 3) & (F.length(t) > 1)
             return (
                 F.when(skip, F.struct(out.alias("out"), none.alias("cur")))
@@ -112,7 +118,7 @@ def noun_phrases(text: Column) -> Column:
             )
 
         done = F.aggregate(tokens, F.struct(none.alias("out"), none.alias("cur")), step, lambda s: F.when(F.size(s["cur"]) > 0, F.array_append(s["out"], F.array_join(s["cur"], " "))).otherwise(s["out"]))
-        return F.filter(F.transform(done, singular), lambda p: (F.length(p) > 2) & ~F.array_contains(stop, p))
+        return F.filter(F.transform(done, singular), lambda p: (F.length(p) > 2) & ~is_stop(p))
 
     return F.flatten(F.transform(sentences, chunks))
 

@@ -28,21 +28,21 @@ def fill(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.coalesce(F.col("value").cast("double"), F.lit(0.0)))
 
 
-def div_max(df: DataFrame) -> DataFrame:
+def div_max(df: DataFrame, *keys: str) -> DataFrame:
     """x / max of the column, a maximum of 0 counts as 1. p1: the maximum."""
-    out = with_group(fill(df), ["feature"], p1=_or_one(F.max("value")))
+    out = with_group(fill(df), [*keys, "feature"], p1=_or_one(F.max("value")))
     return out.withColumn("value", F.round(F.col("value") / F.col("p1"), 6))
 
 
-def min_max(df: DataFrame) -> DataFrame:
+def min_max(df: DataFrame, *keys: str) -> DataFrame:
     """(x - min) / range, a range of 0 counts as 1. p1: minimum, p2: range."""
-    out = with_group(fill(df), ["feature"], p1=F.min("value"), p2=_or_one(F.max("value") - F.min("value")))
+    out = with_group(fill(df), [*keys, "feature"], p1=F.min("value"), p2=_or_one(F.max("value") - F.min("value")))
     return out.withColumn("value", F.round((F.col("value") - F.col("p1")) / F.col("p2"), 6))
 
 
-def z_score(df: DataFrame) -> DataFrame:
+def z_score(df: DataFrame, *keys: str) -> DataFrame:
     """(x - mean) / population deviation, a deviation of 0 counts as 1. p1: mean, p2: deviation."""
-    out = with_group(fill(df), ["feature"], p1=F.avg("value"), p2=_or_one(F.round(F.stddev_pop("value"), 9)))
+    out = with_group(fill(df), [*keys, "feature"], p1=F.avg("value"), p2=_or_one(F.round(F.stddev_pop("value"), 9)))
     return out.withColumn("value", F.round((F.col("value") - F.col("p1")) / F.col("p2"), 6)).withColumn("p1", F.round("p1", 6)).withColumn("p2", F.round("p2", 6))
 
 
@@ -52,54 +52,55 @@ def revert(df: DataFrame, how: str) -> DataFrame:
     return df.withColumn("value", F.round(back, 3)).drop("p1", "p2")
 
 
-def _diagonal(df: DataFrame, f: Callable[[Column, Column, Column], Column], one: bool = True) -> DataFrame:
+def _diagonal(df: DataFrame, keys: tuple[str, ...], f: Callable[[Column, Column, Column], Column]) -> DataFrame:
     """Cells c_ij with the diagonals c_ii, c_jj; a zero denominator gives 0, the diagonal 1."""
     cells = fill(df)
-    diag = cells.where("row = feature").select(F.col("row").alias("k"), F.col("value").alias("d"))
-    both = cells.join(diag.withColumnsRenamed({"k": "row", "d": "di"}), "row", "left").join(diag.withColumnsRenamed({"k": "feature", "d": "dj"}), "feature", "left")
+    diag = cells.where("row = feature").select(*keys, F.col("row").alias("k"), F.col("value").alias("d"))
+    both = cells.join(diag.withColumnsRenamed({"k": "row", "d": "di"}), [*keys, "row"], "left").join(diag.withColumnsRenamed({"k": "feature", "d": "dj"}), [*keys, "feature"], "left")
     value = _safe(F.col("value"), f(F.col("value"), F.coalesce("di", F.lit(0.0)), F.coalesce("dj", F.lit(0.0))))
-    return both.select("row", "feature", F.round(F.when(F.lit(one) & (F.col("row") == F.col("feature")), 1.0).otherwise(value), 6).alias("value"))
+    return both.select(*keys, "row", "feature", F.round(F.when(F.col("row") == F.col("feature"), 1.0).otherwise(value), 6).alias("value"))
 
 
-def cosine(df: DataFrame) -> DataFrame:
-    return _diagonal(df, lambda c, a, b: F.sqrt(a * b))
+def cosine(df: DataFrame, *keys: str) -> DataFrame:
+    return _diagonal(df, keys, lambda c, a, b: F.sqrt(a * b))
 
 
-def association(df: DataFrame) -> DataFrame:
-    return _diagonal(df, lambda c, a, b: a * b)
+def association(df: DataFrame, *keys: str) -> DataFrame:
+    return _diagonal(df, keys, lambda c, a, b: a * b)
 
 
-def jaccard(df: DataFrame) -> DataFrame:
-    return _diagonal(df, lambda c, a, b: a + b - c)
+def jaccard(df: DataFrame, *keys: str) -> DataFrame:
+    return _diagonal(df, keys, lambda c, a, b: a + b - c)
 
 
-def inclusion(df: DataFrame) -> DataFrame:
-    return _diagonal(df, lambda c, a, b: F.least(a, b))
+def inclusion(df: DataFrame, *keys: str) -> DataFrame:
+    return _diagonal(df, keys, lambda c, a, b: F.least(a, b))
 
 
-def by_row(df: DataFrame) -> DataFrame:
-    return with_group(fill(df), ["row"], s=_or_one(F.sum("value"))).withColumn("value", F.round(F.col("value") / F.col("s"), 6)).drop("s")
+def by_row(df: DataFrame, *keys: str) -> DataFrame:
+    return with_group(fill(df), [*keys, "row"], s=_or_one(F.sum("value"))).withColumn("value", F.round(F.col("value") / F.col("s"), 6)).drop("s")
 
 
-def by_column(df: DataFrame) -> DataFrame:
-    return with_group(fill(df), ["feature"], s=_or_one(F.sum("value"))).withColumn("value", F.round(F.col("value") / F.col("s"), 6)).drop("s")
+def by_column(df: DataFrame, *keys: str) -> DataFrame:
+    return with_group(fill(df), [*keys, "feature"], s=_or_one(F.sum("value"))).withColumn("value", F.round(F.col("value") / F.col("s"), 6)).drop("s")
 
 
-def symmetric(df: DataFrame) -> DataFrame:
+def symmetric(df: DataFrame, *keys: str) -> DataFrame:
     """x / sqrt(row sum x column sum), 0 where that is 0."""
-    out = with_group(with_group(fill(df), ["row"], r=F.sum("value")), ["feature"], c=F.sum("value"))
+    out = with_group(with_group(fill(df), [*keys, "row"], r=F.sum("value")), [*keys, "feature"], c=F.sum("value"))
     return out.withColumn("value", F.round(_safe(F.col("value"), F.sqrt(F.col("r") * F.col("c"))), 6)).drop("r", "c")
 
 
-NORMALIZATIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
+NORMALIZATIONS: dict[str, Callable[..., DataFrame]] = {
     "div_max": div_max, "min_max": min_max, "z_score": z_score, "cooc_cosine": cosine, "cooc_association": association, "cooc_jaccard": jaccard,
     "cooc_inclusion": inclusion, "bipartite_row": by_row, "bipartite_col": by_column, "bipartite_sym": symmetric,
 }
 
 
 def normalize(df: DataFrame, how: str, *keys: str) -> DataFrame:
-    """By name; an unknown name leaves the matrix as it is."""
-    return NORMALIZATIONS.get(how, fill)(df)
+    """By name; an unknown name leaves the matrix as it is. keys (a year, say) keep several matrices of one table
+    apart, so that a stack of yearly matrices is normalised in one plan."""
+    return NORMALIZATIONS[how](df, *keys) if how in NORMALIZATIONS else fill(df)
 
 
 def radar(df: DataFrame) -> DataFrame:

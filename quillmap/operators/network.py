@@ -167,3 +167,9 @@ def merge_small(label: DataFrame, edges: DataFrame, least: int) -> DataFrame:
     ranked = new.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     number = ranked.select("cluster", F.row_number().over(Window.orderBy(F.desc("n"), "cluster")).alias("k"))
     return new.join(number, "cluster").select("term", F.col("k").alias("cluster"))
+
+
+def compose(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Edges of both networks; where both have an edge the second's weight holds."""
+    b = second.select("src", "dst", F.col("weight").alias("__w"))
+    return first.select("src", "dst", "weight").join(b, ["src", "dst"], "full").select("src", "dst", F.coalesce("__w", "weight").alias("weight"))

@@ -52,6 +52,20 @@ def neighbours(data: DataFrame, k: int) -> DataFrame:
     return found.groupBy(F.col("q").alias("id")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
 
+def embed_texts(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
+    """id, vec: hashed words and word pairs weighted by rarity, of length 1; the stand-in where no text model is at hand.
+    Null and empty texts give vectors of zeros."""
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) > 1)
+    pairs = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1)))
+    rows = df.select(F.col(id_col).alias("id"), words.alias("w")).select("id", F.concat("w", pairs).alias("w"))
+    tf = HashingTF(numFeatures=dim, inputCol="w", outputCol="tf").transform(rows)
+    weighed = IDF(inputCol="tf", outputCol="f").fit(tf).transform(tf)
+    return Normalizer(inputCol="f", outputCol="u").transform(weighed).select("id", vector_to_array("u").alias("vec"))
+
+
 def _d(near: Column) -> Column:
     return F.transform(near, lambda x: x["d"])
 

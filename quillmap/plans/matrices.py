@@ -35,6 +35,20 @@ def norm_div_max(spark, d):
     return M.normalize(matrix(spark, d), "div_max")
 
 
+@query(
+    "norm_by_year",
+    """WITH mat AS (SELECT year(o_orderdate) AS year, n_name AS row, o_orderpriority AS feature, CAST(count(*) AS DOUBLE) AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+    m AS (SELECT *, max(value) OVER (PARTITION BY year, feature) AS p1 FROM mat) SELECT year || '_' || row AS label, feature, round(value / p1, 6) AS value FROM m""",
+)
+def norm_by_year(spark, d):
+    """The stack of yearly matrices, each normalised by itself, with year_entity labels."""
+    c, n = table(spark, d, "customer").select("c_custkey", "c_nationkey"), table(spark, d, "nation").select("n_nationkey", "n_name")
+    o = table(spark, d, "orders").select("o_custkey", "o_orderpriority", F.year("o_orderdate").alias("year"))
+    rows = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    cells = rows.groupBy("year", F.col("n_name").alias("row"), F.col("o_orderpriority").alias("feature")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return M.normalize(cells, "div_max", "year").select(F.concat(F.col("year").cast("string"), F.lit("_"), "row").alias("label"), "feature", "value")
+
+
 @query("norm_min_max", f"WITH {MAT}, m AS (SELECT *, min(value) {_W} AS p1, max(value) {_W} - min(value) {_W} AS r FROM mat) SELECT row, feature, round((value - p1) / CASE WHEN r = 0 THEN 1 ELSE r END, 6) AS value, p1, CASE WHEN r = 0 THEN 1 ELSE r END AS p2 FROM m")
 def norm_min_max(spark, d):
     return M.normalize(matrix(spark, d), "min_max")

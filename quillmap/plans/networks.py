@@ -252,3 +252,27 @@ def map_items(spark, d):
     docs = keywords(spark, d).cache()
     top = N.top_nodes(N.node_counts(docs), 50)
     return map_lines(top, N.link_strength(N.induced(N.cooccurrence(docs), top), top))
+
+
+@query(
+    "network_compose",
+    f"""WITH {DT}, f AS (SELECT a.term AS src, b.term AS dst, CAST(count(*) AS DOUBLE) AS w FROM dt a JOIN dt b ON a.rec = b.rec AND a.term < b.term GROUP BY ALL), s AS (SELECT src, dst, w * 10 AS w FROM f WHERE w >= 2)
+    SELECT f.src, f.dst, coalesce(s.w, f.w) AS weight FROM f LEFT JOIN s USING (src, dst)""",
+)
+def network_compose(spark, d):
+    edges = N.cooccurrence(keywords(spark, d)).cache()
+    return N.compose(edges, edges.where("weight >= 2").withColumn("weight", F.col("weight") * 10))
+
+
+@query("label_exclusion", f"WITH {DT}, {NODES} SELECT term, count FROM nodes WHERE contains(term, 'rate') AND term NOT IN (SELECT term FROM nodes WHERE contains(term, 'rate') AND count = 1)")
+def label_exclusion(spark, d):
+    """Nodes found by a search, without an excluded list (an anti-join)."""
+    nodes = N.node_counts(keywords(spark, d)).where(F.contains("term", F.lit("rate"))).cache()
+    return nodes.join(nodes.where("count = 1").select("term"), "term", "left_anti")
+
+
+@query("network_lines", f"WITH {DT}, {PAIRS}, {FULL} SELECT concat_ws(chr(9), src, dst, printf('%.4f', weight)) AS line FROM edges")
+def network_lines(spark, d):
+    from ..sources.sinks import link_lines
+
+    return link_lines(N.cooccurrence(keywords(spark, d)))

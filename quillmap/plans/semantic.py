@@ -117,3 +117,8 @@ def cluster_medians(spark, d):
 def centroid_titles(spark, d):
     v = table(spark, d, "intrinsic_vectors").select(F.col("vec_id").alias("id"), F.col("clustering").alias("grp")).where("grp is not null")
     return S.nearest_titles(vectors(spark, d).join(v, "id"), "grp")
+
+
+@query("embed_titles")
+def embed_titles(spark, d):
+    return S.embed_texts(table(spark, d, "semantic_records"), "sem_id", "title")

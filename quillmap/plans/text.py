@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import thesaurus as th
-from ..runtime import table
+from ..runtime import spread, table
 from .registry import query
 
 _SPLIT = "[trim(x) for x in string_split(lower({c}), ';') if trim(x) <> '']"
@@ -52,7 +52,7 @@ def markup_strip(spark, d):
 
 @query("text_clean", f"SELECT doc_id, {sql_clean('text')} AS text FROM documents")
 def text_clean(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.clean_scientific(F.col("text")).alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.clean_scientific(F.col("text")).alias("text"))
 
 
 @query("singularize", f"SELECT term, {sql_singular('term')} AS singular FROM (SELECT DISTINCT unnest({_SPLIT.format(c='author_keywords')}) AS term FROM scopus_records)")
@@ -73,7 +73,7 @@ PHRASES_SQL = rf"""
 
 @query("noun_phrases", f"WITH texts AS (SELECT sem_id AS id, abstract AS text FROM semantic_records), {PHRASES_SQL} SELECT id AS sem_id, term, count(*) AS n FROM phrases GROUP BY id, term")
 def noun_phrases(spark, d):
-    rows = table(spark, d, "semantic_records").select("sem_id", F.explode(T.noun_phrases(F.col("abstract"))).alias("term"))
+    rows = spread(table(spark, d, "semantic_records").select("sem_id", "abstract")).select("sem_id", F.explode(T.noun_phrases(F.col("abstract"))).alias("term"))
     return rows.groupBy("sem_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 

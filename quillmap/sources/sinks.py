@@ -24,9 +24,14 @@ def map_lines(nodes: DataFrame, strength: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws("\t", *parts).alias("line"))
 
 
+def link_lines(edges: DataFrame) -> DataFrame:
+    """line: source, target, strength, tab-separated."""
+    return edges.select(F.concat_ws("\t", F.col("src").cast("string"), F.col("dst").cast("string"), F.format_string("%.4f", F.col("weight").cast("double"))).alias("line"))
+
+
 def network_json(items: DataFrame, links: DataFrame) -> DataFrame:
     """json: one document of a bounded map; items (id, label, x, y, cluster, weights, scores), links (source_id, target_id, strength)."""
-    a = items.agg(F.array_sort(F.collect_list(F.struct("id", "label", "x", "y", "cluster", "weights", "scores"))).alias("items")) if "weights" not in dict(items.dtypes) or not dict(items.dtypes)["weights"].startswith("map") else items.agg(F.collect_list(F.struct("id", "label", "x", "y", "cluster", "weights", "scores")).alias("items"))
+    a = items.agg(F.collect_list(F.struct("id", "label", "x", "y", "cluster", "weights", "scores")).alias("items"))
     b = links.agg(F.array_sort(F.collect_list(F.struct("source_id", "target_id", "strength"))).alias("links"))
     return a.crossJoin(b).select(F.to_json(F.struct(F.struct("items", "links").alias("network"))).alias("json"))
 
