@@ -3,10 +3,12 @@
 Fit, on a bounded sample: the sample's neighbour graph is cut into balanced parts (capacity-bound
 label propagation from spread-out seeds), and a small softmax classifier learns the part of a
 vector. Every row is then indexed under its most probable part, and every row, as a query, is
-routed to the `probes` most probable parts, where distances are exact. Each part keeps a few
-balls (centre, radius over all its rows); a part none of whose balls reaches the query's k-th
-distance cannot hold a nearer row, and the parts that could are searched in a second pass. So the
-result is exact; the second pass is short where the parts follow the data's groups.
+routed to the `probes` most probable parts, where distances are exact. Each part keeps a number of
+balls, and the rows of a ball lie in rings around its centre (least and greatest distance, over all
+rows). By the triangle inequality a ring farther from the query than its k-th distance holds no
+nearer row; where some ring may, its part is searched in a second pass, the inner rings and the
+scattered rows beyond them by themselves. So the result is exact, and the second pass is short
+where the parts follow the data's groups.
 
 Rows of a part are split into tiles of bounded size (row blocks by query blocks), so a part that
 holds a third of all rows is many tasks, not one. Equal vectors are searched once.
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize, spread
 
-#: Rows of the sample, neighbours in its graph, parts, balls of a part, parts probed, rows of a tile.
-SAMPLE, GRAPH_K, PARTS, BALLS, PROBES, TILE = 6_000, 8, 48, 16, 3, 4_096
+#: Rows of the sample, neighbours in its graph, parts, balls of a part, rings of a ball, parts probed, rows of a tile.
+SAMPLE, GRAPH_K, PARTS, BALLS, RINGS, PROBES, TILE = 6_000, 8, 48, 64, 8, 3, 4_096
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -140,8 +142,8 @@ class Router:
         return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
 
 
-def _fit(rows: DataFrame, sample: int, parts: int) -> tuple[Router, np.ndarray, np.ndarray]:
-    """Router, ball centres and the part of each ball, from at most `sample` rows chosen by hash."""
+def _fit(rows: DataFrame, sample: int, parts: int) -> tuple[Router, np.ndarray, np.ndarray, np.ndarray]:
+    """Router, ball centres, the part of each ball and its inner radius, from at most `sample` rows chosen by hash."""
     got = rows.select("id", "vec").orderBy(F.xxhash64("id")).limit(sample).toPandas()
     x = np.array(got["vec"].tolist(), np.float64)
     parts = max(1, min(parts, len(x) // 8))
@@ -149,7 +151,7 @@ def _fit(rows: DataFrame, sample: int, parts: int) -> tuple[Router, np.ndarray,
     parts = int(part.max()) + 1
     router = Router(x, part, parts)
     part = router.ranked(x, 1)[:, 0]
-    rng, centres, of = np.random.default_rng(11), [], []
+    rng, centres, of, wide = np.random.default_rng(11), [], [], []
     for p in range(parts):
         own = x[part == p]
         if not len(own):
@@ -160,7 +162,15 @@ def _fit(rows: DataFrame, sample: int, parts: int) -> tuple[Router, np.ndarray,
             c = np.stack([own[a == j].mean(0) if (a == j).any() else c[j] for j in range(len(c))])
         centres.append(c)
         of += [p] * len(c)
-    return router, np.concatenate(centres), np.array(of)
+        far, a = np.sqrt(_square(own, c).min(1)), _square(own, c).argmin(1)
+        wide += [float(np.quantile(far[a == j], 0.9)) if (a == j).any() else 0.0 for j in range(len(c))]
+    typical = float(np.median([w for w in wide if w > 0] or [1.0]))
+    return router, np.concatenate(centres), np.array(of), 3 * np.maximum(wide, typical)
+
+
+def _ring(far: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """0 within the inner radius, then one ring for each doubling."""
+    return np.where(far <= inner, 0, 1 + np.clip(np.log2(np.maximum(far, 1e-300) / inner), 0, RINGS - 2).astype(np.int64)).astype(np.int32)
 
 
 def _search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -212,11 +222,11 @@ def nearest(rows: DataFrame, k: int, parts: int = PARTS, probes: int = PROBES, s
     none = "q long, near array<struct<d:double,id:long>>"
     if not rows.limit(2).count() == 2:
         return spark.createDataFrame([], none)
-    router, centres, of = _fit(rows, sample, parts)
-    sent = spark.sparkContext.broadcast((router, centres, of))
+    router, centres, of, inner = _fit(rows, sample, parts)
+    sent = spark.sparkContext.broadcast((router, centres, of, inner))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        router, centres, of = sent.value
+        router, centres, of, inner = sent.value
         for b in batches:
             if not b.num_rows:
                 continue
@@ -227,38 +237,43 @@ def nearest(rows: DataFrame, k: int, parts: int = PARTS, probes: int = PROBES, s
                 m, own = probed[:, 0] == p, np.flatnonzero(of == p)
                 d = _square(x[m], centres[own])
                 ball[m], far[m] = own[d.argmin(1)], np.sqrt(d.min(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(probed[:, 0].astype(np.int32)), pa.array(list(probed.astype(np.int32))), pa.array(ball), pa.array(far)], ["id", "vec", "part", "probed", "ball", "far"])
-
-    indexed = materialize(spread(rows.select("id", "vec")).mapInArrow(index, "id long, vec array<double>, part int, probed array<int>, ball int, far double"), "indexed")
-    table = indexed.select("part", "id", "vec")
+            ring = _ring(far, inner[ball])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(probed[:, 0].astype(np.int32)), pa.array(list(probed.astype(np.int32))), pa.array(ball), pa.array(ring), pa.array(far)], ["id", "vec", "own", "probed", "ball", "ring", "far"])
+
+    indexed = materialize(spread(rows.select("id", "vec")).mapInArrow(index, "id long, vec array<double>, own int, probed array<int>, ball int, ring int, far double"), "indexed")
+    # at most balls x rings rows, whatever the table's size
+    rings = indexed.groupBy("ball", "ring").agg(F.min("far").alias("low"), F.max("far").alias("high"), F.count(F.lit(1)).alias("n")).collect()
+    # inner rows are searched by part, the scattered rows by themselves, in so many groups that each is a few tiles
+    groups = int(max(1, min(router.parts, -(-sum(r["n"] for r in rings if r["ring"]) // (4 * TILE)))))
+    table = indexed.select(F.when(F.col("ring") > 0, -1 - F.col("own") % groups).otherwise(F.col("own")).alias("part"), "id", "vec")
     queries = indexed.select(F.explode("probed").alias("part"), F.col("id").alias("q"), "vec")
     first = materialize(_merge(_search(table, queries, k), k), "near")
     if not certify:
         return first
-    radius = np.full(len(centres), -np.inf)
-    for r in indexed.groupBy("ball").agg(F.max("far").alias("r")).collect():
-        radius[r["ball"]] = r["r"]
-    reach = spark.sparkContext.broadcast(radius)
-
-    def open_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (router, centres, of), radius = sent.value, reach.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, limit = _matrix(b.column(1)), b.column(3).to_numpy(zero_copy_only=False)
-            gap = np.sqrt(_square(x, centres)) - radius[None, :]
-            may = gap <= (limit * (1 + 1e-9) + 1e-9)[:, None]
-            hit = np.zeros((len(x), router.parts), bool)
-            for p in range(router.parts):
-                hit[:, p] = may[:, of == p].any(1)
-            for i, done in enumerate(b.column(2).to_pylist()):
-                hit[i, done] = False
-            i, p = np.nonzero(hit)
-            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i))], ["part", "q", "vec"])
-
-    limit = F.when(F.size("near") >= k, F.sqrt(F.get("near", k - 1)["d"])).otherwise(F.lit(float("inf")))
+    ring_of = spark.sparkContext.broadcast(tuple(np.array([r[c] for r in rings]) for c in ("ball", "ring", "low", "high")))
+
+    def open_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (router, centres, of, _), (ball, ring, low, high) = sent.value, ring_of.value
+        unit = np.where(ring > 0, -1 - of[ball] % groups, of[ball])
+        order = np.argsort(unit, kind="stable")
+        starts = np.flatnonzero(np.r_[True, unit[order][1:] != unit[order][:-1]])
+        names = unit[order][starts]
+        for big in batches:
+            for at in range(0, big.num_rows, 1024):
+                b = big.slice(at, 1024)
+                x, limit = _matrix(b.column(1)), b.column(3).to_numpy(zero_copy_only=False)
+                d = np.sqrt(_square(x, centres))[:, ball]
+                gap = np.maximum(d - high[None], low[None] - d)
+                least = np.minimum.reduceat(gap[:, order], starts, axis=1)
+                hit = least <= (limit * (1 + 1e-9) + 1e-9)[:, None]
+                for i, done in enumerate(b.column(2).to_pylist()):
+                    hit[i, np.isin(names, done)] = False
+                i, u = np.nonzero(hit)
+                yield pa.RecordBatch.from_arrays([pa.array(names[u].astype(np.int32)), b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i))], ["part", "q", "vec"])
+
+    limit = F.when(F.size("near") >= k, F.sqrt(F.get("near", F.lit(k - 1))["d"])).otherwise(F.lit(float("inf")))
     waiting = indexed.join(first.select(F.col("q").alias("id"), limit.alias("limit")), "id", "left").select("id", "vec", "probed", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
-    again = materialize(waiting.mapInArrow(open_parts, "part int, q long, vec array<double>"), "again")
+    again = materialize(waiting.mapInArrow(open_units, "part int, q long, vec array<double>"), "again")
     second = _search(table, again, k)
     return _merge(first.unionByName(second), k)
 
