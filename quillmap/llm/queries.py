@@ -20,6 +20,11 @@ def p2_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     return authors.select(F.lit("authors").alias("field_name"), "*").unionByName(keywords.select(F.lit("keywords").alias("field_name"), "*"))
 
 
+def p2_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """The keywords field with counts, lift and odds ratio."""
+    return co.cooccurrence(co.record_items(table(spark, d, "semantic_records"), "sem_id", "keywords"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_cooccurrence(spark, d).select("field_name", "item_a", "item_b")
 
@@ -103,4 +108,21 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-SQL: dict[str, str] = {}
+_WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_ITEM = f"trim(regexp_replace(lower(k), '{_WS}', ' ', 'g'))"
+_OK = "{v} IS NOT NULL AND len({v}) = {n} AND len([x for x in {v} if x IS NULL OR isnan(x)]) = 0"
+
+#: Brute force over the same tables, where SQL can say it.
+SQL: dict[str, str] = {
+    "p2_keywords": f"""WITH t AS (SELECT DISTINCT sem_id AS rec, {_ITEM} AS item FROM (SELECT sem_id, unnest(keywords) AS k FROM semantic_records) WHERE k IS NOT NULL AND {_ITEM} <> ''),
+      n AS (SELECT count(DISTINCT rec) AS n FROM t), c AS (SELECT item, count(*) AS k FROM t GROUP BY item),
+      p AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS n_ab FROM t a JOIN t b ON a.rec = b.rec AND a.item < b.item GROUP BY ALL HAVING count(*) >= 5),
+      q AS (SELECT item_a, item_b, n_ab, x.k AS n_a, y.k AS n_b, n.n FROM p JOIN c x ON x.item = item_a JOIN c y ON y.item = item_b CROSS JOIN n)
+      SELECT *, round(n_ab * n / CAST(n_a * n_b AS DOUBLE), 6) AS lift, round((n_ab + 0.5::DOUBLE) * (n - n_a - n_b + n_ab + 0.5::DOUBLE) / ((n_a - n_ab + 0.5::DOUBLE) * (n_b - n_ab + 0.5::DOUBLE)), 6) AS odds_ratio
+      FROM q WHERE n_ab * n >= 10 * n_a * n_b""",
+    "p5_found": f"""WITH v AS (SELECT 'vectors' AS coll, vec_id AS id, [CAST(x AS DOUBLE) for x in intrinsic_data] AS v FROM intrinsic_vectors WHERE {_OK.format(v="intrinsic_data", n=VECTOR_DIM)}
+        UNION ALL SELECT 'neurons', neuron_id, weights FROM som_neurons WHERE {_OK.format(v="weights", n=NEURON_DIM)}),
+      u AS (SELECT coll, id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
+      d AS (SELECT a.coll, a.id, b.id AS other, round(sum((a.x - b.x) * (a.x - b.x)), 9) AS d FROM u a JOIN u b ON a.coll = b.coll AND a.i = b.i AND a.id <> b.id GROUP BY ALL)
+      SELECT coll, id AS vec_id, other AS near_id FROM (SELECT *, row_number() OVER (PARTITION BY coll, id ORDER BY d, other) AS k FROM d) WHERE k <= 5""",
+}
