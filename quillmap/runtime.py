@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), f"quillmap-{os.getpid()}")
     os.makedirs(own, exist_ok=True)
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     sc.setCheckpointDir("file://" + own)
     return "file://" + own
 
@@ -44,10 +47,13 @@ def rows_bounded(df: DataFrame, most: int) -> bool:
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Round out a table that may be one file (one task) before a Python stage. Only needed when
-    the scan has fewer splits than the session has cores; otherwise the scan's splits stay."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    """Round out a scan that is few files (few tasks) before a Python stage. Large tables and tables of many files
+    stay as they are scanned. Decided from the plan's size estimate and the list of files; nothing runs."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    most = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if size // most >= cores or len(df._jdf.inputFiles()) >= cores:
         return df
     return df.repartition(cores, *cols) if cols else df.repartition(cores)
 
