@@ -3,17 +3,18 @@
 Terms are curated from the labelled documents, not written down here: words and word pairs (in
 either order, so that "dropout (school)" counts as "school dropout") whose documents bear one
 subject far more often than chance. The sample of labelled documents is bounded by FIT_DOCS; what
-is counted beside it (rarity of terms, words of sentences without a subject) is counted over all
-documents.
+is counted beside it (rarity of terms, words of sentences without a subject, terms of assigned
+documents) is counted over all documents.
 
 1. Count terms by subject in the labelled documents; keep those whose lower confidence bound lies far
    above the subject's share of all labels.
 2. Over all documents, count how often each word stands in sentences without such a term. Words
    that mostly do (of maps, networks, corpora, citations) mark sentences without a subject,
    whatever words they borrow.
-3. Count terms again without those sentences; assign with them the subjects of a bounded sample of all
-   documents (labelled ones keep their labels), and count once more over these, so that terms which
-   few labelled documents hold, as in the rarer languages, come in too.
+3. Count terms again without those sentences; assign with them the subjects of all documents (those of
+   the sample keep their labels), and count once more over these, so that terms which few labelled
+   documents hold, as in the rarer languages, come in too. At any size and number of labels this is
+   one pass, whose counts are summed before they are shuffled.
 4. Choose the sentence threshold that agrees best with the labels.
 5. Match all documents: an automaton finds the terms of each sentence, a sentence's subject is the
    one with the greatest weight (purity x rarity) beyond the threshold, and a document gets every
@@ -115,7 +116,9 @@ class Matcher:
 
     def shares(self, text: str | None, thresholds: tuple[float, ...]) -> list[dict[str, float]]:
         """Share of the sentences by subject, for each threshold."""
-        all_of = sentences(text)
+        return self.shares_of(sentences(text), thresholds)
+
+    def shares_of(self, all_of: list[list[str]], thresholds: tuple[float, ...]) -> list[dict[str, float]]:
         best = [b for b in (self.weigh(w) for w in all_of) if b]
         return [{s: n / len(all_of) for s, n in Counter(s for s, w in best if w >= t).items()} for t in thresholds]
 
@@ -132,17 +135,23 @@ def clean_labels(labels: DataFrame, subjects: list[str]) -> dict[str, str]:
     return out
 
 
-def _term_counts(fit: DataFrame, matcher: Matcher | None) -> DataFrame:
-    """term, subject ('' for all documents), n over the labelled documents (text, subjects)."""
-    sent = fit.sparkSession.sparkContext.broadcast(matcher)
+def _term_counts(fit: DataFrame, matcher: Matcher | None, taught: Matcher | None = None) -> DataFrame:
+    """term ('' for the documents themselves), subject ('' for all documents), n over the documents (text, subjects) that
+    have a subject; where subjects is null, taught assigns them."""
+    sent = fit.sparkSession.sparkContext.broadcast((matcher, taught))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m, assign = sent.value
         for b in batches:
             n: Counter[tuple[str, str]] = Counter()
             for text, subjects in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held: set[str] = set()
-                for w in sentences(text):
+                all_of = sentences(text)
+                if not subjects and assign:
+                    subjects = [s for s, v in assign.shares_of(all_of, (assign.threshold,))[0].items() if v >= SHARE]
+                if not subjects:
+                    continue
+                held = {""}
+                for w in all_of:
                     if m is None or not m.bare(w):
                         held |= terms_of(w)
                 for t in held:
@@ -156,7 +165,7 @@ def _term_counts(fit: DataFrame, matcher: Matcher | None) -> DataFrame:
 
 def _top(counts: DataFrame, least: int, prior: DataFrame) -> DataFrame:
     """term, subject (its most frequent), n, p (share of its documents), q (share of all labelled documents)."""
-    by = counts.groupBy("term").agg(F.max(F.when(F.col("subject") == "", F.col("n"))).alias("n"), F.max(F.when(F.col("subject") != "", F.struct("n", "subject"))).alias("top")).where(F.col("n") >= least)
+    by = counts.where("term <> ''").groupBy("term").agg(F.max(F.when(F.col("subject") == "", F.col("n"))).alias("n"), F.max(F.when(F.col("subject") != "", F.struct("n", "subject"))).alias("top")).where(F.col("n") >= least)
     return by.select("term", "n", (F.col("top.n") / F.col("n")).alias("p"), F.col("top.subject").alias("subject")).join(F.broadcast(prior), "subject")
 
 
@@ -232,22 +241,12 @@ def fit_matcher(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, subj
     def weigh(chosen: dict[str, tuple[str, float]]) -> dict[str, tuple[str, float]]:
         return {t: (s, p * (1.6 if " " in t else 0.8) * (0.5 + math.log((n_docs + 2) / (df.get(t, SUPPORT) + 1)) / span)) for t, (s, p) in chosen.items()}
 
-    taught = spark.sparkContext.broadcast(Matcher(weigh(chosen), marks, TRIED[len(TRIED) // 2]))
-
-    def assume(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = taught.value
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            areas = [a if a else [s for s, v in m.shares(t, (m.threshold,))[0].items() if v >= SHARE] for t, a in zip(texts, b.column(1).to_pylist())]
-            kept = [i for i, a in enumerate(areas) if a]
-            yield pa.RecordBatch.from_arrays([pa.array([texts[i] for i in kept], pa.string()), pa.array([areas[i] for i in kept], pa.list_(pa.string()))], ["text", "areas"])
-
-    part = min(1_000_000, int(1_000_000 * FIT_DOCS / max(1, n_docs)) + 1)
-    some = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part).join(F.broadcast(sample), "doc_id", "left").select("text", "areas")
-    wider = spread(some).mapInArrow(assume, "text string, areas array<string>").persist()
-    n = wider.count()
-    if n > labelled:
-        chosen = _choose(_term_counts(wider, bare), n, wider.select(F.explode("areas").alias("subject")).groupBy("subject").agg((F.count(F.lit(1)) / n).alias("q"))) | chosen
+    taught = Matcher(weigh(chosen), marks, TRIED[len(TRIED) // 2])
+    wider = _term_counts(spread(source.join(F.broadcast(sample), "doc_id", "left").select("text", "areas")), bare, taught).persist()
+    of = {r["subject"]: r["n"] for r in wider.where("term = ''").collect()}
+    n = of.pop("")
+    shares = spark.createDataFrame([(s, k / n) for s, k in of.items()], "subject string, q double")
+    chosen = _choose(wider, n, shares) | chosen
     wider.unpersist()
     matcher = Matcher(weigh(chosen), marks)
     ready = spark.sparkContext.broadcast(matcher)

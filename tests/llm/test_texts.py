@@ -91,3 +91,22 @@ def test_subjects(spark):
         got.setdefault(r.doc_id, set()).add(r.subject)
     assert sum(got.get(k, set()) == v for k, v in truth.items()) >= 585 and not set(got) & {900, 901, 902}
     assert subjects.assign(d, "doc_id", "text", l.limit(0), s).count() == 0 and subjects.assign(d.limit(0), "doc_id", "text", l, s).count() == 0
+
+
+def test_terms_of_unlabelled_documents(spark, monkeypatch):
+    """Terms that no labelled document holds are learnt from assigned ones, however few documents the fit takes."""
+    rng = random.Random(5)
+    first = {s: [f"{s[:2]}{a} {s[-2:]}{b}" for a, b in (("vore", "lin"), ("mata", "sorn"), ("kile", "pand"))] for s in ("law", "sport", "physics", "history")}
+    second = {s: [f"{s[:2]}{a} {s[-2:]}{b}" for a, b in (("zuno", "quer"), ("wexa", "durn"), ("jipo", "gelt"))] for s in first}
+    say = lambda a, b: f"Results for {rng.randrange(9, 99)} units suggest that {rng.choice(a)} limits {rng.choice(b)} on average."
+    docs, labels = [], []
+    for k in range(480):
+        s = sorted(first)[k % 4]
+        a, b = (first, first) if k < 160 else (first, second) if k < 400 else (second, second)  # labelled, between, without any term of the labels
+        docs.append((k, " ".join(say(a[s], b[s]) for _ in range(6))))
+        if k < 160:
+            labels.append((k, s))
+    d, l = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string")
+    monkeypatch.setattr(subjects, "FIT_DOCS", 160)
+    got = {(r.doc_id, r.subject) for r in subjects.assign(d, "doc_id", "text", l, spark.createDataFrame([(a,) for a in first], "subject string")).collect()}
+    assert len(got & {(k, sorted(first)[k % 4]) for k in range(400, 480)}) >= 76
