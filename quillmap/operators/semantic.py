@@ -1,9 +1,9 @@
 """Neighbours, intrinsic dimension, reduction and grouping of embedded records.
 
 Rows: id, vec (array of double), usable ones only (see som.clean). Exact neighbours are found in
-tiles of row blocks by row blocks, each of bounded size. What is sequential by nature (manifold
-layout, density clusters) runs in one task on a bounded number of rows and says so; beyond that the
-linear projection or distributed k-means stand in.
+tiles of row blocks by row blocks, each of bounded size, and so is the tree of density clusters. What
+is sequential by nature runs in one task on a row or an edge of a few numbers each: the walk down
+that tree, and the moves of the manifold layout, which beyond MOST_LAYOUT rows is an error.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import som_math
+from ..runtime import materialize, rows_bounded
 from . import som
 
-#: Rows of a tile, and the most rows of one-task operators.
-TILE, MOST_LOCAL = 4_096, 20_000
+#: Rows of a tile, the most rows of one-task operators and of a layout, and the tiles whose edges are merged at a time.
+TILE, MOST_LOCAL, MOST_LAYOUT, MERGED = 4_096, 20_000, 250_000, 8
 
 
 def neighbours(data: DataFrame, k: int) -> DataFrame:
@@ -138,31 +139,39 @@ def reduce_linear(data: DataFrame, d: int) -> DataFrame:
 
 def manifold(data: DataFrame, near: DataFrame, k: int = 15, least: float = 0.1, epochs: int = 200, seed: int = 42) -> DataFrame:
     """id, x, y: fuzzy neighbour graph laid out by attraction and sampled repulsion, from the linear projection.
-    In one task on at most MOST_LOCAL rows; beyond that the linear projection itself."""
-    start = reduce_linear(data, 2)
-    if data.limit(MOST_LOCAL + 1).count() > MOST_LOCAL:
-        return start.select("id", F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y"))
-    rows = start.join(near, "id").select("id", "coords", _d("near").alias("d"), F.transform("near", lambda x: x["id"]).alias("n"))
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        at = {int(v): i for i, v in enumerate(pdf["id"])}
-        a, b, w = [], [], []
-        for i, (d, n) in enumerate(zip(pdf["d"], pdf["n"])):
-            d, n = np.array(d[:k]), n[:k]
-            rho = d[d > 0].min() if (d > 0).any() else 0.0
-            lo, hi = 1e-6, 1e4
-            for _ in range(40):
-                mid = (lo + hi) / 2
-                lo, hi = (mid, hi) if np.exp(-np.maximum(d - rho, 0) / mid).sum() < np.log2(max(2, len(d))) else (lo, mid)
-            for v, j in zip(np.exp(-np.maximum(d - rho, 0) / hi), n):
-                a.append(i), b.append(at[int(j)]), w.append(v)
-        a, b, w = np.array(a), np.array(b), np.array(w)
+    The moves are made in one task; more than MOST_LAYOUT rows are an error."""
+    if not rows_bounded(data, MOST_LAYOUT):
+        raise ValueError(f"more than {MOST_LAYOUT} rows to lay out")
+    rows = reduce_linear(data, 2).join(near, "id").select(F.col("id").cast("long").alias("id"), "coords", F.slice(_d("near"), 1, k).alias("d"), F.slice(F.transform("near", lambda x: x["id"]), 1, k).alias("n"))
+
+    def weigh(batches):
+        for big in batches:
+            for b in (big.slice(s, 4096) for s in range(0, big.num_rows, 4096)):
+                size = np.array([len(d) for d in b.column(2).to_pylist()], int)
+                held = np.arange(max(size.max(), 1))[None] < size[:, None]
+                d = np.full(held.shape, np.inf)
+                d[held] = b.column(2).flatten().to_numpy(zero_copy_only=False)
+                rho = np.where(d > 0, d, np.inf).min(1, keepdims=True)
+                rho[~np.isfinite(rho)] = 0.0
+                over, want = np.maximum(d - rho, 0), np.log2(np.maximum(2, size))
+                lo, hi = np.full(len(d), 1e-6), np.full(len(d), 1e4)
+                for _ in range(40):
+                    mid = (lo + hi) / 2
+                    less = np.exp(-over / mid[:, None]).sum(1) < want
+                    lo, hi = np.where(less, mid, lo), np.where(less, hi, mid)
+                w = np.exp(-over / hi[:, None])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array([v[h] for v, h in zip(w, held)], pa.list_(pa.float64()))], ["id", "coords", "n", "w"])
+
+    def work(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id").combine_chunks()
+        ids, (n, w) = t.column("id").to_numpy(), (t.column(c).combine_chunks() for c in ("n", "w"))
+        a = np.repeat(np.arange(len(ids)), n.value_lengths().to_numpy())
+        b, w = np.searchsorted(ids, n.flatten().to_numpy()), w.flatten().to_numpy()
         rng = np.random.default_rng(seed)
-        pos = np.array(pdf["coords"].tolist())
+        pos = t.column("coords").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         pos = pos / max(np.abs(pos).max(), 1e-9) * 10
-        for t in range(epochs):
-            rate, use = 1.0 - t / epochs, rng.random(len(w)) < w
+        for step in range(epochs):
+            rate, use = 1.0 - step / epochs, rng.random(len(w)) < w
             i, j = a[use], b[use]
             diff = pos[i] - pos[j]
             d2 = (diff**2).sum(1, keepdims=True)
@@ -174,17 +183,27 @@ def manifold(data: DataFrame, near: DataFrame, k: int = 15, least: float = 0.1,
                 diff = pos[i] - pos[o]
                 d2 = (diff**2).sum(1, keepdims=True)
                 np.add.at(pos, i, np.clip(2 * diff / ((0.001 + d2) * (1 + d2)), -4, 4) * rate * 0.2)
-        return pd.DataFrame({"id": pdf["id"], "x": pos[:, 0].round(6), "y": pos[:, 1].round(6)})
+        return pa.table({"id": ids, "x": pos[:, 0].round(6), "y": pos[:, 1].round(6)})
 
-    return rows.groupBy().applyInPandas(work, "id long, x double, y double")
+    return rows.mapInArrow(weigh, "id long, coords array<double>, n array<long>, w array<double>").groupBy().applyInArrow(work, "id long, x double, y double")
 
 
 def density_clusters(data: DataFrame, least: int, seed: int = 42) -> DataFrame:
     """id, cluster: single linkage over mutual reachability, cut where most rows are in stable groups of `least` or
-    more; -1 noise; k-means where that leaves two labels or fewer. In one task on at most MOST_LOCAL rows; k-means beyond."""
-    n = data.limit(MOST_LOCAL + 1).count()
-    if n > MOST_LOCAL:
-        return kmeans(data, 5, seed)
+    more; -1 noise; k-means where that leaves two labels or fewer. In one task on at most MOST_LOCAL rows; beyond, the
+    tree comes from tiles and only its n - 1 edges are in one task."""
+    if not rows_bounded(data, MOST_LOCAL):
+        n = data.count()
+        size = max(5, min(least, n // 10))
+
+        def label_tree(t: pa.Table) -> pa.Table:
+            d, a, b = (t.column(c).to_numpy() for c in ("d", "a", "b"))
+            ids = np.unique(np.concatenate([a, b]))
+            tree = zip(d.tolist(), np.searchsorted(ids, a).tolist(), np.searchsorted(ids, b).tolist())
+            return pa.table({"id": ids, "cluster": condensed(len(ids), sorted(tree), size).astype(np.int32)})
+
+        found = materialize(reach_tree(data, size).groupBy().applyInArrow(label_tree, "id long, cluster int"), "density")
+        return found if found.select("cluster").distinct().count() > 2 else kmeans(data, min(5, max(2, n // 20)), seed)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
@@ -197,6 +216,65 @@ def density_clusters(data: DataFrame, least: int, seed: int = 42) -> DataFrame:
     return data.groupBy().applyInPandas(work, "id long, cluster int")
 
 
+def reach_tree(data: DataFrame, least: int) -> DataFrame:
+    """g, d, a, b: the least spanning tree of all rows by mutual reachability. An edge of it is in the tree of every pair of
+    blocks that holds both ends, so the trees of all pairs of blocks hold it; they are merged MERGED at a time."""
+    core = neighbours(data, least - 1).select("id", F.element_at("near", -1)["d"].alias("core"))
+    blocks = max(2, -(-data.count() // TILE))
+    rows = materialize(data.select(F.col("id").cast("long").alias("id"), "vec").join(core, "id").withColumn("i", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "reach")
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: j != F.col("i")))
+    pairs = rows.withColumn("j", other).select((F.least("i", "j") * F.lit(blocks) + F.greatest("i", "j")).alias("g"), "id", "vec", "core")
+    schema = "g long, d double, a long, b long"
+
+    def tile(t: pa.Table) -> pa.Table:
+        ids, core = t.column("id").to_numpy(), t.column("core").to_numpy()
+        d, a, b = _prim(t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1).astype(float), core)
+        return pa.table({"g": np.full(len(d), t.column("g")[0].as_py(), np.int64), "d": d, "a": ids[a], "b": ids[b]})
+
+    def merge(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("d", "ascending"), ("a", "ascending"), ("b", "ascending")])
+        ids = np.unique(np.concatenate([t.column(c).to_numpy() for c in "ab"]))
+        parent, kept = list(range(len(ids))), []
+        for k, (a, b) in enumerate(zip(*(np.searchsorted(ids, t.column(c).to_numpy()).tolist() for c in "ab"))):
+            while parent[a] != a:
+                parent[a] = a = parent[parent[a]]
+            while parent[b] != b:
+                parent[b] = b = parent[parent[b]]
+            if a != b:
+                parent[b] = a
+                kept.append(k)
+        return t.take(pa.array(kept, pa.int64()))
+
+    # groups of few and many edges are dealt out by number, so that each merge takes at most MERGED trees
+    edges, trees = pairs.withColumn("g", F.col("g").cast("long")).groupBy("g").applyInArrow(tile, schema), blocks * blocks
+    while trees > 1:
+        trees = -(-trees // MERGED)
+        edges = edges.withColumn("g", F.floor(F.col("g") / MERGED)).groupBy("g").applyInArrow(merge, schema)
+    return edges
+
+
+def _prim(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths and ends of the least spanning tree by mutual reachability, one row of distances at a time. The rows still
+    outside are kept together at the front."""
+    n = len(x)
+    x, core, at = x.copy(), core.copy(), np.arange(n)
+    best, link = np.full(n, np.inf), np.zeros(n, np.int64)
+    d, a, b = np.empty(max(n - 1, 0)), np.empty(max(n - 1, 0), np.int64), np.empty(max(n - 1, 0), np.int64)
+    i, left = 0, n
+    for k in range(n - 1):
+        own, own_core, own_at = x[i].copy(), core[i], at[i]
+        left -= 1
+        for v in (x, core, at, best, link):
+            v[i] = v[left]
+        gap = x[:left] - own
+        far = np.maximum(np.maximum(np.sqrt(np.einsum("ij,ij->i", gap, gap)), own_core), core[:left])
+        better = far < best[:left]
+        best[:left][better], link[:left][better] = far[better], own_at
+        i = int(best[:left].argmin())
+        d[k], a[k], b[k] = best[i], link[i], at[i]
+    return d, a, b
+
+
 def hdbscan(x: np.ndarray, least: int) -> np.ndarray:
     """Condensed single-linkage tree of mutual reachability distances, clusters of greatest stability."""
     n = len(x)
@@ -215,6 +293,11 @@ def hdbscan(x: np.ndarray, least: int) -> np.ndarray:
         i = int(np.where(inside, np.inf, best).argmin())
         edges.append((best[i], link[i], i))
     edges.sort()
+    return condensed(n, edges, least)
+
+
+def condensed(n: int, edges: list[tuple[float, int, int]], least: int) -> np.ndarray:
+    """Clusters of greatest stability in the tree of n rows whose edges are given, shortest first."""
     parent, node, size, children, height = list(range(n)), list(range(n)), [1] * n, {}, {}
 
     def find(a: int) -> int:

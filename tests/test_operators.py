@@ -165,6 +165,34 @@ def test_neighbours_brute(spark):
     assert S.target_dimension(5, 9.6) == 4 and S.target_dimension(100, None) == 10 and S.target_dimension(100, None, 1) == 2
 
 
+def test_density_and_layout_at_any_size(spark, monkeypatch):
+    """The same clusters and the same layout whether or not the rows are more than a task takes."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(c, 1, (n, 3)) for c, n in ((0, 90), (15, 70), (40, 40), (-30, 60), (70, 50), (-60, 45), (110, 45))] + [rng.uniform(-200, 200, (40, 3))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    near = S.neighbours(df, 15)
+
+    def parts():
+        by = {}
+        for r in S.density_clusters(df, 10).collect():
+            by.setdefault(r.cluster, set()).add(r.id)
+        return by.pop(-1), sorted(map(sorted, by.values()))
+
+    def places():
+        return np.array(S.manifold(df, near, epochs=20).orderBy("id").select("x", "y").collect())
+
+    noise, whole = parts()
+    laid = places()
+    monkeypatch.setattr(S, "MOST_LOCAL", 100)
+    for tile in (300, 60):
+        monkeypatch.setattr(S, "TILE", tile)
+        assert parts() == (noise, whole) and len(whole) == 7 and len(noise) > 20
+    assert np.allclose(places(), laid) and not np.allclose(laid, np.array(S.reduce_linear(df, 2).orderBy("id").select("coords").collect())[:, 0])
+    monkeypatch.setattr(S, "MOST_LAYOUT", 100)
+    with pytest.raises(ValueError):
+        S.manifold(df, near)
+
+
 RIS = "TY  - JOUR\nTI  - Mapping science\nAU  - Doe, J.\nAU  - Roe, R.\nKW  - SOM\nKW  - Clustering\nPY  - 2021///\nJO  - J Maps\nAB  - Text\n  goes on.\nDO  - 10.1/x\nER  - \nTY  - CONF\nTI  - Last without end\n"
 
 
