@@ -63,17 +63,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_neighbours(spark, d).select("coll", "vec_id", "near_id")
 
 
+#: Collection, table, id, vector, its length, and what its groups lie within.
+COLLECTIONS = (("vectors", "intrinsic_vectors", "vec_id", "intrinsic_data", VECTOR_DIM, None), ("neurons", "som_neurons", "neuron_id", "weights", NEURON_DIM, "run_id"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    vectors = clusters.groups(table(spark, d, "intrinsic_vectors"), "vec_id", "intrinsic_data", VECTOR_DIM)
-    neurons = clusters.groups(table(spark, d, "som_neurons"), "neuron_id", "weights", NEURON_DIM, "run_id")
-    both = vectors.select(F.lit("vectors").alias("coll"), "*").unionByName(neurons.select(F.lit("neurons").alias("coll"), "*"))
-    return both.where(F.col("id") != F.col("head")).select("coll", F.col("head").alias("head_id"), F.col("id").alias("member_id"))
+    vectors, neurons = (clusters.groups(table(spark, d, t), i, v, n, within).select(F.lit(coll).alias("coll"), "*") for coll, t, i, v, n, within in COLLECTIONS)
+    return vectors.unionByName(neurons).where(F.col("id") != F.col("head")).select("coll", F.col("head").alias("head_id"), F.col("id").alias("member_id"))
 
 
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Size and most typical members of each group of intrinsic_vectors."""
-    rows = table(spark, d, "intrinsic_vectors")
-    return clusters.describe(rows, "vec_id", "intrinsic_data", clusters.groups(rows, "vec_id", "intrinsic_data", VECTOR_DIM), VECTOR_DIM)
+    """Size and most typical members of each group of intrinsic_vectors and, within each run, of som_neurons."""
+
+    def described(coll, t, i, v, n, within):
+        rows = table(spark, d, t)
+        return clusters.describe(rows, i, v, clusters.groups(rows, i, v, n, within), n).select(F.lit(coll).alias("coll"), "*")
+
+    vectors, neurons = (described(*c) for c in COLLECTIONS)
+    return vectors.unionByName(neurons)
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
