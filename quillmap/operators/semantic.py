@@ -111,6 +111,12 @@ def pca_dimension(data: DataFrame, least: float = 0.05) -> int:
     return int((values >= least * values.max()).sum())
 
 
+def global_pca(data: DataFrame) -> DataFrame:
+    """estimator, dim of pca_dimension, as a row beside those of dimensions; null without rows."""
+    dim = None if data.isEmpty() else float(pca_dimension(data))
+    return data.sparkSession.createDataFrame([("PCA", dim)], "estimator string, dim double")
+
+
 def target_dimension(full: int, estimate: float | None, manual: int | None = None, override: int | None = None) -> int:
     """manual (at least 2) before override before the rounded estimate before 10; held to 2..full - 1."""
     d = max(2, manual) if manual else override or (int(round(estimate)) if estimate else 10)

@@ -81,7 +81,8 @@ def two_nn(spark, d):
 
 @query("dimension_estimates")
 def dimension_estimates(spark, d):
-    return S.dimensions(S.neighbours(vectors(spark, d), 20))
+    data = vectors(spark, d)
+    return S.dimensions(S.neighbours(data, 20)).union(S.global_pca(data))
 
 
 @query("linear_reduction")

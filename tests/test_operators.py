@@ -16,6 +16,7 @@ from quillmap.operators import semantic as S
 from quillmap.operators import series as W
 from quillmap.operators import som
 from quillmap.operators import thesaurus as th
+from quillmap.plans import registry
 from quillmap.sources import router, tables, tagged, units, works
 
 
@@ -165,6 +166,16 @@ def test_neighbours_brute(spark):
     assert S.target_dimension(5, 9.6) == 4 and S.target_dimension(100, None) == 10 and S.target_dimension(100, None, 1) == 2
 
 
+def test_dimension_rows(spark, tmp_path):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(80, 3)) @ np.linalg.qr(rng.normal(size=(24, 3)))[0].T
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, intrinsic_data array<double>").write.parquet(f"{tmp_path}/intrinsic_vectors.parquet")
+    rows = {r.estimator: r.dim for r in registry.queries()["dimension_estimates"](spark, str(tmp_path)).collect()}
+    assert set(rows) == {"TwoNN", "MADA", "MOM", "MLE", "KNN", "CorrInt", "PCA"} and rows["PCA"] == 3
+    none = spark.createDataFrame([], "id long, vec array<double>")
+    assert S.global_pca(none).collect() == [("PCA", None)]
+
+
 def test_density_and_layout_at_any_size(spark, monkeypatch):
     """The same clusters and the same layout whether or not the rows are more than a task takes."""
     rng = np.random.default_rng(9)
