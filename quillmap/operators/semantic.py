@@ -1,9 +1,10 @@
 """Neighbours, intrinsic dimension, reduction and grouping of embedded records.
 
-Rows: id, vec (array of double), usable ones only (see som.clean). Exact neighbours are found in
-tiles of row blocks by row blocks, each of bounded size, and so is the tree of density clusters. What
-is sequential by nature runs in one task on a row or an edge of a few numbers each: the walk down
-that tree, and the moves of the manifold layout, which beyond MOST_LAYOUT rows is an error.
+Rows: id, vec (array of double), usable ones only (see som.clean). Exact neighbours come from the
+partition index (`vector_index`); the tree of density clusters is built in tiles of row blocks by row
+blocks, each of bounded size. What is sequential by nature runs in one task on a row or an edge of a few
+numbers each: the walk down that tree, and the moves of the manifold layout, which beyond MOST_LAYOUT
+rows is an error.
 """
 
 from __future__ import annotations
@@ -16,41 +17,16 @@ from pyspark.sql import functions as F
 
 from ..functions import som_math
 from ..runtime import materialize, rows_bounded
-from . import som
+from . import som, vector_index
 
 #: Rows of a tile, the most rows of one-task operators and of a layout, and the tiles whose edges are merged at a time.
 TILE, MOST_LOCAL, MOST_LAYOUT, MERGED = 4_096, 20_000, 250_000, 8
 
 
 def neighbours(data: DataFrame, k: int) -> DataFrame:
-    """id, near (list of (d, id) ascending; ties by id): the k nearest others of each row."""
-    n = data.count()
-    blocks = max(1, -(-n // TILE))
-    b = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = data.select(b.alias("i"), other.alias("j"), F.col("id").alias("id"), F.col("vec").alias("x"))
-    right = data.select(other.alias("i"), b.alias("j"), F.col("id").alias("q"), F.col("vec").alias("y"))
-    item = pa.struct([("d", pa.float64()), ("id", pa.int64())])
-
-    def tile(a: pa.Table, c: pa.Table) -> pa.Table:
-        if not len(a) or not len(c):
-            return pa.table({"q": pa.array([], pa.int64()), "near": pa.array([], pa.list_(item))})
-        ids, q = a.column("id").to_numpy(), c.column("q").to_numpy()
-        x, y = (t.column(n).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1).astype(float) for t, n in ((a, "x"), (c, "y")))
-        take, rows = min(k + 2, len(ids)), []
-        for s in range(0, len(q), 512):
-            d = np.maximum((y[s : s + 512] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * y[s : s + 512] @ x.T, 0)
-            d[q[s : s + 512][:, None] == ids[None]] = np.inf
-            near = np.argpartition(d, take - 1, axis=1)[:, :take]
-            exact = np.sqrt(((y[s : s + 512][:, None] - x[near]) ** 2).sum(-1))
-            exact[ids[near] == q[s : s + 512][:, None]] = np.inf
-            order = np.lexsort((ids[near], exact), axis=1)[:, :k]
-            for dist, idx in zip(np.take_along_axis(exact, order, 1), np.take_along_axis(ids[near], order, 1)):
-                rows.append([{"d": float(u), "id": int(v)} for u, v in zip(dist, idx) if np.isfinite(u)])
-        return pa.table({"q": pa.array(q), "near": pa.array(rows, pa.list_(item))})
-
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(tile, "q long, near array<struct<d:double,id:long>>")
-    return found.groupBy(F.col("q").alias("id")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    """id, near (list of (d, id) ascending; ties by id): the k nearest others of each row, by the partition index."""
+    rows = data.select(F.col("id").cast("long").alias("id"), F.transform(F.col("vec").cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vec"))
+    return vector_index.neighbour_lists(rows, k).select("id", F.transform("near", lambda x: F.struct(F.sqrt(x["d"]).alias("d"), x["id"].alias("id"))).alias("near"))
 
 
 def embed_texts(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
@@ -222,10 +198,15 @@ def density_clusters(data: DataFrame, least: int, seed: int = 42) -> DataFrame:
     return data.groupBy().applyInPandas(work, "id long, cluster int")
 
 
+def core_rank(least: int) -> int:
+    """Which neighbour's distance is a row's core distance, for groups of `least` rows or more."""
+    return max(2, least // 3)
+
+
 def reach_tree(data: DataFrame, least: int) -> DataFrame:
     """g, d, a, b: the least spanning tree of all rows by mutual reachability. An edge of it is in the tree of every pair of
     blocks that holds both ends, so the trees of all pairs of blocks hold it; they are merged MERGED at a time."""
-    core = neighbours(data, least - 1).select("id", F.element_at("near", -1)["d"].alias("core"))
+    core = neighbours(data, core_rank(least)).select("id", F.element_at("near", -1)["d"].alias("core"))
     blocks = max(2, -(-data.count() // TILE))
     rows = materialize(data.select(F.col("id").cast("long").alias("id"), "vec").join(core, "id").withColumn("i", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "reach")
     other = F.explode(F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: j != F.col("i")))
@@ -286,9 +267,9 @@ def hdbscan(x: np.ndarray, least: int) -> np.ndarray:
     n = len(x)
     if n < 2 * least:
         return np.full(n, -1)
-    core = np.empty(n)
+    core, rank = np.empty(n), core_rank(least)
     for s in range(0, n, 1024):
-        core[s : s + 1024] = np.partition(som_math.distances(x[s : s + 1024], x), least - 1, axis=1)[:, least - 1]
+        core[s : s + 1024] = np.partition(som_math.distances(x[s : s + 1024], x), rank, axis=1)[:, rank]  # the row itself stands at 0
     inside, best, link = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
     edges, i = [], 0
     for _ in range(n - 1):  # Prim's tree, one row of distances at a time
