@@ -257,10 +257,10 @@ def distinct_vectors(rows: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataF
     return rows.withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy(*by, "vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(*by, F.col("ids")[0].alias("id"), "vec", "ids")
 
 
-def neighbour_lists(rows: DataFrame, k: int, **how) -> DataFrame:
+def neighbour_lists(rows: DataFrame, k: int, search_distinct: Callable[..., DataFrame] = nearest, **how) -> DataFrame:
     """id, near (list of (squared distance, id)): the k nearest others of each row of `rows` (id long, vec), copies included."""
     kinds = materialize(distinct_vectors(rows, k), "kinds")
-    found = nearest(kinds, k, **how)
+    found = search_distinct(kinds, k, **how)
     # a neighbour stands for its copies: at most k ids of it can be among the k nearest
     near = found.select("q", F.explode("near").alias("n")).join(kinds.select(F.col("id").alias("nid"), F.col("ids").alias("nids")), F.col("n.id") == F.col("nid"))
     lists = near.groupBy("q").agg(F.flatten(F.collect_list(F.transform("nids", lambda i: F.struct(F.col("n.d").alias("d"), i.alias("id"))))).alias("others"))
