@@ -3,15 +3,9 @@
 Fit, on a bounded sample: the sample's neighbour graph is cut into balanced parts (capacity-bound
 label propagation from spread-out seeds), and a small softmax classifier learns the part of a
 vector. Every row is then indexed under its most probable part, and every row, as a query, is
-routed to the `probes` most probable parts, where distances are exact. Each part keeps a number of
-balls, and the rows of a ball lie in rings around its centre (least and greatest distance, over all
-rows). By the triangle inequality a ring farther from the query than its k-th distance holds no
-nearer row; where some ring may, its part is searched in a second pass, the inner rings and the
-scattered rows beyond them by themselves. So the result is exact, and the second pass is short
-where the parts follow the data's groups.
-
-Rows of a part are split into tiles of bounded size (row blocks by query blocks), so a part that
-holds a third of all rows is many tasks, not one. Equal vectors are searched once.
+routed to the `probes` most probable parts, where distances are exact. A second pass over the parts
+that may still hold a nearer row makes the result exact (`operators.vector_index`, which takes this
+module's router in place of its own). The number of parts grows with the square root of the rows.
 
 Usable vectors: not null, of the table's length, no null or NaN inside. Others give no rows.
 Ties go to the smaller id; a table of one usable vector or none gives no rows.
@@ -19,18 +13,15 @@ Ties go to the smaller id; a table of one usable vector or none gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, spread
+from ..operators import vector_index
+from ..operators.vector_index import spread_seeds, squares
 
-#: Rows of the sample, neighbours in its graph, parts, balls of a part, rings of a ball, parts probed, rows of a tile.
-SAMPLE, GRAPH_K, PARTS, BALLS, RINGS, PROBES, TILE = 6_000, 8, 48, 64, 8, 3, 4_096
+#: Neighbours in the sample's graph, and the least number of parts. The sample's bounds stand in vector_index.
+GRAPH_K, LEAST_PARTS = 8, 24
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -40,32 +31,6 @@ def usable(df: DataFrame, id_col: str, vec_col: str, dim: int, by: tuple[str, ..
     return df.where(ok).select(*by, F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("vec"))
 
 
-def distinct_vectors(rows: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, id (smallest), vec, ids (the k + 1 smallest ids): one row per distinct vector (of each value of by). The rank filter
-    cuts each task's rows before the shuffle, so a vector with many copies is no large group."""
-    rank = F.row_number().over(Window.partitionBy(*by, "vec").orderBy("id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy(*by, "vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(*by, F.col("ids")[0].alias("id"), "vec", "ids")
-
-
-def _matrix(col: pa.Array) -> np.ndarray:
-    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1).astype(np.float64)
-
-
-def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T, 0.0)
-
-
-def _spread_seeds(x: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    """Seeds by distance-squared sampling, so that separate groups get seeds of their own."""
-    seeds = [int(rng.integers(len(x)))]
-    d = _square(x, x[seeds])[:, 0]
-    while len(seeds) < n and d.max() > 0:
-        seeds.append(int(rng.choice(len(x), p=d / d.sum())))
-        d = np.minimum(d, _square(x, x[seeds[-1:]])[:, 0])
-    return np.array(seeds)
-
-
 def balanced_parts(x: np.ndarray, parts: int, k: int = GRAPH_K, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Part of each sample row: propagation over the neighbour graph, at most 1.3 x the mean size each."""
     rng = np.random.default_rng(seed)
@@ -73,11 +38,11 @@ def balanced_parts(x: np.ndarray, parts: int, k: int = GRAPH_K, rounds: int = 12
     k = min(k, n - 1)
     near = np.empty((n, k), np.int64)
     for s in range(0, n, 1024):
-        d = _square(x[s : s + 1024], x)
+        d = squares(x[s : s + 1024], x)
         d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf
         near[s : s + 1024] = np.argpartition(d, k - 1, axis=1)[:, :k]
-    seeds = _spread_seeds(x, parts, rng)
-    to_seed = _square(x, x[seeds])
+    seeds = spread_seeds(x, parts, rng)
+    to_seed = squares(x, x[seeds])
     cap = int(np.ceil(1.3 * n / len(seeds)))
 
     def fill(score: np.ndarray) -> np.ndarray:
@@ -142,159 +107,19 @@ class Router:
         return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
 
 
-def _fit(rows: DataFrame, sample: int, parts: int) -> tuple[Router, np.ndarray, np.ndarray, np.ndarray]:
-    """Router, ball centres, the part of each ball and its inner radius, from at most `sample` rows chosen by hash."""
-    got = rows.select("id", "vec").orderBy(F.xxhash64("id")).limit(sample).toPandas()
-    x = np.array(got["vec"].tolist(), np.float64)
-    parts = max(1, min(parts, len(x) // 8))
+def learned(x: np.ndarray, parts: int) -> Router:
+    """The router of a sample: a classifier of the balanced parts of its neighbour graph."""
     part = balanced_parts(x, parts) if parts > 1 else np.zeros(len(x), np.int64)
-    parts = int(part.max()) + 1
-    router = Router(x, part, parts)
-    part = router.ranked(x, 1)[:, 0]
-    rng, centres, of, wide = np.random.default_rng(11), [], [], []
-    for p in range(parts):
-        own = x[part == p]
-        if not len(own):
-            own = x[:1]
-        c = own[_spread_seeds(own, BALLS, rng)]
-        for _ in range(4):
-            a = _square(own, c).argmin(1)
-            c = np.stack([own[a == j].mean(0) if (a == j).any() else c[j] for j in range(len(c))])
-        centres.append(c)
-        of += [p] * len(c)
-        far, a = np.sqrt(_square(own, c).min(1)), _square(own, c).argmin(1)
-        wide += [float(np.quantile(far[a == j], 0.9)) if (a == j).any() else 0.0 for j in range(len(c))]
-    typical = float(np.median([w for w in wide if w > 0] or [1.0]))
-    return router, np.concatenate(centres), np.array(of), 3 * np.maximum(wide, typical)
-
-
-def _ring(far: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    """0 within the inner radius, then one ring for each doubling."""
-    return np.where(far <= inner, 0, 1 + np.clip(np.log2(np.maximum(far, 1e-300) / inner), 0, RINGS - 2).astype(np.int64)).astype(np.int32)
-
-
-def _search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """rows (part, id, vec), queries (part, q, vec) -> q, near: list of (d, id), the k nearest in the queried parts.
-    Tiles are keyed by (part, row block, query block), each of bounded size."""
-    rb = rows.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("rb"))
-    qb = queries.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("qb"))
-    sizes = rb.join(qb, "part")
-    left = rows.join(sizes, "part").withColumn("r", F.pmod(F.xxhash64("id"), F.col("rb")).cast("int")).select(F.col("part").alias("part"), "r", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("s"), F.col("id").alias("id"), F.col("vec").alias("x"))
-    right = queries.join(sizes, "part").withColumn("s", F.pmod(F.xxhash64("q"), F.col("qb")).cast("int")).select(F.col("part").alias("part"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("r"), "s", F.col("q").alias("q"), F.col("vec").alias("y"))
-
-    def tile(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids, x = a.column("id").to_numpy(), _matrix(a.column("x")) if len(a) else None
-        out_q, out_d, out_i = [], [], []
-        if len(a) and len(b):
-            q, y = b.column("q").to_numpy(), _matrix(b.column("y"))
-            take = min(k + 4, len(ids))
-            for s in range(0, len(q), 512):
-                d = _square(y[s : s + 512], x)
-                d[q[s : s + 512][:, None] == ids[None, :]] = np.inf
-                near = np.argpartition(d, take - 1, axis=1)[:, :take]
-                exact = ((y[s : s + 512][:, None, :] - x[near]) ** 2).sum(-1)
-                exact[ids[near] == q[s : s + 512][:, None]] = np.inf
-                order = np.lexsort((ids[near], exact), axis=1)[:, :k]
-                out_d.append(np.take_along_axis(exact, order, 1))
-                out_i.append(np.take_along_axis(ids[near], order, 1))
-                out_q.append(q[s : s + 512])
-        if not out_q:
-            return pa.table({"q": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())])))})
-        qs, d, i = np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_i)
-        keep = np.isfinite(d)
-        flat = pa.StructArray.from_arrays([pa.array(d[keep]), pa.array(i[keep])], ["d", "id"])
-        offs = np.r_[0, keep.sum(1).cumsum()].astype(np.int32)
-        return pa.table({"q": pa.array(qs), "near": pa.ListArray.from_arrays(pa.array(offs), flat)})
-
-    found = left.groupBy("part", "r", "s").cogroup(right.groupBy("part", "r", "s")).applyInArrow(tile, "q long, near array<struct<d:double,id:long>>")
-    return found
-
-
-def _merge(found: DataFrame, k: int) -> DataFrame:
-    """q, near: the k nearest over all tiles of a query, by (distance, id)."""
-    return found.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
-
-
-def nearest(rows: DataFrame, k: int, parts: int = PARTS, probes: int = PROBES, sample: int = SAMPLE, certify: bool = True) -> DataFrame:
-    """q, near (list of (squared distance, id)): the k nearest other rows of each row of `rows`
-    (id, vec; vectors distinct). certify: search also the parts that may hold a nearer row."""
-    spark = rows.sparkSession
-    none = "q long, near array<struct<d:double,id:long>>"
-    if not rows.limit(2).count() == 2:
-        return spark.createDataFrame([], none)
-    router, centres, of, inner = _fit(rows, sample, parts)
-    sent = spark.sparkContext.broadcast((router, centres, of, inner))
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        router, centres, of, inner = sent.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _matrix(b.column(1))
-            probed = router.ranked(x, probes)
-            ball, far = np.empty(len(x), np.int32), np.empty(len(x))
-            for p in np.unique(probed[:, 0]):
-                m, own = probed[:, 0] == p, np.flatnonzero(of == p)
-                d = _square(x[m], centres[own])
-                ball[m], far[m] = own[d.argmin(1)], np.sqrt(d.min(1))
-            ring = _ring(far, inner[ball])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(probed[:, 0].astype(np.int32)), pa.array(list(probed.astype(np.int32))), pa.array(ball), pa.array(ring), pa.array(far)], ["id", "vec", "own", "probed", "ball", "ring", "far"])
-
-    indexed = materialize(spread(rows.select("id", "vec")).mapInArrow(index, "id long, vec array<double>, own int, probed array<int>, ball int, ring int, far double"), "indexed")
-    # at most balls x rings rows, whatever the table's size
-    rings = indexed.groupBy("ball", "ring").agg(F.min("far").alias("low"), F.max("far").alias("high"), F.count(F.lit(1)).alias("n")).collect()
-    # inner rows are searched by part, the scattered rows by themselves, in so many groups that each is a few tiles
-    groups = int(max(1, min(router.parts, -(-sum(r["n"] for r in rings if r["ring"]) // (4 * TILE)))))
-    table = indexed.select(F.when(F.col("ring") > 0, -1 - F.col("own") % groups).otherwise(F.col("own")).alias("part"), "id", "vec")
-    queries = indexed.select(F.explode("probed").alias("part"), F.col("id").alias("q"), "vec")
-    first = materialize(_merge(_search(table, queries, k), k), "near")
-    if not certify:
-        return first
-    ring_of = spark.sparkContext.broadcast(tuple(np.array([r[c] for r in rings]) for c in ("ball", "ring", "low", "high")))
-
-    def open_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (router, centres, of, _), (ball, ring, low, high) = sent.value, ring_of.value
-        unit = np.where(ring > 0, -1 - of[ball] % groups, of[ball])
-        order = np.argsort(unit, kind="stable")
-        starts = np.flatnonzero(np.r_[True, unit[order][1:] != unit[order][:-1]])
-        names = unit[order][starts]
-        for big in batches:
-            for at in range(0, big.num_rows, 1024):
-                b = big.slice(at, 1024)
-                x, limit = _matrix(b.column(1)), b.column(3).to_numpy(zero_copy_only=False)
-                d = np.sqrt(_square(x, centres))[:, ball]
-                gap = np.maximum(d - high[None], low[None] - d)
-                least = np.minimum.reduceat(gap[:, order], starts, axis=1)
-                hit = least <= (limit * (1 + 1e-9) + 1e-9)[:, None]
-                for i, done in enumerate(b.column(2).to_pylist()):
-                    hit[i, np.isin(names, done)] = False
-                i, u = np.nonzero(hit)
-                yield pa.RecordBatch.from_arrays([pa.array(names[u].astype(np.int32)), b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i))], ["part", "q", "vec"])
-
-    limit = F.when(F.size("near") >= k, F.sqrt(F.get("near", F.lit(k - 1))["d"])).otherwise(F.lit(float("inf")))
-    waiting = indexed.join(first.select(F.col("q").alias("id"), limit.alias("limit")), "id", "left").select("id", "vec", "probed", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
-    again = materialize(waiting.mapInArrow(open_units, "part int, q long, vec array<double>"), "again")
-    second = _search(table, again, k)
-    return _merge(first.unionByName(second), k)
+    return Router(x, part, int(part.max()) + 1)
 
 
-def nearest_within(rows: DataFrame, by: str, k: int) -> DataFrame:
-    """q, near: the k nearest others within each value of `by` (rows: by, id, vec), in tiles of bounded size."""
-    own = rows.select(F.coalesce(F.col(by).cast("string"), F.lit("")).alias("part"), "id", "vec")
-    return _merge(_search(own, own.withColumnRenamed("id", "q"), k), k)
+def nearest(rows: DataFrame, k: int, parts: int | None = None, certify: bool = True) -> DataFrame:
+    """q, near (list of (squared distance, id)): the k nearest other rows of each row of `rows` (id, vec; vectors distinct)."""
+    return vector_index.nearest(rows, k, fit=learned, parts=parts or max(LEAST_PARTS, vector_index.parts_for(rows.count())), certify=certify)
 
 
 def nearest_ids(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, **how) -> DataFrame:
     """vec_id, near_id, distance: the k nearest other usable rows of each usable row, copies included
     (a copy is at distance 0); ties to the smaller id."""
-    kinds = materialize(distinct_vectors(usable(df, id_col, vec_col, dim), k), "kinds")
-    found = nearest(kinds, k, **how)
-    # a neighbour stands for its copies: at most k ids of it can be among the k nearest
-    near = found.select("q", F.explode("near").alias("n")).join(kinds.select(F.col("id").alias("nid"), F.col("ids").alias("nids")), F.col("n.id") == F.col("nid"))
-    lists = near.groupBy("q").agg(F.flatten(F.collect_list(F.transform("nids", lambda i: F.struct(F.col("n.d").alias("d"), i.alias("id"))))).alias("others"))
-    own = kinds.select("id", "vec", "ids").join(lists, F.col("id") == F.col("q"), "left")
-    copies = own.where(F.size("ids") > 1).select("vec", "ids", "others").join(usable(df, id_col, vec_col, dim).select(F.col("id").alias("vec_id"), "vec"), "vec")
-    many = own.where(F.size("ids") == 1).select(F.col("id").alias("vec_id"), "ids", "others").unionByName(copies.select("vec_id", "ids", "others"))
-    pool = F.concat(F.transform("ids", lambda i: F.struct(F.lit(0.0).alias("d"), i.alias("id"))), F.coalesce("others", F.array().cast("array<struct<d:double,id:long>>")))
-    best = F.slice(F.array_sort(F.filter(pool, lambda n: n["id"] != F.col("vec_id"))), 1, k)
-    return many.select("vec_id", F.explode(best).alias("n")).select("vec_id", F.col("n.id").alias("near_id"), F.sqrt("n.d").alias("distance"))
+    near = vector_index.neighbour_lists(usable(df, id_col, vec_col, dim), k, nearest, **how)
+    return near.select(F.col("id").alias("vec_id"), F.explode("near").alias("n")).select("vec_id", F.col("n.id").alias("near_id"), F.sqrt("n.d").alias("distance"))
