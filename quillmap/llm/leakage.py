@@ -1,23 +1,26 @@
-"""Evaluation texts leaking into training text: a prefix-filtered set join with exact windows.
+"""Evaluation texts leaking into training text: a prefix-filtered set join, then item-sized windows.
 
 1. Item texts are folded (markup, case, accents, look-alike letters, control characters, broken
-   encodings, line-end hyphens) and cut into words; sentences that many items share are stock and
-   go. Word 3-shingles of an item are the set to contain.
-2. Document frequencies of the item shingles are counted over all documents; each item keeps its
-   shingles from rare to frequent, and its prefix: any document that holds the share ALPHA of its
-   shingles must hold one of them.
-3. Documents meet items on prefix shingles; the length bound and the positional bound drop pairs
-   that cannot reach the share; the rest is verified over windows the size of the item, where the
-   item's words must recur in their order in one or two stretches that cover COVER of them and in
-   which the item's own names, figures and terms recur too.
-
-Items are processed in blocks of bounded size, each a narrow pass over the documents, so the item
-table may grow. 3-shingles and the share are of this problem's statement (half the words, single
-words changed), where five-word shingles at 0.8 would lose cases.
-
-Defined results: null and empty texts leak nothing; an item whose words are all stock is found
-nowhere; equal documents are reported each; very long documents are read whole; empty tables give
-no rows.
+   encodings, line-end hyphens) and cut into words; items of the same words are one text. Sentences
+   that STOCK texts or more share are stock and go. Word 3-shingles of an item are the set to contain.
+   Stock, rarity of words and the vocabulary are taken over all items at once.
+2. Documents are folded once, into a table of word lists. Document frequencies of the item shingles
+   are counted over all documents; each item keeps its shingles from rare to frequent, and its prefix:
+   any document that holds the share ALPHA of its shingles must hold one of them.
+3. Documents meet items by a join on prefix shingles; the length bound and the positional bound drop
+   pairs that cannot reach the share, and the shingles behind the prefix complete the count.
+4. The rest is verified over windows around the item's own words, where the item's words must recur in
+   their order in one or two stretches that cover COVER of them and in which the item's own names,
+   figures and terms recur too. (Exact containment would lose passages with single words changed.)
+
+3-shingles and the share are of this problem's statement (half the words, single words changed), where
+five-word shingles at 0.8 would lose cases. The small sides of the joins are sent to the tasks only
+behind a count of their rows; beyond it the same joins are shuffled.
+
+Defined results: null and empty texts leak nothing; an item whose words are all stock, or of fewer than
+three words, is found nowhere; one of three or four words is found where all of them stand in order;
+items of equal words are found in the same documents; equal documents are reported each; very long
+documents are read whole; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,19 +28,21 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import materialize, rows_bounded, spread
 
 #: Words of a shingle, share of an item's shingles a candidate must hold, share of its words a case
-#: must cover, share of own words in a stretch, items that make a sentence stock, items of a block.
-SHINGLE, ALPHA, COVER, OWN, STOCK, BLOCK_ITEMS = 3, 0.12, 0.5, 0.45, 2, 20_000
+#: must cover, share of own words in a stretch, texts that make a sentence stock.
+SHINGLE, ALPHA, COVER, OWN, STOCK = 3, 0.12, 0.5, 0.45, 2
+#: Rows (of one or two numbers) of a side that is sent to the tasks; words of all items, which are (an error beyond).
+SENT_ROWS, MOST_WORDS = 2_000_000, 4_000_000
 #: Words that may stand between two matches of one stretch.
 SLACK = 7
 #: Letters of other scripts that look like Latin ones, and letters without accents to fold.
@@ -45,6 +50,11 @@ _LOOKS = str.maketrans(
     "аеорсухіјѕԁһкмнтвгԛԝοαρνυκιτηεχωлп" + "øłđðþıſ" + "АЕОРСУХІЈЅКМНТВΟΑΡΝΥΚΙΤΗΕΧΒΜΖ",
     "aeopcyxijsdhkmhtbrqwoapvukitnexwnn" + "olddtis" + "aeopcyxijskmhtboapnykithexbmz",
 )
+_LOOK = re.compile("[" + "".join(map(chr, _LOOKS)) + "]")
+_MARKS = frozenset(chr(i) for i in range(0x300, 0x1F000) if unicodedata.combining(chr(i)))
+#: Emphasis signs, and the marks inside numbers and words; a set in front, so that the scan is fast.
+_INNER = re.compile(r"[*_`.,'](?:(?<=[*_`])|(?<=\d[.,])(?=\d)|(?<=\w')(?=\w))")
+_WORDS = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[A-Za-z!][^<>]{0,200}>|\{\\[^{}]{0,40}\}|\\[a-z]+\{")
 _BROKEN = re.compile("[Â-ô][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]+")
 _HIDDEN = re.compile("[\u0000-\u0008\u000b\u000e-\u001b\u007f-\u0084\u0086-\u009f­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿￹-￻]")
@@ -73,148 +83,94 @@ def words_of(text: str | None) -> list[str]:
     if "<" in text or "\\" in text:
         text = _TAG.sub(" ", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text.translate(_LOOKS))
-        text = "".join(c for c in text if not unicodedata.combining(c)).replace("’", "'").replace("‘", "'").replace("ß", "ss").replace("æ", "ae").replace("œ", "oe")
-    text = re.sub(r"(?<=\d)[.,](?=\d)|(?<=\w)'(?=\w)|[*_`]", "", text.lower())
-    return re.findall(r"[^\W_]+", text)
+        text = unicodedata.normalize("NFKD", text.translate(_LOOKS) if _LOOK.search(text) else text)
+        for mark in _MARKS.intersection(text):
+            text = text.replace(mark, "")
+        text = text.replace("’", "'").replace("‘", "'").replace("ß", "ss").replace("æ", "ae").replace("œ", "oe")
+    return _WORDS.findall(_INNER.sub("", text.lower()))
 
 
-def rejoin(words: list[str], vocabulary: set[str]) -> list[str]:
-    """Puts parts of a broken word together where only the whole is a word of the items."""
-    out, i = [], 0
-    while i < len(words):
+def beginnings(vocabulary: frozenset[str]) -> frozenset[str]:
+    return frozenset(w[:i] for w in vocabulary for i in range(1, len(w)))
+
+
+def rejoin(words: list[str], vocabulary: frozenset[str], starts: frozenset[str]) -> list[str]:
+    """Puts parts of a broken word together where only the whole is a word of the items. starts: beginnings(vocabulary)."""
+    out, i, n = [], 0, len(words)
+    while i < n:
         w = words[i]
-        if w not in vocabulary:
+        if w not in vocabulary and w in starts:
             whole = w
-            for k in range(i + 1, min(i + 12, len(words))):
-                if len(words[k]) > 14 or (len(whole) > 24):
+            for k in range(i + 1, min(i + 12, n)):
+                if len(words[k]) > 14 or len(whole) > 24:
                     break
                 whole += words[k]
                 if whole in vocabulary and (len(words[k]) == 1 or words[k] not in vocabulary or len(whole) > 5):
-                    out.append(whole)
-                    i = k
+                    w, i = whole, k
+                    break
+                if whole not in starts:
                     break
-            else:
-                whole = ""
-            if out and out[-1] == whole and whole:
-                i += 1
-                continue
         out.append(w)
         i += 1
     return out
 
 
-class Items:
-    """Prepared items of one block: words without stock, shingles by rarity, prefixes."""
-
-    def __init__(self, rows: list[tuple[int, str | None]], stock: set[tuple[str, ...]], common: dict[str, int], n_items: int):
-        self.ids, self.words, self.own, self.vocabulary = [], [], [], set()
-        rare = max(4, int(0.02 * n_items))
-        for item, text in rows:
-            kept: list[str] = []
-            for s in _SENTENCE.split(text or ""):
-                w = words_of(s)
-                if tuple(w) not in stock:
-                    kept += w
-            if len(kept) >= SHINGLE:
-                self.ids.append(item)
-                self.words.append(kept)
-                self.own.append({w for w in kept if common.get(w, 0) <= rare})
-                self.vocabulary.update(kept)
-        self.prefix: dict[tuple[str, ...], list[tuple[int, int]]] = {}
-        self.rest: dict[tuple[str, ...], list[int]] = {}
-        self.needed: list[int] = []
-        self.shorter = [self._shorter(w) for w in self.words]
-
-    @staticmethod
-    def _shorter(words: list[str]) -> dict[str, str]:
-        out: dict[str, str] = {}
-        for w in set(words):
+class Item:
+    """What is looked up of one item: its words, its own ones, and those that are one letter away."""
+
+    def __init__(self, words: list[str], own: set[str]):
+        self.words, self.own, self.all = words, own, set(words)
+        self.shorter: dict[str, str] = {}
+        for w in sorted(self.all):
             if len(w) > 4:
                 for i in range(len(w)):
-                    out.setdefault(w[:i] + w[i + 1 :], w)
-        return out
-
-    def shingles(self, k: int) -> set[tuple[str, ...]]:
-        w = self.words[k]
-        return {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}
-
-    def order(self, df: dict[tuple[str, ...], int]) -> None:
-        prefix, rest = defaultdict(list), defaultdict(list)
-        for k in range(len(self.words)):
-            ordered = sorted(self.shingles(k), key=lambda s: (df.get(s, 0), s))
-            need = max(2, int(ALPHA * len(ordered)))
-            self.needed.append(need)
-            cut = len(ordered) - need + 1
-            for at, s in enumerate(ordered):
-                (prefix[s].append((k, len(ordered) - at)) if at < cut else rest[s].append(k))
-        self.prefix, self.rest = dict(prefix), dict(rest)
-
-    def candidates(self, words: list[str]) -> list[int]:
-        held = {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
-        hits: Counter[int] = Counter()
-        left: dict[int, int] = {}
-        for s in held:
-            for k, remaining in self.prefix.get(s, ()):
-                hits[k] += 1
-                left[k] = max(left.get(k, 0), remaining)
-        if not hits:
-            return []
-        for s in held:
-            for k in self.rest.get(s, ()):
-                if k in hits:
-                    hits[k] += 1
-        # length bound: the text must have room for the share; positional bound: enough shingles from the first met
-        return [k for k, n in hits.items() if n >= self.needed[k] and left[k] >= self.needed[k] and len(words) >= COVER * len(self.words[k]) / 2]
-
-    def _alike(self, k: int, words: list[str]) -> list[str]:
-        """Words one letter away from a word of the item become that word."""
-        own, short = set(self.words[k]), self.shorter[k]
-        out = []
-        for w in words:
-            if w not in own and len(w) > 3:
-                hit = short.get(w)
-                if hit is None:
-                    for i in range(len(w)):
-                        v = w[:i] + w[i + 1 :]
-                        if v in own and len(v) > 3:
-                            hit = v
-                            break
-                        if v in short and abs(len(short[v]) - len(w)) <= 1:
-                            hit = short[v]
-                            break
-                w = hit or w
-            out.append(w)
-        return out
-
-    def covered(self, k: int, words: list[str]) -> float:
+                    self.shorter.setdefault(w[:i] + w[i + 1 :], w)
+
+    def _alike(self, w: str) -> str:
+        """The item's word that is one letter away from w, else w."""
+        if w in self.all or len(w) < 4:
+            return w
+        short = self.shorter
+        if hit := short.get(w):
+            return hit
+        for i in range(len(w)):
+            v = w[:i] + w[i + 1 :]
+            if v in self.all and len(v) > 3:
+                return v
+            if v in short and abs(len(short[v]) - len(w)) <= 1:
+                return short[v]
+        return w
+
+    def covered(self, words: list[str]) -> float:
         """Share of the item's words in the best one or two stretches of the text."""
-        item = self.words[k]
-        near = {w for w in item}
-        at = [i for i, w in enumerate(words) if w in near and w in self.own[k]]
-        if not at:
-            return 0.0
-        # windows of the item's size around its own words; the rest of a long text cannot match
+        # windows around the item's own words; the rest of a long text cannot match and shrinks to a gap
         keep, reach = bytearray(len(words)), 2 * SLACK + 4
-        for i in at:
-            a, b = max(0, i - reach), min(len(words), i + reach + 1)
-            keep[a:b] = b"\1" * (b - a)
-        text = self._alike(k, [w if keep[i] else "" for i, w in enumerate(words)])
-        text = [w or f"\0{i}" for i, w in enumerate(text)]
-        left, total = list(item), 0
+        for i, w in enumerate(words):
+            if w in self.own:
+                a, b = max(0, i - reach), min(len(words), i + reach + 1)
+                keep[a:b] = b"\1" * (b - a)
+        text, gap = [], 0
+        for i, w in enumerate(words):
+            gap = 0 if keep[i] else gap + 1
+            if gap <= SLACK + 1:
+                text.append(self._alike(w) if keep[i] else f"\0{i}")
+        if not any(keep):
+            return 0.0
+        left, total = list(self.words), 0
         for _ in range(2):
-            best = self._stretch(k, left, text)
+            best = self._stretch(left, text)
             if best is None:
                 break
             span, i0, i1, j0, j1 = best
             total += span
             left = [w if not i0 <= i < i1 else f"\1{i}" for i, w in enumerate(left)]
             text = [w if not j0 <= j < j1 else f"\2{j}" for j, w in enumerate(text)]
-        return total / len(item)
+        return total / len(self.words)
 
-    def _stretch(self, k: int, item: list[str], text: list[str]) -> tuple[int, int, int, int, int] | None:
+    def _stretch(self, item: list[str], text: list[str]) -> tuple[int, int, int, int, int] | None:
         blocks = [b for b in SequenceMatcher(None, text, item, autojunk=False).get_matching_blocks() if b.size]
         best, run = None, []
+        least, least_own = min(5, len(self.words)), min(2, sum(w in self.own for w in self.words))
 
         def weigh() -> None:
             nonlocal best
@@ -227,9 +183,9 @@ class Items:
                 return
             i0, i1, j0, j1 = run[0].b, run[-1].b + run[-1].size, run[0].a, run[-1].a + run[-1].size
             matched = sum(b.size for b in run)
-            own = [i for i in range(i0, i1) if self.words[k][i] in self.own[k]]
+            own = [i for i in range(i0, i1) if self.words[i] in self.own]
             got = {i for b in run for i in range(b.b, b.b + b.size)}
-            if matched >= 5 and matched >= 0.5 * (i1 - i0) and len(own) >= 2 and sum(i in got for i in own) >= OWN * len(own) and (best is None or i1 - i0 > best[0]):
+            if matched >= least and matched >= 0.5 * (i1 - i0) and len(own) >= least_own and sum(i in got for i in own) >= OWN * len(own) and (best is None or i1 - i0 > best[0]):
                 best = (i1 - i0, i0, i1, j0, j1)
 
         for b in blocks:
@@ -241,56 +197,88 @@ class Items:
         return best
 
 
-def _stock(rows: list[tuple[int, str | None]]) -> tuple[set[tuple[str, ...]], dict[str, int]]:
-    """Sentences that STOCK items or more share, and in how many items each word stands."""
-    sentences: Counter[tuple[str, ...]] = Counter()
-    words: Counter[str] = Counter()
-    for _, text in rows:
-        own = {tuple(words_of(s)) for s in _SENTENCE.split(text or "")}
-        sentences.update(own)
-        words.update({w for s in own for w in s})
-    return {s for s, n in sentences.items() if n >= STOCK and len(s) > 4}, dict(words)
+@lru_cache(4096)
+def _item(words: tuple[str, ...], own: tuple[str, ...]) -> Item:
+    return Item(list(words), set(own))
+
+
+def _sent(small: DataFrame) -> DataFrame:
+    """small, marked to be sent to the tasks where its rows are few enough."""
+    return F.broadcast(small) if rows_bounded(small, SENT_ROWS) else small
 
 
-def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def _shingles(words: Column) -> Column:
+    """Distinct hashes of the word shingles of a list (of at least SHINGLE words)."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)])))
+
+
+def prepare_items(items: DataFrame, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """(key, words without stock, own: those of few texts) of each text with words enough, and (key, item_id) of all items."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = [[" ".join(w) for s in _SENTENCE.split(t or "") if (w := words_of(s))] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said, pa.list_(pa.string()))], ["item_id", "said"])
+
+    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("t")).where("item_id is not null and t is not null")
+    folded = materialize(rows.mapInArrow(fold, "item_id long, said array<string>").where(F.size("said") > 0), "items")
+    kinds = materialize(folded.groupBy("said").agg(F.min("item_id").alias("key")), "kinds")
+    each = kinds.select("key", F.posexplode("said").alias("pos", "s"))
+    stock = each.where(F.size(F.split("s", " ")) > 4).groupBy("s").agg(F.count_distinct("key").alias("n")).where(F.col("n") >= STOCK)
+    kept = each.join(stock, "s", "left_anti").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("x"))
+    kept = kept.select("key", F.flatten(F.transform("x", lambda v: F.split(v["s"], " "))).alias("words")).where(F.size("words") >= SHINGLE)
+    rare = max(4, int(0.02 * kinds.count()))
+    often = each.select("key", F.explode(F.split("s", " ")).alias("w")).distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= rare)
+    own = kept.select("key", F.explode(F.array_distinct("words")).alias("w")).join(often, "w").groupBy("key").agg(F.array_sort(F.collect_list("w")).alias("own"))
+    ready = materialize(kept.join(own, "key", "left").select("key", "words", F.coalesce("own", F.array().cast("array<string>")).alias("own")), "ready")
+    return ready, folded.join(kinds, "said").select("key", "item_id").distinct()
+
+
+def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """doc_id, item_id, covered (share of the item's words) for every document that gives an item away."""
     spark = docs.sparkSession
+    ready, members = prepare_items(items, item_id, item_text)
+    words = ready.select(F.explode("words").alias("w")).distinct()
+    if not rows_bounded(words, MOST_WORDS):
+        raise ValueError(f"the items have more than {MOST_WORDS} distinct words; give them in parts")
+    sent = spark.sparkContext.broadcast(frozenset(r.w for r in words.collect()))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = sent.value
+        starts = beginnings(vocabulary)
+        for big in batches:
+            for at in range(0, big.num_rows, 1024):
+                b = big.slice(at, 1024)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([rejoin(words_of(t), vocabulary, starts) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], ["doc_id", "words"])
+
     source = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.length(text) > 0))
-    n = items.count()
-    blocks, found = max(1, -(-n // block_items)), None
-    for k in range(blocks):
-        rows = [(r["i"], r["t"]) for r in items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).dropDuplicates(["i", "t"]).collect()]
-        stock, common = _stock(rows)
-        block = Items(rows, stock, common, len(rows))
-        sent = spark.sparkContext.broadcast(block)
-
-        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = sent.value
-            wanted = {s for k in range(len(block.words)) for s in block.shingles(k)}
-            held: Counter[tuple[str, ...]] = Counter()
-            for b in batches:
-                for t in b.column(1).to_pylist():
-                    w = rejoin(words_of(t), block.vocabulary)
-                    held.update({tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)} & wanted)
-            yield pa.RecordBatch.from_arrays([pa.array([" ".join(s) for s in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["s", "k"])
-
-        # at most the block's shingles: a bounded table
-        df = {tuple(r["s"].split(" ")): r["n"] for r in source.mapInArrow(count, "s string, k long").groupBy("s").agg(F.sum("k").alias("n")).collect()}
-        block.order(df)
-        ready = spark.sparkContext.broadcast(block)
-
-        def match(batches: Iterator[pa.RecordBatch], ready=ready) -> Iterator[pa.RecordBatch]:
-            block = ready.value
-            for b in batches:
-                d, i, c = [], [], []
-                for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    w = rejoin(words_of(t), block.vocabulary)
-                    for k in block.candidates(w):
-                        share = block.covered(k, w)
-                        if share >= COVER:
-                            d.append(doc), i.append(block.ids[k]), c.append(share)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64()), pa.array(c, pa.float64())], ["doc_id", "item_id", "covered"])
-
-        hits = source.mapInArrow(match, "doc_id long, item_id long, covered double")
-        found = hits if found is None else found.unionByName(hits)
-    return found.groupBy("doc_id", "item_id").agg(F.round(F.max("covered"), 6).alias("covered"))
+    folded = source.mapInArrow(fold, "doc_id long, words array<string>").where(F.size("words") >= SHINGLE)
+    folded = materialize(folded.withColumn("row", F.monotonically_increasing_id()), "folded")
+    of_items = materialize(ready.select("key", F.size("words").alias("n_words"), F.explode(_shingles(F.col("words"))).alias("s")), "of_items")
+    wanted = _sent(of_items.select("s").distinct())
+    held = materialize(folded.select("row", F.size("words").alias("n"), F.explode(_shingles(F.col("words"))).alias("s")).join(wanted, "s", "left_semi"), "held")
+    # rarity over all documents; an item's rows are as many as its words
+    df = held.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    own, ranked = Window.partitionBy("key"), Window.partitionBy("key").orderBy("df", "s")
+    order = of_items.join(df, "s", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("k", F.count(F.lit(1)).over(own)).withColumn("at", F.row_number().over(ranked))
+    order = order.withColumn("need", F.least("k", F.greatest(F.lit(2), F.floor(F.lit(ALPHA) * F.col("k"))))).withColumn("left", F.col("k") - F.col("at") + 1)
+    order = materialize(order.select("key", "s", "n_words", "need", "left", (F.col("left") >= F.col("need")).alias("first")), "order")
+    met = held.join(_sent(order.where("first").drop("first")), "s").where(F.col("n") >= COVER * F.col("n_words") / 2)
+    met = met.groupBy("row", "key").agg(F.count(F.lit(1)).alias("got"), F.max("left").alias("left"), F.max("need").alias("need"))
+    # behind its first met shingle an item has left - 1 more, the last need - 1 of them outside the prefix
+    met = materialize(met.where((F.col("left") >= F.col("need")) & (F.col("got") + F.col("need") - 1 >= F.col("need"))), "met")
+    tails = order.where("not first").groupBy("key").agg(F.collect_list("s").alias("tail"))
+    has = held.join(_sent(met.select("row").distinct()), "row", "left_semi").groupBy("row").agg(F.collect_list("s").alias("has"))
+    more = F.when(F.col("got") < F.col("need"), F.size(F.array_intersect("has", F.coalesce("tail", F.array().cast("array<long>"))))).otherwise(0)
+    chosen = materialize(met.join(tails, "key", "left").join(has, "row").where(F.col("got") + more >= F.col("need")).select("row", "key"), "chosen")
+    wide = folded.join(_sent(chosen), "row").join(ready, "key").select("doc_id", "key", folded["words"].alias("doc"), ready["words"].alias("item"), "own")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 256):
+                b = big.slice(at, 256)
+                share = [_item(tuple(i), tuple(o)).covered(w) for w, i, o in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(share, pa.float64())], ["doc_id", "key", "covered"])
+
+    found = wide.mapInArrow(verify, "doc_id long, key long, covered double").where(F.col("covered") >= COVER)
+    return found.join(members, "key").groupBy("doc_id", "item_id").agg(F.round(F.max("covered"), 6).alias("covered"))

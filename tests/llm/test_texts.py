@@ -35,7 +35,7 @@ def item(rng):
     return f"Read the passage below and choose the best answer. When the {a}holm commission counted {n[0]} records in {n[1]}, its clerk {b}ta noted that {c.lower()} growth had outrun {d.lower()} rate by {n[2]} points. Three letters from {d}burg to {a}dorf quarrel over {b.lower()} tax: {n[3]}, {n[4]} or none at all? Who but {c}ford kept the ledger of {a}mont and {b}wick together?"
 
 
-def test_leaks(spark):
+def test_leaks(spark, monkeypatch):
     rng = random.Random(1)
     items = [(i, item(rng)) for i in range(40)] + [(90, None), (91, ""), (92, "Read the passage below and choose the best answer.")]
     filler = lambda: " ".join(f"Data on {rng.choice(NAMES).lower()} yield were collected at {rng.randrange(100, 999)} sites near {rng.choice(NAMES)}ton." for _ in range(6))
@@ -57,15 +57,22 @@ def test_leaks(spark):
     d = spark.createDataFrame([r + (5, "q") for r in docs], "doc_id long, text string, item_id int, covered string")
     i = spark.createDataFrame(items, "item_id long, item_text string")
     want = {(k, n) for k, (n, _) in cases.items()} | {(26, 10)}
-    for block in (20_000, 15):
-        got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, "doc_id", "text", i, "item_id", "item_text", block).collect()}
-        if block == 20_000:
-            assert got == want
-        else:
-            assert {k for k, _ in got} >= {k for k, _ in want} - {5}
+    for sent in (2_000_000, 3):  # small sides sent, or joined by shuffles: the same rows
+        monkeypatch.setattr(leakage, "SENT_ROWS", sent)
+        assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, "doc_id", "text", i, "item_id", "item_text").collect()} == want
     assert leakage.find_leaks(d.limit(0), "doc_id", "text", i, "item_id", "item_text").count() == 0
 
 
+def test_short_and_repeated_items(spark):
+    """Items of three or four words need all of them in order; items of equal words are found alike; a sentence of many items is stock."""
+    shared = "All clerks of the northern office signed the ledger twice."
+    items = [(1, "Quista zendar luvin orpek"), (2, "Brexa corvin delpho"), (3, "two words"), (4, shared), (5, shared + " Sadira timol found the luvin orpek helmor notes."), (6, "varo Mirle, kestin ombra tulsek pradi helmor!"), (7, "Varo mirle kestin ombra tulsek pradi helmor")]
+    docs = [(1, "On quista zendar luvin orpek it says"), (2, "quista zendar it luvin says orpek"), (3, "a brexa corvin delpho b"), (4, "two words"), (5, "x " + shared), (6, "So varo mirle kestin ombra tulsek pradi helmor ended"), (6, "other text of that id")]
+    i, d = spark.createDataFrame(items, "item_id long, item_text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, "doc_id", "text", i, "item_id", "item_text").collect()}
+    assert got == {(1, 1), (3, 2), (6, 6), (6, 7)}
+
+
 def test_subjects(spark):
     rng = random.Random(3)
     areas = {s: [f"{s[:2]}{a} {s[-2:]}{b}" for a, b in (("vore", "lin"), ("mata", "sorn"), ("kile", "pand"), ("rumo", "tisk"))] for s in ("law", "sport", "physics", "history", "medicine")}
