@@ -6,6 +6,7 @@ subject far more often than chance. The sample of labelled documents is bounded
 is counted beside it (rarity of terms, words of sentences without a subject, terms of assigned
 documents) is counted over all documents.
 
+0. Fold every text once, into a table of its sentences; all later passes read that table.
 1. Count terms by subject in the labelled documents; keep those whose lower confidence bound lies far
    above the subject's share of all labels.
 2. Over all documents, count how often each word stands in sentences without such a term. Words
@@ -15,10 +16,11 @@ documents) is counted over all documents.
    the sample keep their labels), and count once more over these, so that terms which few labelled
    documents hold, as in the rarer languages, come in too. At any size and number of labels this is
    one pass, whose counts are summed before they are shuffled.
-4. Choose the sentence threshold that agrees best with the labels.
+4. Choose each subject's threshold for sentences by the labels of held-out documents, of which no term
+   was learnt: the one with the best F, where few held-out labels lean on those of all subjects.
 5. Match all documents: an automaton finds the terms of each sentence, a sentence's subject is the
    one with the greatest weight (purity x rarity) beyond the threshold, and a document gets every
-   subject of at least SHARE of its sentences.
+   subject of at least SHARE of its sentences. A sentence counts for one subject.
 
 Defined results: null, empty and blank texts and texts without a subject have no row; labels are
 matched to the subjects by case, blanks and one or two letters, others are ignored; repeated labels
@@ -38,18 +40,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import rows_bounded, spread
+from ..runtime import materialize, rows_bounded, spread
 from .leakage import words_of
 
 #: Labelled documents of the sample, least documents of a term, width of its confidence interval, share
 #: of sentences. SHARE is a fifth, less what uneven sentence ends take.
 FIT_DOCS, SUPPORT, Z, SHARE = 20_000, 4, 2.0, 0.18
+#: One in HELD labelled documents is held out for the thresholds; held-out labels that weigh as much as those of all subjects.
+HELD, LEANS = 5, 20
 #: How far from a subject's share of the labels to 1 a term's lower bound and its purity must lie, and from
 #: where on a word leans to a subject and so is no mark of sentences without one.
 GAIN_LOW, GAIN, LEAN = 0.38, 0.55, 0.25
 #: Share of its sentences without a term that makes a word a mark of such sentences, how many marks
-#: make a sentence one, thresholds tried, and the most subjects and dictionary terms that are sent.
-MARK, MARKS, TRIED, MOST_SUBJECTS, MOST_TERMS = 0.85, 3, (0.35, 0.5, 0.65, 0.8, 1.0, 1.25), 1_000, 200_000
+#: make a sentence one, thresholds tried, and the most subjects, labels as written and dictionary terms that are sent (more are an error).
+MARK, MARKS, TRIED, MOST_SUBJECTS, MOST_TERMS = 0.85, 3, (0.35, 0.5, 0.65, 0.8, 1.0, 1.25), 1_000, 2_000_000
 _END = re.compile(r"\n\s*\n|\n(?=\s*(?:[-*•#>]|\d+[.)]\s|[A-Z]{2,4}\s*-\s|(?:PT|TI|SO|DE|ID|AB|PY|ER|AU)\s))|\s\|\s|(?<=[.!?;])\s+|(?<=[.!?])(?=[^\W\d_a-z])")
 
 
@@ -79,12 +83,12 @@ def terms_of(words: list[str]) -> set[str]:
 class Matcher:
     """Automaton over the terms, both orders of a pair; weights by purity and rarity."""
 
-    def __init__(self, terms: dict[str, tuple[str, float]], marks: Iterable[str] = (), threshold: float = 0.0):
-        self.terms, self.marks, self.threshold = terms, frozenset(marks), threshold
+    def __init__(self, terms: dict[str, tuple[str, float]], marks: Iterable[str] = (), threshold: float = 0.0, own: dict[str, float] | None = None):
+        self.terms, self.marks, self.threshold, self.own = terms, frozenset(marks), threshold, own or {}
         self._a: ahocorasick.Automaton | None = None
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms, "marks": self.marks, "threshold": self.threshold, "_a": None}
+        return {"terms": self.terms, "marks": self.marks, "threshold": self.threshold, "own": self.own, "_a": None}
 
     def automaton(self) -> ahocorasick.Automaton:
         if self._a is None:
@@ -114,20 +118,43 @@ class Matcher:
             total[s] += w
         return max(total.items(), key=lambda x: (x[1], x[0])) if total else None
 
-    def shares(self, text: str | None, thresholds: tuple[float, ...]) -> list[dict[str, float]]:
+    def tried(self, all_of: list[list[str]], thresholds: tuple[float, ...]) -> list[dict[str, float]]:
         """Share of the sentences by subject, for each threshold."""
-        return self.shares_of(sentences(text), thresholds)
-
-    def shares_of(self, all_of: list[list[str]], thresholds: tuple[float, ...]) -> list[dict[str, float]]:
-        best = [b for b in (self.weigh(w) for w in all_of) if b]
+        best = [b for b in map(self.weigh, all_of) if b]
         return [{s: n / len(all_of) for s, n in Counter(s for s, w in best if w >= t).items()} for t in thresholds]
 
+    def shares(self, all_of: list[list[str]]) -> dict[str, float]:
+        """Share of the sentences by subject, by each subject's own threshold."""
+        n = Counter(b[0] for b in map(self.weigh, all_of) if b and b[1] >= self.own.get(b[0], self.threshold))
+        return {s: k / len(all_of) for s, k in n.items()}
+
+
+def _said(column: pa.Array) -> list[list[list[str]]]:
+    """The words of each sentence of each folded text."""
+    return [[s.split(" ") for s in t or ()] for t in column.to_pylist()]
+
+
+def fold(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, said (the folded sentences, words between blanks) of each document with any: a table, written once."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 1024):
+                b = big.slice(at, 1024)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[" ".join(w) for w in sentences(t)] for t in b.column(1).to_pylist()], pa.list_(pa.string()))], ["doc_id", "said"])
+
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.length(text) > 0)
+    return materialize(spread(source).mapInArrow(work, "doc_id long, said array<string>").where(F.size("said") > 0), "said")
+
 
 def clean_labels(labels: DataFrame, subjects: list[str]) -> dict[str, str]:
-    """Label as written -> subject, for the distinct labels (a bounded few are read: the most common)."""
+    """Label as written -> subject, for the distinct labels (more than MOST_TERMS spellings are an error)."""
     known = {s.strip().lower(): s for s in subjects}
     out = {}
-    for r in labels.where("subject is not null").groupBy("subject").count().orderBy(F.desc("count"), "subject").limit(100_000).collect():
+    spelt = labels.where("subject is not null").select("subject").distinct()
+    if not rows_bounded(spelt, MOST_TERMS):
+        raise ValueError(f"more than {MOST_TERMS} spellings of labels")
+    for r in spelt.collect():
         folded = " ".join(r["subject"].lower().split())
         near = [folded] if folded in known else difflib.get_close_matches(folded, known, 1, 0.72)
         if near:
@@ -136,7 +163,7 @@ def clean_labels(labels: DataFrame, subjects: list[str]) -> dict[str, str]:
 
 
 def _term_counts(fit: DataFrame, matcher: Matcher | None, taught: Matcher | None = None) -> DataFrame:
-    """term ('' for the documents themselves), subject ('' for all documents), n over the documents (text, subjects) that
+    """term ('' for the documents themselves), subject ('' for all documents), n over the documents (said, subjects) that
     have a subject; where subjects is null, taught assigns them."""
     sent = fit.sparkSession.sparkContext.broadcast((matcher, taught))
 
@@ -144,10 +171,9 @@ def _term_counts(fit: DataFrame, matcher: Matcher | None, taught: Matcher | None
         m, assign = sent.value
         for b in batches:
             n: Counter[tuple[str, str]] = Counter()
-            for text, subjects in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                all_of = sentences(text)
+            for all_of, subjects in zip(_said(b.column(0)), b.column(1).to_pylist()):
                 if not subjects and assign:
-                    subjects = [s for s, v in assign.shares_of(all_of, (assign.threshold,))[0].items() if v >= SHARE]
+                    subjects = [s for s, v in assign.shares(all_of).items() if v >= SHARE]
                 if not subjects:
                     continue
                 held = {""}
@@ -176,8 +202,10 @@ def _choose(counts: DataFrame, labelled: int, prior: DataFrame) -> dict[str, tup
     low = (p + z2 / (2 * n) - Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
     beyond = lambda g: F.col("q") + g * (1 - F.col("q"))
     rows = _top(counts, max(SUPPORT, labelled // 1000), prior).where((low >= beyond(GAIN_LOW)) & (p >= beyond(GAIN))).select("term", "subject", "p")
-    # a term needs SUPPORT documents of a bounded sample, so the table is bounded too
-    return {r["term"]: (r["subject"], r["p"]) for r in rows.orderBy(F.desc("p"), "term").limit(MOST_TERMS).collect()}
+    # a term needs a thousandth of the documents that have a subject, so there are fewer than 1000 x terms of a document
+    if not rows_bounded(rows, MOST_TERMS):
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    return {r["term"]: (r["subject"], r["p"]) for r in rows.collect()}
 
 
 def _leaning(counts: DataFrame, labelled: int, prior: DataFrame) -> set[str]:
@@ -186,18 +214,20 @@ def _leaning(counts: DataFrame, labelled: int, prior: DataFrame) -> set[str]:
     return {r["term"] for r in rows.select("term").collect()}
 
 
-def fit_matcher(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, subjects: DataFrame) -> Matcher | None:
-    spark = docs.sparkSession
+def fit_matcher(said: DataFrame, labels: DataFrame, subjects: DataFrame) -> Matcher | None:
+    """The matcher for documents as `fold` gives them."""
+    spark = said.sparkSession
     if not rows_bounded(subjects, MOST_SUBJECTS):
         raise ValueError(f"more than {MOST_SUBJECTS} subjects")
     written = clean_labels(labels.select("subject"), [r["subject"] for r in subjects.select("subject").where("subject is not null").distinct().collect()])
     if not written:
         return None
     pairs = spark.createDataFrame(list(written.items()), "subject string, area string")
-    areas = labels.select(F.col("doc_id"), "subject").join(F.broadcast(pairs), "subject").groupBy("doc_id").agg(F.array_sort(F.collect_set("area")).alias("areas"))
+    areas = labels.select(F.col("doc_id"), "subject").join(pairs, "subject").groupBy("doc_id").agg(F.array_sort(F.collect_set("area")).alias("areas"))
     sample = areas.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length(text) > 0)
-    fit = spread(source.join(F.broadcast(sample), "doc_id").select("text", "areas")).persist()
+    fold_of = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0
+    known = materialize(spread(said.join(F.broadcast(sample), "doc_id")).select("doc_id", "said", "areas", fold_of.alias("held")), "known")
+    fit = known.where("not held").select("said", "areas")
     labelled = fit.count()
     if not labelled:
         return None
@@ -212,10 +242,10 @@ def fit_matcher(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, subj
         m = sent.value
         for b in batches:
             n, bare, df, total, texts = Counter(), Counter(), Counter(), 0, 0
-            for t in b.column(0).to_pylist():
+            for all_of in _said(b.column(0)):
                 held: set[str] = set()
                 texts += 1
-                for w in sentences(t):
+                for w in all_of:
                     total += 1
                     found = m.found(w)
                     held |= found
@@ -227,7 +257,7 @@ def fit_matcher(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, subj
             words = [*(("w", x, k, bare.get(x, 0)) for x, k in n.items()), *(("t", x, k, 0) for x, k in df.items()), ("n", "", total, texts)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in words], pa.string() if i < 2 else pa.int64()) for i in range(4)], ["kind", "word", "k", "b"])
 
-    used = spread(source.select("text")).mapInArrow(usage, "kind string, word string, k long, b long").groupBy("kind", "word").agg(F.sum("k").alias("k"), F.sum("b").alias("b")).persist()
+    used = said.select("said").mapInArrow(usage, "kind string, word string, k long, b long").groupBy("kind", "word").agg(F.sum("k").alias("k"), F.sum("b").alias("b")).persist()
     total = used.where("kind = 'n'").first()
     n_sentences, n_docs = (total["k"], total["b"]) if total else (0, 0)
     # words of at least one sentence in 2000: fewer than 2000 x words of a sentence
@@ -242,7 +272,8 @@ def fit_matcher(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, subj
         return {t: (s, p * (1.6 if " " in t else 0.8) * (0.5 + math.log((n_docs + 2) / (df.get(t, SUPPORT) + 1)) / span)) for t, (s, p) in chosen.items()}
 
     taught = Matcher(weigh(chosen), marks, TRIED[len(TRIED) // 2])
-    wider = _term_counts(spread(source.join(F.broadcast(sample), "doc_id", "left").select("text", "areas")), bare, taught).persist()
+    own = sample.where(~fold_of)  # the held-out documents are assigned like any other
+    wider = _term_counts(said.join(F.broadcast(own), "doc_id", "left").select("said", "areas"), bare, taught).persist()
     of = {r["subject"]: r["n"] for r in wider.where("term = ''").collect()}
     n = of.pop("")
     shares = spark.createDataFrame([(s, k / n) for s, k in of.items()], "subject string, q double")
@@ -254,27 +285,45 @@ def fit_matcher(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, subj
     def agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = ready.value
         for b in batches:
-            hit, wrong, missed = ([0] * len(TRIED) for _ in range(3))
-            for t, areas in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for i, shares in enumerate(m.shares(t, TRIED)):
+            n: Counter[tuple[int, str, str]] = Counter()
+            for all_of, areas in zip(_said(b.column(0)), b.column(1).to_pylist()):
+                for i, shares in enumerate(m.tried(all_of, TRIED)):
                     got = {s for s, v in shares.items() if v >= SHARE}
-                    hit[i] += len(got & set(areas))
-                    wrong[i] += len(got - set(areas))
-                    missed[i] += len(set(areas) - got)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(TRIED)), pa.int32()), *(pa.array(x, pa.int64()) for x in (hit, wrong, missed))], ["i", "hit", "wrong", "missed"])
-
-    tried = fit.mapInArrow(agreement, "i int, hit long, wrong long, missed long").groupBy("i").agg(*(F.sum(c).alias(c) for c in ("hit", "wrong", "missed"))).collect()
-    best = max(tried, key=lambda r: (2 * r["hit"] / max(1, 2 * r["hit"] + r["wrong"] + r["missed"]), -r["i"]))
-    fit.unpersist()
-    matcher.threshold = TRIED[best["i"]]
+                    for kind, which in (("hit", got & set(areas)), ("wrong", got - set(areas)), ("missed", set(areas) - got)):
+                        n.update((i, s, kind) for s in which)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.int32()), pa.array([k[1] for k in n], pa.string()), pa.array([k[2] for k in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["i", "subject", "kind", "k"])
+
+    # subjects x thresholds x 3 rows
+    rows = known.where("held").select("said", "areas").mapInArrow(agreement, "i int, subject string, kind string, k long").groupBy("i", "subject", "kind").agg(F.sum("k").alias("n")).collect()
+    matcher.threshold, matcher.own = thresholds([(r["i"], r["subject"], r["kind"], r["n"]) for r in rows])
     return matcher
 
 
+def thresholds(counts: list[tuple[int, str, str, int]]) -> tuple[float, dict[str, float]]:
+    """(of all subjects, by subject): the threshold with the best F over held-out labels; a subject's counts are joined by
+    those of all subjects, scaled to LEANS labels."""
+    middle = len(TRIED) // 2
+    every: Counter[tuple[int, str]] = Counter()
+    by: dict[str, Counter[tuple[int, str]]] = {}
+    for i, s, kind, n in counts:
+        every[i, kind] += n
+        by.setdefault(s, Counter())[i, kind] += n
+    total = max(1, every[0, "hit"] + every[0, "missed"])
+
+    def best(own: Counter[tuple[int, str]], lean: float) -> float:
+        n = lambda i, kind: own[i, kind] + lean * every[i, kind]
+        f = [2 * n(i, "hit") / max(1e-9, 2 * n(i, "hit") + n(i, "wrong") + n(i, "missed")) for i in range(len(TRIED))]
+        return TRIED[max(range(len(TRIED)), key=lambda i: (round(f[i], 9), -abs(i - middle), -i))]
+
+    return best(every, 0.0), {s: best(c, LEANS / total) for s, c in by.items()}
+
+
 def assign(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, subjects: DataFrame) -> DataFrame:
     """doc_id, subject, share for every document and each subject of at least SHARE of its sentences."""
     spark = docs.sparkSession
     schema = "doc_id long, subject string, share double"
-    matcher = fit_matcher(docs, doc_id, text, labels, subjects)
+    said = fold(docs, doc_id, text)
+    matcher = fit_matcher(said, labels, subjects)
     if matcher is None:
         return spark.createDataFrame([], schema)
     sent = spark.sparkContext.broadcast(matcher)
@@ -282,11 +331,10 @@ def assign(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, subjects:
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            rows = [(d, s, round(v, 6)) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s, v in m.shares(t, (m.threshold,))[0].items() if v >= SHARE]
+            rows = [(d, s, round(v, 6)) for d, all_of in zip(b.column(0).to_pylist(), _said(b.column(1))) for s, v in m.shares(all_of).items() if v >= SHARE]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], ["doc_id", "subject", "share"])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.length(text) > 0)
-    return spread(source).mapInArrow(match, schema)
+    return said.mapInArrow(match, schema)
 
 
 def makeup(assigned: DataFrame) -> DataFrame:

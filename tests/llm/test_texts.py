@@ -117,3 +117,13 @@ def test_terms_of_unlabelled_documents(spark, monkeypatch):
     monkeypatch.setattr(subjects, "FIT_DOCS", 160)
     got = {(r.doc_id, r.subject) for r in subjects.assign(d, "doc_id", "text", l, spark.createDataFrame([(a,) for a in first], "subject string")).collect()}
     assert len(got & {(k, sorted(first)[k % 4]) for k in range(400, 480)}) >= 76
+
+
+def test_thresholds_by_subject():
+    """A subject with many held-out labels gets its own threshold, one with few that of all."""
+    last = len(subjects.TRIED) - 1
+    rows = [(i, "a", "hit", 100) for i in range(last + 1)] + [(i, "a", "wrong", 60 if i < last else 0) for i in range(last + 1)]
+    rows += [(i, "b", "hit", 900 if i == 0 else 500) for i in range(last + 1)] + [(i, "b", "missed", 0 if i == 0 else 400) for i in range(last + 1)]
+    rows += [(i, "c", "hit", 1) for i in range(last + 1)]
+    whole, own = subjects.thresholds(rows)
+    assert whole == own["b"] == own["c"] == subjects.TRIED[0] and own["a"] == subjects.TRIED[last]
