@@ -6,13 +6,14 @@
    partners), and an edit-distance check keeps those a slip of the pen apart.
 2. Rows meet where their family names are linked and they share a context token (a word of the
    affiliation, the keyword, a full given name), so that a family name which a third of all rows
-   bears is split by context before any pair is made.
+   bears is split by context before any pair is made. Rows with neither affiliation nor keyword meet
+   all rows of their linked family names and first two initials.
 3. Each pair gets a similarity from given names, initials, affiliation, keyword and years;
    contradicting initials give 0. Reciprocal-nearest-neighbour average linkage over these pairs
    groups the rows of one person.
 
 Defined results: null and blank names are no one's variant; null affiliations, keywords and years
-neither link nor part; equal rows are variants of each other; an empty table gives no rows.
+neither link nor part; rows without them link by an equal family name and two equal initials; equal rows are variants of each other; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -228,8 +229,13 @@ def link_names(df: DataFrame, id_col: str, name: str, place: str, keyword: str,
     keyed = people.select("id", F.explode("keys").alias("key"), "ctx")
     links = materialize(family_links(keyed.select("key").distinct()), "links")
     spots = keyed.select("key", F.explode("ctx").alias("c"), "id")
-    left = spots.join(links, F.col("key") == F.col("x")).select(F.col("y").alias("key"), "c", F.col("id").alias("a")).distinct()
-    pairs = left.join(spots.withColumnRenamed("id", "b"), ["key", "c"]).where("a < b").select("a", "b").distinct()
+    near = lambda rows: rows.join(links, F.col("key") == F.col("x")).select(F.col("y").alias("key"), "c", F.col("id").alias("a")).distinct()
+    pairs = near(spots).join(spots.withColumnRenamed("id", "b"), ["key", "c"]).select("a", "b")
+    # rows with neither place nor keyword have only their names to meet by: all first two initials of theirs
+    initials = F.concat(F.substring(F.col("given")[0], 1, 1), F.substring(F.col("given")[1], 1, 1))
+    named = people.where(F.size("given") > 1).select("id", F.explode("keys").alias("key"), initials.alias("c"), ((F.size("words") == 0) & F.col("keyword").isNull()).alias("bare"))
+    pairs = pairs.union(near(named.where("bare").select("key", "c", "id")).join(named.select("key", "c", F.col("id").alias("b")), ["key", "c"]).select("a", "b"))
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     facts = F.struct("keys", "given", "words", "keyword", "first", "last")
     wide = pairs.join(people.select(F.col("id").alias("a"), facts.alias("fa")), "a").join(people.select(F.col("id").alias("b"), facts.alias("fb")), "b")
 
