@@ -10,8 +10,13 @@ words) cut the cell into pieces. Two passes over the data:
    a cell, and dynamic programming picks the cheapest cover of the pieces, so that a comma inside
    ``models, statistical`` stays while the comma of a comma list cuts.
 
-The dictionary is sent to the executors in blocks of bounded size; a larger dictionary only
-means more blocks, each a narrow pass that adds its matches to the cell.
+Personal names have a dictionary of their own (whole names that stand between strong marks or in
+quotes), which decides where a comma cell could be read in two ways; where it says nothing, the form of
+names does (two words at least, initials never alone).
+
+The dictionary is sent to the executors in blocks of bounded size, one after the other, so that the
+driver holds one of them; a larger dictionary only means more blocks, each a narrow pass that adds its
+matches to the cell. Values have no greatest length and no greatest number of commas.
 
 Defined results: a null, empty or blank cell gives no rows; an empty table gives an empty table;
 repeated values keep their places; very long cells are cut whole (cost grows linearly);
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import materialize, spread
 
 #: Marks that always separate; a semicolon that ends a character reference doesn't.
 _STRONG = re.compile(r"[;；|•、\t\r\n]+| / ")
@@ -44,8 +49,8 @@ _SUFFIXES = frozenset("jr jr. sr sr. ii iii iv".split())
 
 #: A dictionary value is kept when at least so many cells show it.
 MIN_SUPPORT = 2
-#: Entries of one broadcast block (values are at most MAX_VALUE characters, so at most 40 MB).
-BLOCK_ENTRIES, MAX_VALUE = 100_000, 200
+#: Characters of the values of one broadcast block.
+BLOCK_CHARS = 20_000_000
 
 
 def _fold(s: str) -> str:
@@ -124,7 +129,7 @@ def certain_values(cell: str | None) -> list[str]:
     if _strong_outside_quotes(cell):
         body = re.sub(r'"(?:[^"]|"")*"', "\t", _REFERENCE.sub(lambda m: m[0].replace(";", "\0"), cell))
         out += [v for p in _STRONG.split(body) if _MARKS.search(v := p.replace("\0", ";").strip()) and '"' not in v and not v.startswith("[")]
-    return [v for p in out if len(v := _fold(p)) <= MAX_VALUE and not v.startswith(",") and not v.endswith(",")]
+    return [v for p in out if not (v := _fold(p)).startswith(",") and not v.endswith(",")]
 
 
 def _name_cost(parts: list[tuple]) -> float:
@@ -167,8 +172,9 @@ def _cover(cell: str, parts: list[tuple], known: set[str], names: bool, whole: b
     if whole and not any(p[1] for p in parts):
         return [text(0, n)]
     best, back = [0.0] + [1e9] * n, [0] * (n + 1)
+    most = max([3 if names else 1, *(k.count(",") + 1 for k in known)])  # no longer value can be cheapest
     for j in range(1, n + 1):
-        for i in range(max(0, j - 5), j):
+        for i in range(max(0, j - most), j):
             group = parts[i:j]
             if names:
                 cost = _name_cost(group)
@@ -249,65 +255,56 @@ def long_cells(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     return df.select(F.col(id_col).alias("rec_id"), cells).select("rec_id", "c.field_name", "c.cell").where("cell is not null and trim(cell) <> ''")
 
 
-def dictionary(cells: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(value, cells): folded values with a mark inside and certain limits. Counts are summed in
-    each batch before the shuffle, so a value that stands in a third of all cells is a few rows."""
+def dictionary(cells: DataFrame, name_fields: tuple[str, ...] = (), min_support: int = MIN_SUPPORT) -> DataFrame:
+    """(name, value, cells): folded values with a mark inside and certain limits, of personal names (name) and of other
+    fields. Counts are summed in each batch before the shuffle, so a value that stands in a third of all cells is a few rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: Counter[str] = Counter()
-            for cell in b.column(0).to_pylist():
-                found.update(set(certain_values(cell)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["value", "n"])
+            found: Counter[tuple[bool, str]] = Counter()
+            for field, cell in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found.update({(field in name_fields, v) for v in certain_values(cell)})
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.bool_()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["name", "value", "n"])
 
-    return spread(cells.select("cell")).mapInArrow(count, "value string, n long").groupBy("value").agg(F.sum("n").alias("cells")).where(F.col("cells") >= min_support)
+    return spread(cells.select("field_name", "cell")).mapInArrow(count, "name boolean, value string, n long").groupBy("name", "value").agg(F.sum("n").alias("cells")).where(F.col("cells") >= min_support)
 
 
-def split_packed(df: DataFrame, id_col: str, fields: list[str], name_fields: tuple[str, ...] = ("authors",), block_entries: int = BLOCK_ENTRIES) -> DataFrame:
-    """rec_id, field_name, pos (from 1), item: one row per value of each packed cell.
+def split_packed(df: DataFrame, id_col: str, fields: list[str], name_fields: tuple[str, ...] = ("authors",), block_chars: int = BLOCK_CHARS, lists: bool = False) -> DataFrame:
+    """rec_id, field_name, pos (from 1), item: one row per value of each packed cell; with lists rec_id, field_name, items:
+    one row per cell. name_fields hold personal names.
 
-    name_fields hold personal names, where the cover follows the form of names (two words at
-    least, initials never alone); the other fields take the dictionary. Both passes are narrow
-    but for the small count of dictionary values; nothing is shuffled by record."""
+    Both passes are narrow but for the small count of dictionary values; nothing is shuffled by record."""
     spark = df.sparkSession
     cells = spread(df.select(id_col, *fields)).transform(lambda d: long_cells(d, id_col, fields))
-    terms = [f for f in fields if f not in name_fields]
-    blocks: list[list[str]] = [[]]
-    if terms:
-        words = dictionary(cells.where(F.col("field_name").isin(terms)))
-        words.persist()
-        n = max(1, -(-words.count() // block_entries))
-        # pmod of a hash, so each block holds about block_entries values of at most MAX_VALUE characters
-        blocks = [[r.value for r in words.where(F.pmod(F.xxhash64("value"), F.lit(n)) == k).select("value").collect()] for k in range(n)]
-        words.unpersist()
+    words = materialize(dictionary(cells, name_fields), "dictionary")
+    blocks = max(1, -(-(words.agg(F.sum(F.length("value"))).first()[0] or 0) // block_chars))
+    id_type = cells.schema["rec_id"].dataType.simpleString()
     cells = cells.select("*", F.array().cast("array<string>").alias("known"))
-    for block in blocks:
-        sent = spark.sparkContext.broadcast(block)
-
-        def mark(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(sent.value)
-            for b in batches:
-                known = [k + (known_in(automaton, c) if f not in name_fields else []) for f, c, k in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(known, pa.list_(pa.string()))], ["rec_id", "field_name", "cell", "known"])
-
-        def mark_and_cut(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(sent.value)
+    for k in range(blocks):
+        # a hash deals the values out, so each block holds about block_chars characters
+        rows = words.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == k).select("name", "value").collect()
+        sent = spark.sparkContext.broadcast(tuple([r.value for r in rows if r.name == name] for name in (False, True)))
+        last = k == blocks - 1
+
+        def mark(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
+            automata = [_automaton(v) for v in sent.value]
             for b in batches:
-                ids, names, pos, items = [], [], [], []
-                for r, f, c, k in zip(*(b.column(i).to_pylist() for i in range(4))):
-                    person = f in name_fields
-                    known = set(k)
-                    if not person and ("," in c):
-                        known.update(known_in(automaton, c))
-                    for p, v in enumerate(segment(c, known, person), 1):
-                        ids.append(r), names.append(f), pos.append(p), items.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(names, pa.string()), pa.array(pos, pa.int32()), pa.array(items, pa.string())], ["rec_id", "field_name", "pos", "item"])
-
-        id_type = cells.schema["rec_id"].dataType.simpleString()
-        if block is blocks[-1]:
-            return cells.mapInArrow(mark_and_cut, f"rec_id {id_type}, field_name string, pos int, item string")
-        cells = cells.mapInArrow(mark, f"rec_id {id_type}, field_name string, cell string, known array<string>")
-    raise AssertionError("unreachable")
+                names = [f in name_fields for f in b.column(1).to_pylist()]
+                known = [k + (known_in(automata[n], c) if "," in c else []) for n, c, k in zip(names, *(b.column(i).to_pylist() for i in (2, 3)))]
+                if not last:
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(known, pa.list_(pa.string()))], ["rec_id", "field_name", "cell", "known"])
+                    continue
+                cut = [segment(c, set(k), n) for c, k, n in zip(b.column(2).to_pylist(), known, names)]
+                if lists:
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut, pa.list_(pa.string()))], ["rec_id", "field_name", "items"])
+                    continue
+                at = pa.array([i for i, values in enumerate(cut) for _ in values], pa.int64())
+                pos = pa.array([p for values in cut for p in range(1, len(values) + 1)], pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pos, pa.array([v for values in cut for v in values], pa.string())], ["rec_id", "field_name", "pos", "item"])
+
+        ends = ("items array<string>" if lists else "pos int, item string") if last else "cell string, known array<string>"
+        cells = cells.mapInArrow(mark, f"rec_id {id_type}, field_name string, {ends}")
+    return cells
 
 
 def split_packed_scopus(df: DataFrame) -> DataFrame:
@@ -315,11 +312,5 @@ def split_packed_scopus(df: DataFrame) -> DataFrame:
 
 
 def packed_names(df: DataFrame, id_col: str, field: str) -> DataFrame:
-    """rec_id, items: the names of one packed cell as an array, for operators that work by record."""
-    id_type = df.schema[id_col].dataType.simpleString()
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([segment(c, (), True) for c in b.column(1).to_pylist()], pa.list_(pa.string()))], ["rec_id", "items"])
-
-    return spread(df.select(F.col(id_col).alias("rec_id"), F.col(field).alias("cell"))).mapInArrow(cut, f"rec_id {id_type}, items array<string>")
+    """rec_id, items: the names of one packed cell as an array, for operators that work by record; as split_packed cuts them."""
+    return split_packed(df, id_col, [field], (field,), lists=True).select("rec_id", "items")

@@ -66,7 +66,7 @@ def test_operator(spark):
     assert (1, "author_keywords", 2, "a b") in got and (1, "index_keywords", 1, "x, y") in got and (4, "index_keywords", 2, "x, y") in got
     assert sum(r[0] == 4 and r[1] == "authors" for r in got) == 3000 and got.count((3, "authors", 1, "Doe, J.")) == 2
     # blocks of one entry give the same
-    assert sorted((r.rec_id, r.field_name, r.pos, r.item) for r in P.split_packed(df, "rec_id", ["authors", "author_keywords", "index_keywords"], block_entries=1).collect()) == got
+    assert sorted((r.rec_id, r.field_name, r.pos, r.item) for r in P.split_packed(df, "rec_id", ["authors", "author_keywords", "index_keywords"], block_chars=1).collect()) == got
     assert P.split_packed_scopus(df.limit(0)).count() == 0
 
 
@@ -74,3 +74,19 @@ def test_large_cell_is_whole():
     random.seed(1)
     values = [f"w{random.randrange(10**6)} v" for _ in range(20_000)]
     assert P.segment(";".join(values)) == values
+
+
+def test_names_by_the_dictionary(spark):
+    """A name that stands whole between strong marks elsewhere stays whole in a comma cell; without it the form of names decides."""
+    whole = "Garcia Marquez, Gabriel Jose"
+    rows = [(1, f"{whole}; Doe, Jane"), (2, f"Roe, Rex; {whole}"), (3, f"{whole}, Doe, J.")]
+    cut = lambda r: {x.rec_id: x["items"] for x in P.packed_names(spark.createDataFrame(r, "rec_id long, authors string"), "rec_id", "authors").collect()}
+    assert cut(rows)[3] == [whole, "Doe, J."]
+    assert cut(rows[2:])[3] == ["Garcia Marquez", "Gabriel Jose", "Doe, J."]
+
+
+def test_long_values_with_many_commas(spark):
+    long = "effects, of a, on b, on c, on d, on e, and on " + "f" * 300
+    rows = [(1, f"{long}; maps"), (2, f"{long}; nets"), (3, f"maps, {long}, nets")]
+    got = [r.item for r in P.split_packed(spark.createDataFrame(rows, "rec_id long, kw string"), "rec_id", ["kw"]).where("rec_id = 3").orderBy("pos").collect()]
+    assert got == ["maps", long, "nets"]
