@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import global_rank, with_total
+
 MOST_NODES = 10_000
 
 
@@ -99,8 +101,6 @@ def map_read_out(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) ->
 
 def circular(nodes: DataFrame, scale: float = 500.0) -> DataFrame:
     """term, x, y on a circle in the order of the terms: the layout that needs no springs."""
-    from pyspark.sql import Window
-
-    n = nodes.select("term").withColumn("k", F.row_number().over(Window.orderBy("term")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+    n = with_total(global_rank(nodes.select("term"), "term", name="k").withColumn("k", F.col("k") - 1), n=F.count(F.lit(1)))
     angle = 2 * F.pi() * F.col("k") / F.col("n")
     return n.select("term", F.round(scale * F.cos(angle), 6).alias("x"), F.round(scale * F.sin(angle), 6).alias("y"))

@@ -157,3 +157,10 @@ def trajectory(label: Column) -> Column:
     after, before = F.array_join(F.slice(parts, F.lit(2), F.greatest(n - 1, F.lit(0))), "_"), F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0))), "_")
     plain = F.struct(label.alias("entity"), F.lit("").alias("time"), F.lit(False).alias("temporal"))
     return F.when(n < 2, plain).otherwise(F.struct(F.when(at_end, before).otherwise(after).alias("entity"), F.when(at_end, F.element_at(parts, -1)).otherwise(parts[0]).alias("time"), F.lit(True).alias("temporal")))
+
+
+def ui_number(c: Column) -> Column:
+    """Number at the start of a text as the user interface reads it: the first % goes, the first comma is a decimal point; 0
+    where there is none, and for nulls."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(c, "^([^%]*)%", "$1"), "^([^,]*),", "$1."))
+    return F.coalesce(F.regexp_extract(plain, r"^([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?)", 1).try_cast("double"), F.lit(0.0))

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..runtime import global_rank, with_group, with_total
 
 
@@ -48,10 +49,27 @@ def quartile_profile(df: DataFrame, entity: str, columns: list[str]) -> DataFram
     return df.select(entity, *cols).where(F.greatest("Q1", "Q2", "Q3", "Q4") > 0)
 
 
-def rollup(df: DataFrame, levels: tuple[str, str, str], weight: str, values: list[str]) -> DataFrame:
+def named_levels(df: DataFrame, code: str, macros: DataFrame | None = None, mesos: DataFrame | None = None) -> DataFrame:
+    """Adds macro, meso, micro (codes), micro_name, macro_name and meso_name of the topic code in `code`. The names of the two
+    upper levels are those of the tables macros and mesos (column code; of several the last by name), else 'Macro x' and
+    'Meso x'. Rows whose code has fewer than three parts are left out."""
+    out = df.withColumn("__t", T.topic_code(F.col(code))).where("__t is not null")
+    out = out.select("*", "__t.macro", "__t.meso", "__t.micro", F.col("__t.short").alias("micro_name")).drop("__t")
+    for level, names in (("macro", macros), ("meso", mesos)):
+        other = F.concat(F.lit(f"{level.capitalize()} "), level)
+        if names is None:
+            out = out.withColumn(f"{level}_name", other)
+            continue
+        known = names.select(T.topic_code(F.col("code")).alias("__t")).where("__t is not null").groupBy(F.col(f"__t.{level}").alias("__k")).agg(F.max("__t.short").alias("__n"))
+        out = out.join(known, F.col(level) == F.col("__k"), "left").withColumn(f"{level}_name", F.coalesce("__n", other)).drop("__k", "__n")
+    return out
+
+
+def rollup(df: DataFrame, levels: tuple[str, str, str], weight: str, values: list[str], least: float = 0) -> DataFrame:
     """level, macro, meso, micro, n, <v>_sum, <v>_mean: sums and document-weighted means (weight 0 or null counts as 1)
-    of every node of a three-level hierarchy, in one pass of grouping sets."""
+    of every node of a three-level hierarchy, in one pass of grouping sets. least above 0: only leaves of more weight count."""
     macro, meso, micro = levels
+    df = df.where(F.coalesce(F.col(weight), F.lit(0)) > least) if least > 0 else df
     w = F.when(F.coalesce(F.col(weight), F.lit(0)) == 0, 1.0).otherwise(F.col(weight).cast("double"))
     rows = df.select(F.col(macro).alias("macro"), F.col(meso).alias("meso"), F.col(micro).alias("micro"), w.alias("w"), *(F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values))
     aggs = [x for v in values for x in (F.round(F.sum(v), 4).alias(f"{v}_sum"), F.round(F.sum(F.col(v) * F.col("w")) / F.sum("w"), 4).alias(f"{v}_mean"))]

@@ -8,11 +8,14 @@ records without terms add nothing; an empty table gives an empty network. Edges
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
-from ..runtime import materialize
+from ..runtime import global_rank, materialize, rows_bounded
+
+#: Documents of a list of one key, and hot keys that are sent to the tasks.
+BLOCK, SENT_KEYS = 512, 1_000_000
 
 
 def term_array(terms: Column) -> Column:
@@ -109,19 +112,55 @@ def incidence(docs: DataFrame, nodes: DataFrame, *keep: str) -> DataFrame:
     return docs.select("rec", *keep, F.explode("terms").alias("term")).join(nodes.select("term"), "term", "left_semi").select("rec", *keep, "term")
 
 
-def shared(df: DataFrame, doc: str, key: str) -> DataFrame:
-    """a < b, weight: how many distinct keys two documents share (coupling; with columns swapped, co-citation).
-    An equi-join on the key; a key that very many documents cite is split by the engine's skew join."""
+def shared(df: DataFrame, doc: str, key: str, block: int = BLOCK) -> DataFrame:
+    """a < b, weight: how many distinct keys two documents share (coupling; with columns swapped, co-citation). Pairs are made
+    inside lists of at most about `block` documents of a key and between two such lists, so that a key of very many
+    documents is many small rows, and counted with partial sums."""
     d = df.select(F.col(doc).alias("doc"), F.col(key).alias("key")).where("doc is not null and key is not null").distinct()
-    both = d.withColumnRenamed("doc", "a").join(d.withColumnRenamed("doc", "b"), "key").where("a < b")
-    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+    hot = materialize(d.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb")).where("nb > 1"), "hot")
+    hot = F.broadcast(hot) if rows_bounded(hot, SENT_KEYS) else hot
+    rows = d.join(hot, "key", "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("x", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
+    lists = rows.groupBy("key", "x", "nb").agg(F.array_sort(F.collect_list("doc")).alias("docs"))
+    pair = lambda u, v: F.struct(F.least(u, v).alias("a"), F.greatest(u, v).alias("b"))
+    inside = F.flatten(F.transform("docs", lambda u, i: F.transform(F.slice("docs", i + 2, F.size("docs")), lambda v: pair(u, v))))
+    found = lists.where(F.size("docs") > 1).select(F.explode(inside).alias("p"))
+    other = lists.where("nb > 1").select("key", F.col("x").alias("y"), F.col("docs").alias("more"))
+    across = lists.where("nb > 1").select("key", "docs", F.explode(F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda y: y > F.col("x"))).alias("y")).join(other, ["key", "y"])
+    found = found.unionAll(across.select(F.explode(F.flatten(F.transform("docs", lambda u: F.transform("more", lambda v: pair(u, v))))).alias("p")))
+    return found.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def _words(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+
+
+def work_key(author: Column, year: Column, source: Column) -> Column:
+    """Key of a work by its first author, year and source; null where one of them is missing."""
+    parts = [F.nullif(_words(author), F.lit("")), F.nullif(F.regexp_extract(year.cast("string"), "(1[89][0-9]{2}|20[0-9]{2})", 1), F.lit("")), F.nullif(_words(source), F.lit(""))]
+    return F.when(parts[0].isNotNull() & parts[1].isNotNull() & parts[2].isNotNull(), F.concat_ws("|", *parts))
+
+
+def references(df: DataFrame, record: str, refs: Column) -> DataFrame:
+    """record, key, doi, author, source: one row per distinct reference of a list of texts such as 'Doe J, 2001, J MAPS, V1,
+    DOI 10.1/x'. A reference without author, year and source has a null key; one without a doi a null doi."""
+    each = df.select(F.col(record).alias("record"), F.explode(refs).alias("ref")).where("ref is not null").withColumn("p", F.split("ref", ", *"))
+    author, year, source = (F.get("p", F.lit(i)) for i in range(3))
+    doi = F.nullif(F.lower(F.regexp_extract("ref", r"(10\.[0-9]{4,9}/[^ ,;\]]+)", 1)), F.lit(""))
+    out = each.select("record", work_key(author, year, source).alias("key"), doi.alias("doi"), F.nullif(_words(author), F.lit("")).alias("author"), F.nullif(_words(source), F.lit("")).alias("source"))
+    return out.where("key is not null or doi is not null").distinct()
+
+
+def cited(refs: DataFrame, part: str = "full") -> DataFrame:
+    """record, node: what each record cites: whole references (their doi, else their key), their sources or their authors."""
+    node = F.coalesce(F.concat(F.lit("doi:"), "doi"), F.col("key")) if part == "full" else F.col(part)
+    return refs.select("record", node.alias("node")).where("node is not null").distinct()
 
 
-def citations(citing: DataFrame, reference: Column, record: str, cited: DataFrame, key: Column, cited_record: str) -> DataFrame:
-    """src (citing), dst (cited): references joined to the keys of the records they name; directed, no self-citation."""
-    left = citing.select(F.col(record).alias("src"), reference.alias("k")).where("k is not null and k <> ''").distinct()
-    right = cited.select(F.col(cited_record).alias("dst"), key.alias("k")).where("k is not null and k <> ''").distinct()
-    return left.join(right, "k").where("src <> dst").select("src", "dst").distinct()
+def citations(refs: DataFrame, works: DataFrame) -> DataFrame:
+    """src (citing), dst (cited): references joined to the works (record, key, doi) they name, by doi or by key; directed,
+    no self-citation."""
+    rows = lambda df, name: df.select(F.col("record").alias(name), F.explode(F.array_compact(F.array(F.concat(F.lit("doi:"), F.lower("doi")), F.concat(F.lit("key:"), "key")))).alias("k")).distinct()
+    return rows(refs, "src").join(rows(works, "dst"), "k").where("src <> dst").select("src", "dst").distinct()
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None, most: int = 60) -> DataFrame:
@@ -165,7 +204,7 @@ def merge_small(label: DataFrame, edges: DataFrame, least: int) -> DataFrame:
     moved = label.join(big.select(F.col("cluster"), F.lit(True).alias("keep")), "cluster", "left").join(to, F.col("cluster") == F.col("own"), "left").crossJoin(F.broadcast(largest))
     new = moved.select("term", F.when(F.col("keep"), F.col("cluster")).otherwise(F.coalesce("best.other", "largest")).alias("cluster"))
     ranked = new.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    number = ranked.select("cluster", F.row_number().over(Window.orderBy(F.desc("n"), "cluster")).alias("k"))
+    number = global_rank(ranked, F.desc("n"), "cluster", name="k").select("cluster", F.col("k").cast("int").alias("k"))
     return new.join(number, "cluster").select("term", F.col("k").alias("cluster"))
 
 

@@ -172,26 +172,55 @@ def co_citation(spark, d):
     return N.shared(table(spark, d, "lineitem"), "l_suppkey", "l_orderkey")
 
 
-_KEY = r"lower(regexp_extract(doi, '10\.[0-9]+/[^ ;]+'))"
+_DOI = r"lower(regexp_extract(doi, '10\.[0-9]+/[^ ;]+'))"
 
 
-@query("citation_direct", f"SELECT DISTINCT r.rec_id AS src, s.rec_id AS dst FROM (SELECT rec_id, {_KEY} AS k FROM ris_records) r JOIN (SELECT rec_id, {_KEY} AS k FROM scopus_records) s ON r.k = s.k WHERE r.k <> ''")
+@query("same_doi", f"SELECT DISTINCT r.rec_id AS src, s.rec_id AS dst FROM (SELECT rec_id, {_DOI} AS k FROM ris_records) r JOIN (SELECT rec_id, {_DOI} AS k FROM scopus_records) s ON r.k = s.k WHERE r.k <> ''")
+def same_doi(spark, d):
+    """Records of two sources under one doi."""
+    key = F.nullif(F.lower(F.regexp_extract("doi", r"10\.[0-9]+/[^ ;]+", 0)), F.lit(""))
+    rows = lambda t: table(spark, d, t).select(F.col("rec_id").alias("record"), F.lit(None).cast("string").alias("key"), key.alias("doi"))
+    return N.citations(rows("ris_records"), rows("scopus_records"))
+
+
+#: Reference lists over the tables: an order cites the parts of its lines, each under a reference text made of the part's fields.
+_REFS = r"""refs AS (SELECT DISTINCT l_orderkey AS record, lower(trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g'))) AS author, CAST(1950 + p_partkey % 60 AS VARCHAR) AS year,
+  trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS source, CASE WHEN p_partkey % 3 = 0 THEN '10.9999/p' || p_partkey END AS doi, p_partkey FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+def order_references(spark, d, by="l_orderkey"):
+    c = F.col
+    doi = F.when(c("p_partkey") % 3 == 0, F.concat(F.lit(", DOI 10.9999/P"), c("p_partkey").cast("string"))).otherwise(F.lit(""))
+    ref = F.concat(c("p_brand"), F.lit(", "), (1950 + c("p_partkey") % 60).cast("string"), F.lit(", "), F.upper("p_name"), F.lit(", V1"), doi)
+    parts = table(spark, d, "part").select(c("p_partkey").alias("l_partkey"), ref.alias("ref"))
+    lists = table(spark, d, "lineitem").select(by, "l_partkey").join(parts, "l_partkey").groupBy(by).agg(F.collect_list("ref").alias("refs"))
+    return N.references(lists, by, F.col("refs"))
+
+
+@query("citation_direct", f"WITH {_REFS} SELECT DISTINCT record AS src, 1000000000 + p.p_partkey AS dst FROM refs r JOIN part p ON r.p_partkey = p.p_partkey OR (r.author = trim(regexp_replace(lower(p.p_brand), '[^a-z0-9]+', ' ', 'g')) AND r.year = CAST(1950 + p.p_partkey % 60 AS VARCHAR) AND r.source = trim(regexp_replace(lower(p.p_name), '[^a-z0-9]+', ' ', 'g')))")
 def citation_direct(spark, d):
-    key = F.lower(F.regexp_extract("doi", r"10\.[0-9]+/[^ ;]+", 0))
-    return N.citations(table(spark, d, "ris_records"), key, "rec_id", table(spark, d, "scopus_records"), key, "rec_id")
+    """Orders to the parts their reference lists name, by doi or by author, year and source."""
+    c = F.col
+    works = table(spark, d, "part").select((1_000_000_000 + c("p_partkey")).alias("record"), N.work_key(c("p_brand"), 1950 + c("p_partkey") % 60, c("p_name")).alias("key"), F.when(c("p_partkey") % 3 == 0, F.concat(F.lit("10.9999/p"), c("p_partkey").cast("string"))).alias("doi"))
+    return N.citations(order_references(spark, d), works)
 
 
-@query(
-    "citation_sources",
-    f"""SELECT r.journal AS src, s.source_title AS dst, count(*) AS weight FROM (SELECT rec_id, journal, {_KEY} AS k FROM ris_records) r JOIN (SELECT rec_id, source_title, {_KEY} AS k FROM scopus_records) s ON r.k = s.k
-    WHERE r.k <> '' AND journal IS NOT NULL AND source_title IS NOT NULL GROUP BY ALL""",
-)
-def citation_sources(spark, d):
-    ris, scopus = table(spark, d, "ris_records"), table(spark, d, "scopus_records")
-    key = F.lower(F.regexp_extract("doi", r"10\.[0-9]+/[^ ;]+", 0))
-    edges = N.citations(ris, key, "rec_id", scopus, key, "rec_id")
-    named = edges.join(ris.select(F.col("rec_id").alias("src"), "journal"), "src").join(scopus.select(F.col("rec_id").alias("dst"), "source_title"), "dst").where("journal is not null and source_title is not null")
-    return named.groupBy(F.col("journal").alias("src"), F.col("source_title").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
+@query("citation_authors", f"WITH {_REFS} SELECT lower(o_orderpriority) AS src, author AS dst, count(*) AS weight FROM (SELECT DISTINCT record, author FROM refs) JOIN orders ON o_orderkey = record GROUP BY ALL")
+def citation_authors(spark, d):
+    """Citing groups to cited authors, one count a record."""
+    own = table(spark, d, "orders").select(F.col("o_orderkey").alias("record"), F.lower("o_orderpriority").alias("src"))
+    return N.cited(order_references(spark, d), "author").join(own, "record").groupBy("src", F.col("node").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
+
+
+@query("cocitation_authors", f"WITH {_REFS}, d AS (SELECT DISTINCT record, author AS node FROM refs) SELECT x.node AS a, y.node AS b, count(*) AS weight FROM d x JOIN d y ON x.record = y.record AND x.node < y.node GROUP BY ALL")
+def cocitation_authors(spark, d):
+    return N.shared(N.cited(order_references(spark, d), "author"), "node", "record")
+
+
+@query("coupling_references", f"WITH {_REFS}, d AS (SELECT DISTINCT l_suppkey AS record, coalesce('doi:' || doi, concat_ws('|', author, year, source)) AS node FROM refs r JOIN lineitem l ON l.l_partkey = r.p_partkey AND l.l_orderkey = r.record) SELECT x.record AS a, y.record AS b, count(*) AS weight FROM d x JOIN d y ON x.node = y.node AND x.record < y.record GROUP BY ALL")
+def coupling_references(spark, d):
+    """Suppliers coupled by the references they share."""
+    return N.shared(N.cited(order_references(spark, d, "l_suppkey")), "record", "node")
 
 
 _COMP = f"""WITH RECURSIVE {sql_terms('dt', 'authors')}, links AS (SELECT DISTINCT a.term AS x, b.term AS y FROM dt a JOIN dt b ON a.rec = b.rec AND a.term <> b.term),

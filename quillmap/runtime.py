@@ -32,11 +32,34 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + own
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one. It is removed when the process ends, or by `release`."""
+    path = f"{shared_dir(spark)}/quillmap-{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        _OWN.add(path)
+        atexit.register(release, spark)
+    return path
+
+
+_OWN: set[str] = set()
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the tables that `materialize` wrote for this application; results that still read them must have been written."""
+    for path in list(_OWN):
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration() if spark._jsc else spark._jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+        except Exception:  # the virtual machine ended first; the folder stays for whoever clears the shared one
+            pass
+        _OWN.discard(path)
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as a table in the shared folder and read it back. Cuts lineage, survives the loss
     of executors (files are not tied to one), and costs compressed columns instead of row blocks."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

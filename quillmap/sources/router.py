@@ -26,18 +26,26 @@ def sniff(lines: list[str]) -> str:
     return "four_column" if first.startswith(("PMID", "OWN ")) else "two_letter"
 
 
+def records(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """value: the records of a file of tagged records. The scan itself is split at the record ends, so that a large file
+    is many tasks; its line ends are taken from its first bytes."""
+    eol = "\r\n" if tables.head_text(spark, path).count("\r\n") else "\n"
+    end = {"ris": f"{eol}ER  -", "two_letter": f"{eol}ER{eol}", "four_column": eol + eol}[kind]
+    return spark.read.option("lineSep", end).text(path)
+
+
 def read(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
     """(format, records) of a file or folder of one format."""
     kind = sniff(tables.head(spark, path, 50))
-    whole = spark.read.text(path, wholetext=True)
+    one = lambda: records(spark, path, kind)
     df = {
-        "network": lambda: works.network_items(whole, "value"),
+        "network": lambda: works.network_items(spark.read.text(path, wholetext=True), "value"),
         "dimensions": lambda: tables.read_dimensions(spark, path),
         "lens": lambda: tables.read_lens(spark, path),
-        "ris": lambda: tagged.parse_ris(whole, [], "value"),
+        "ris": lambda: tagged.parse_ris(one(), [], "value"),
         "scopus": lambda: tables.read_scopus(spark, path),
-        "two_letter": lambda: tagged.parse_two_letter(whole, [], "value"),
-        "four_column": lambda: tagged.parse_four_column(whole, [], "value"),
+        "two_letter": lambda: tagged.parse_two_letter(one(), [], "value"),
+        "four_column": lambda: tagged.parse_four_column(one(), [], "value"),
     }[kind]()
     return kind, df
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import global_rank
+
 
 def wide(cells: DataFrame, row: str, col: str, value: str, columns: list[str]) -> DataFrame:
     """One row per `row`, one column per name in `columns` (given, so that no extra job looks for them), 0 where empty."""
@@ -18,8 +20,7 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
 
 def map_lines(nodes: DataFrame, strength: DataFrame) -> DataFrame:
     """line: id, label, occurrences, links, total link strength, tab-separated; ids by count."""
-    k = F.row_number().over(Window.orderBy(F.desc("count"), "term"))
-    rows = nodes.withColumn("id", k).join(strength, "term", "left")
+    rows = global_rank(nodes, F.desc("count"), "term", name="id").join(strength, "term", "left")
     parts = (F.col("id").cast("string"), F.col("term"), F.col("count").cast("string"), F.coalesce("links", F.lit(0)).cast("string"), F.format_string("%.4f", F.coalesce("strength", F.lit(0.0))))
     return rows.select(F.concat_ws("\t", *parts).alias("line"))
 
@@ -39,3 +40,15 @@ def network_json(items: DataFrame, links: DataFrame) -> DataFrame:
 def joined_lines(df: DataFrame, array_col: str, sep: str = ";", digits: int = 6) -> DataFrame:
     """Adds line: the numbers of an array with `digits` decimals, joined."""
     return df.withColumn("line", F.array_join(F.transform(array_col, lambda x: F.format_string(f"%.{digits}f", x)), sep))
+
+
+def result_json(df: DataFrame, name: str, **facts: str) -> DataFrame:
+    """json: one document {success, facts, name: [rows]} of a bounded result, its rows in the order of their texts."""
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("r")).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("r")), ","), F.lit("]")).alias("rows"))
+    more = F.to_json(F.struct(F.lit(True).alias("success"), *[F.lit(v).alias(k) for k, v in facts.items()]))
+    return rows.select(F.concat(F.substring(more, F.lit(1), F.length(more) - 1), F.lit(f',"{name}":'), "rows", F.lit("}")).alias("json"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Rows of any number as JSON lines, nulls kept, a file a task."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)

@@ -19,23 +19,41 @@ from ..functions import text as T
 SCOPUS_COLUMNS = {"AU": "Authors", "TI": "Title", "PY": "Year", "SO": "Source title", "DE": "Author Keywords", "ID": "Index Keywords", "AB": "Abstract", "DI": "DOI", "TC": "Cited by", "UT": "EID", "C1": "Affiliations"}
 
 
-def head(spark: SparkSession, path: str, n: int = 15, most: int = 65_536) -> list[str]:
-    """The first lines of a file (or of the first file of a folder), from its first `most` bytes, byte-order mark included."""
+def head_bytes(spark: SparkSession, path: str, most: int = 65_536) -> bytes:
+    """The first bytes of a file, or of the first file of a folder."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(conf)
     if fs.getFileStatus(p).isDirectory():
         found = sorted((f.getPath() for f in fs.listStatus(p) if f.isFile() and f.getPath().getName()[0] not in "._"), key=lambda q: q.getName())
         if not found:
-            return []
+            return b""
         p = found[0]
     stream = fs.open(p)
     try:
         size = min(most, fs.getFileStatus(p).getLen())
-        data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(size)))
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(size)))
     finally:
         stream.close()
-    return data.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")[:n]
+
+
+def encoding_of(data: bytes) -> str:
+    """UTF-8 where the bytes are that (but for a character cut off at their end), else the western single-byte one."""
+    try:
+        data[: max(data.rfind(b"\n"), 0) or len(data)].decode("utf-8")
+        return "UTF-8"
+    except UnicodeDecodeError:
+        return "ISO-8859-1"
+
+
+def head_text(spark: SparkSession, path: str) -> str:
+    data = head_bytes(spark, path)
+    return data.decode(encoding_of(data), "replace")
+
+
+def head(spark: SparkSession, path: str, n: int = 15) -> list[str]:
+    """The first lines of a file (or of the first file of a folder), byte-order mark included."""
+    return head_text(spark, path).replace("\r\n", "\n").split("\n")[:n]
 
 
 def fields(line: str, sep: str = ",") -> list[str]:
@@ -56,15 +74,22 @@ def is_lens(lines: list[str]) -> bool:
     return bool(lines) and "Lens ID" in lines[0]
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", skip: int = 0, encoding: str = "UTF-8") -> DataFrame:
-    """All columns as texts; quoted fields may hold line ends; malformed rows are dropped. skip: lines before the header
-    (such a file is a small export and is cut on the driver's side of the scan)."""
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", skip: int = 0, encoding: str | None = None) -> DataFrame:
+    """All columns as texts; quoted fields may hold line ends; malformed rows are dropped. skip: lines before the header; in
+    such a file a row is a line, and lines equal to those before the header or to it are left out. The encoding is found
+    from the first bytes unless given."""
+    encoding = encoding or encoding_of(head_bytes(spark, path))
     reader = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", encoding).option("mode", "DROPMALFORMED")
     if not skip:
         df = reader.csv(path)
     else:
-        rows = spark.read.text(path, wholetext=True).select(F.explode(F.slice(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n"), skip + 1, 1 << 30)).alias("line")).where("line <> ''")
-        df = reader.option("multiLine", False).csv(rows.rdd.map(lambda r: r[0]))
+        top = head(spark, path, skip + 1)
+        names = [c or f"_c{i}" for i, c in enumerate(fields(top[skip], sep))]
+        schema = ", ".join(f"`{c}` string" for c in [*names, "__bad"])
+        line = F.regexp_replace(F.decode(F.col("value").cast("binary"), encoding), "\r$", "")
+        rows = spark.read.text(path).select(line.alias("line")).where((F.col("line") != "") & ~F.regexp_replace("line", "^\ufeff", "").isin([x.lstrip("\ufeff") for x in top]))
+        how = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}
+        df = rows.select(F.from_csv("line", schema, how).alias("r")).select("r.*").where("__bad is null").drop("__bad")
     return df.toDF(*[c.lstrip("﻿") for c in df.columns])
 
 
@@ -120,9 +145,14 @@ def read_matrix(spark: SparkSession, path: str, label: str | None = None, ignore
 
 
 def read_numbers(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """row, vec: a numeric matrix; a first line that isn't all numbers is a header."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("row"), F.transform(F.split("value", re.escape(sep)), lambda x: F.trim(x).try_cast("double")).alias("vec"))
-    return rows.where(~F.exists("vec", lambda v: v.isNull()))
+    """row, vec: a numeric matrix, empty lines left out; a first line that isn't all numbers is a header; cells that are no
+    numbers elsewhere are 0. Lines equal to the header are headers (of the files of a folder)."""
+    first = next((x for x in head(spark, path, 1)), "").rstrip("\r")
+    number = lambda x: F.when(F.trim(x) == "", F.lit(0.0)).otherwise(F.trim(x).try_cast("double"))
+    rows = spark.read.text(path).withColumn("value", F.regexp_replace("value", "\r$", "")).where(F.trim("value") != "").withColumn("row", F.monotonically_increasing_id())
+    vec = F.transform(F.split("value", re.escape(sep)), number)
+    head_row = F.exists(vec, lambda v: v.isNull()) & (F.col("value") == F.lit(first))
+    return rows.where(~head_row).select("row", F.transform(vec, lambda v: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0))).alias("vec"))
 
 
 def header_line(lines: list[str]) -> tuple[int, str]:

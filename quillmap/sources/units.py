@@ -5,12 +5,16 @@ from __future__ import annotations
 import io
 import os
 import re
+import uuid
 import zipfile
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import own_dir
+from . import tables
+
 #: Names of standard units.
 UNITS = ["WoS Categories", "Publication Sources", "Funding Agencies", "Organizations", "Locations", "Researchers", "Patentometrics"]
 _AREA = r"(?i)^Research[\s_]*Areas"
@@ -89,17 +93,23 @@ def read_workbook(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cells, "file string, row int, column string, value string")
 
 
-def expand(archive: str, folder: str) -> list[str]:
-    """Files of an archive written to a folder, by their names alone."""
-    os.makedirs(folder, exist_ok=True)
+def expand(spark: SparkSession, archive: str, folder: str | None = None) -> list[str]:
+    """Paths of an archive's files, written by their names alone to a folder that all executors share (the application's own
+    unless one is given), whatever its file system."""
+    folder = folder or f"{own_dir(spark)}/unpacked-{uuid.uuid4().hex}"
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
     out = []
     with zipfile.ZipFile(archive) as z:
         for info in z.infolist():
             name = os.path.basename(info.filename)
             if name and not info.is_dir():
-                with open(os.path.join(folder, name), "wb") as f:
-                    f.write(z.read(info))
-                out.append(os.path.join(folder, name))
+                to = path(f"{folder}/{name}")
+                stream = to.getFileSystem(conf).create(to, True)
+                with z.open(info) as f:
+                    while part := f.read(1 << 20):
+                        stream.write(bytearray(part))
+                stream.close()
+                out.append(f"{folder}/{name}")
     return out
 
 
@@ -108,3 +118,21 @@ def inventory(spark: SparkSession, paths: list[str]) -> DataFrame:
     rows = spark.createDataFrame(list(enumerate(paths)), "k int, path string")
     named = with_units(rows.withColumn("file", F.regexp_extract("path", r"([^/\\]+)$", 1)), "file")
     return named.where("unit is not null").groupBy("unit", "period").agg(F.max_by("path", "k").alias("path"))
+
+
+def scan_unit(spark: SparkSession, found: DataFrame, unit: str) -> DataFrame:
+    """period, row, column, value: the cells of one unit's files. found: an inventory, of which only this unit's few paths
+    are read; the files of other units are never opened."""
+    out = None
+    for r in found.where(F.col("unit") == unit).select("period", "path").orderBy("period").collect():
+        if r.path.lower().endswith(".csv"):
+            df = tables.read_indicators(spark, r.path).withColumn("row", F.monotonically_increasing_id())
+            names = [c for c in df.columns if c != "row"]
+            cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in names])).alias("c")
+            rows = df.select("row", cells).select(F.lit(r.period).alias("period"), "row", "c.column", "c.value").where("value is not null")
+        else:
+            rows = read_workbook(spark, r.path).select(F.lit(r.period).alias("period"), F.col("row").cast("long").alias("row"), "column", "value")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError(f"no unit {unit!r} in the inventory")
+    return out

@@ -23,22 +23,22 @@ def abstract_text(inverted: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " ")
 
 
-def open_works(df: DataFrame, json: str) -> DataFrame:
-    """title, abstract, year, citations, authors, keywords (concepts above 0.3, then new keywords), source, doi."""
-    w = df.select(F.explode(F.from_json(json, OPEN_SCHEMA)["results"]).alias("w")).select("w.*")
+def open_works(df: DataFrame, json: str, *keep: str) -> DataFrame:
+    """keep, title, abstract, year, citations, authors, keywords (concepts above 0.3, then new keywords), source, doi."""
+    w = df.select(*keep, F.explode(F.from_json(json, OPEN_SCHEMA)["results"]).alias("w")).select(*keep, "w.*")
     names = lambda c: F.filter(F.transform(c, lambda x: x["display_name"]), lambda x: x.isNotNull())
     concepts = F.coalesce(names(F.filter("concepts", lambda c: c["score"] > 0.3)), F.array().cast("array<string>"))
     more = F.filter(F.coalesce(names(F.col("keywords")), F.array().cast("array<string>")), lambda k: ~F.array_contains(concepts, k))
     authors = F.filter(F.transform("authorships", lambda a: a["author"]["display_name"]), lambda x: x.isNotNull())
-    return w.select("title", abstract_text(F.col("abstract_inverted_index")).alias("abstract"), F.col("publication_year").alias("year"), F.coalesce("cited_by_count", F.lit(0.0)).alias("citations"), authors.alias("authors"), F.concat(concepts, more).alias("keywords"), F.col("primary_location.source.display_name").alias("source"), "doi")
+    return w.select(*keep, "title", abstract_text(F.col("abstract_inverted_index")).alias("abstract"), F.col("publication_year").alias("year"), F.coalesce("cited_by_count", F.lit(0.0)).alias("citations"), authors.alias("authors"), F.concat(concepts, more).alias("keywords"), F.col("primary_location.source.display_name").alias("source"), "doi")
 
 
-def cross_works(df: DataFrame, json: str) -> DataFrame:
+def cross_works(df: DataFrame, json: str, *keep: str) -> DataFrame:
     """The same fields; markup leaves the abstract, the year is that of print, else online, else creation."""
-    w = df.select(F.explode(F.from_json(json, CROSS_SCHEMA)["message"]["items"]).alias("w")).select("w.*")
+    w = df.select(*keep, F.explode(F.from_json(json, CROSS_SCHEMA)["message"]["items"]).alias("w")).select(*keep, "w.*")
     year = F.coalesce(*[F.get(F.get(F.col(f"`{c}`")["date-parts"], F.lit(0)), F.lit(0)) for c in ("published-print", "published-online", "created")])
     name = F.transform("author", lambda a: F.concat_ws(", ", a["family"], a["given"]))
-    return w.select(F.get("title", F.lit(0)).alias("title"), collapse(F.regexp_replace("abstract", "<[^>]+>", " ")).alias("abstract"), year.alias("year"), F.coalesce("is-referenced-by-count", F.lit(0.0)).alias("citations"), F.filter(name, lambda x: x != "").alias("authors"), F.coalesce("subject", F.array().cast("array<string>")).alias("keywords"), F.get(F.col("`container-title`"), F.lit(0)).alias("source"), F.col("DOI").alias("doi"))
+    return w.select(*keep, F.get("title", F.lit(0)).alias("title"), collapse(F.regexp_replace("abstract", "<[^>]+>", " ")).alias("abstract"), year.alias("year"), F.coalesce("is-referenced-by-count", F.lit(0.0)).alias("citations"), F.filter(name, lambda x: x != "").alias("authors"), F.coalesce("subject", F.array().cast("array<string>")).alias("keywords"), F.get(F.col("`container-title`"), F.lit(0)).alias("source"), F.col("DOI").alias("doi"))
 
 
 def network_items(df: DataFrame, json: str) -> DataFrame:

@@ -210,10 +210,10 @@ RIS = "TY  - JOUR\nTI  - Mapping science\nAU  - Doe, J.\nAU  - Roe, R.\nKW  - SO
 def test_tagged(spark):
     df = spark.createDataFrame([(1, RIS), (2, None), (3, ""), (4, "no tags here")], "k long, text string")
     a, b = tagged.parse_ris(df, ["k"], "text").orderBy("record_no").collect()
-    assert (a.title, a.year, a.authors, a.keywords, a.abstract) == ("Mapping science", "2021", ["Doe, J.", "Roe, R."], ["SOM", "Clustering"], "Text goes on.") and b.title == "Last without end"
+    assert (a.title, a.year, a.authors, a.keywords, a.abstract) == ("Mapping science", "2021", ["Doe, J.", "Roe, R."], ["SOM", "Clustering"], "Text") and b.title == "Last without end"
     wos = "PT J\nAU Doe, J\n   Roe, R\nTI A long\n   title\nDE som; maps\nPY 2020\nER\n"
     r = tagged.parse_two_letter(spark.createDataFrame([(wos,)], "t string"), [], "t").first()
-    assert r.title == "A long title" and r.keywords == ["som", "maps"] and r.year == "2020"
+    assert r.title == "A long title" and r.authors == ["Doe, J", "Roe, R"] and r.keywords == ["som", "maps"] and r.year == "2020"
     med = "PMID- 1\nDP  - 2019 Mar 4\nTI  - One\nMH  - Maps\n\nPMID- 2\nTI  - Two\n"
     rows = tagged.parse_four_column(spark.createDataFrame([(med,)], "t string"), [], "t").orderBy("record_no").collect()
     assert [(x.record_id, x.title, x.year) for x in rows] == [("1", "One", "2019"), ("2", "Two", None)]
@@ -265,7 +265,7 @@ def test_units(spark, tmp_path):
         z.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row r="2"><c r="A2" t="s"><v>2</v></c><c r="B2"><v>5</v></c></row></sheetData></worksheet>')
     rows = units.read_workbook(spark, str(p)).collect()
     assert {(r.column, r.value) for r in rows} == {("Name", "A"), ("Docs", "5")}
-    files = units.expand(str(p), str(tmp_path / "out"))
+    files = units.expand(spark, str(p), str(tmp_path / "out"))
     assert sorted(f.rsplit("/", 1)[1] for f in files) == ["sharedStrings.xml", "sheet1.xml"]
     df = spark.createDataFrame([("1,000", "x", None), ("5%", "y", None), (None, None, None)], "a string, b string, c string")
     out = M.coerce_numbers(M.drop_empty(df), ["a", "b"])
@@ -281,3 +281,87 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.term: r["count"] for r in spark.sql("select * from counts").collect()} == {"a": 1, "b": 2}
+
+
+def test_records_of_a_file_are_rows_of_the_scan(spark, tmp_path):
+    """Record ends split the scan, in either form of line ends; lines that go on, further authors and references are kept."""
+    ris = "TY  - JOUR\nTI  - One\nER  - \nTY  - JOUR\nTI  - Two\nER  - \n"
+    wos = "PT J\nAU Doe, J\n   Roe, R\nTI One\nCR Doe J, 2001, J MAPS\n   Roe R, 2002, ANN NETS, V1, DOI 10.1234/x\nER\n\nPT J\nTI Two\nER\n"
+    med = "PMID- 1\nTI  - One\n      more\nMH  - Maps\n\nPMID- 2\nTI  - Two\n"
+    for name, text, want in (("a", ris, {"One", "Two"}), ("b", ris.replace("\n", "\r\n"), {"One", "Two"}), ("c", wos, {"One", "Two"}), ("d", med, {"One more", "Two"})):
+        (tmp_path / name).write_bytes(text.encode())
+        kind, df = router.read(spark, str(tmp_path / name))
+        assert {r.title for r in df.collect()} == want and router.records(spark, str(tmp_path / name), kind).count() >= 2
+    r = tagged.parse_two_letter(spark.createDataFrame([(wos,)], "t string"), [], "t").orderBy("record_no").first()
+    assert r.references == ["Doe J, 2001, J MAPS", "Roe R, 2002, ANN NETS, V1, DOI 10.1234/x"]
+
+
+def test_references(spark):
+    refs = N.references(spark.createDataFrame([(1, ["Doe J, 2001, J MAPS, V1", "ROE R, 2002, ANN NETS, DOI 10.1234/X", "doe j, 2001, J. Maps", "rubbish", None]), (2, ["Doe J, 2001, J MAPS"]), (3, None)], "id long, cr array<string>"), "id", F.col("cr"))
+    assert {(r.record, r.key, r.doi) for r in refs.collect()} == {(1, "doe j|2001|j maps", None), (1, "roe r|2002|ann nets", "10.1234/x"), (2, "doe j|2001|j maps", None)}
+    own = [(2, "Roe, R", "2002", "x", "10.1234/x"), (7, "Doe, J", "2001", "J MAPS", None), (1, "Doe J", "2001", "J MAPS", None)]
+    own = spark.createDataFrame(own, "record long, a string, y string, s string, doi string").select("record", N.work_key(F.col("a"), F.col("y"), F.col("s")).alias("key"), "doi")
+    assert sorted(map(tuple, N.citations(refs, own).collect())) == [(1, 2), (1, 7), (2, 1), (2, 7)]
+    assert [tuple(r) for r in N.shared(N.cited(refs), "record", "node").collect()] == [(1, 2, 1)]
+    assert [tuple(r) for r in N.shared(N.cited(refs, "source"), "node", "record").collect()] == [("ann nets", "j maps", 1)]
+
+
+def test_shared_keys_of_many_documents(spark):
+    """A key that all documents hold is cut into lists; the counts are those of all pairs."""
+    rows = [(d, "all") for d in range(40)] + [(d, d % 5) for d in range(40)]
+    df = spark.createDataFrame([(a, str(b)) for a, b in rows] + [(None, "all"), (3, None)], "d long, k string")
+    want = {(a, b): 1 + (a % 5 == b % 5) for a in range(40) for b in range(a + 1, 40)}
+    for block in (512, 7):
+        assert {(r.a, r.b): r.weight for r in N.shared(df, "d", "k", block).collect()} == want
+
+
+def test_semantic_records(spark):
+    from quillmap.sources.semantic_records import semantic_records
+
+    med = "PMID- 17\nTI  - One\n      <i>more</i>\nMH  - Maps\nOT  - own\nAU  - Doe J\nAU  - Roe R\nDP  - 2019 Mar\nJT  - J Maps\n\nPMID- 18\nAB  - see 10.1234/ab.c, there\n"
+    a, b = semantic_records(spark.createDataFrame([(med,), (None,), ("",)], "t string"), [], "t", "four_column").orderBy("record_no").collect()
+    assert (a.record_key, a.title, a.keywords, a.extras) == ("PMID_17", "One more", ["Maps"], {"AU": "Doe J, Roe R", "PY": "2019", "SO": "J Maps"})
+    assert a.concatenated_text == "Title: One more | Keywords: Maps | Journal: J Maps" and b.record_key == "10.1234/ab.c"
+    plain = semantic_records(spark.createDataFrame([(med,)], "t string"), [], "t", "four_column", use_mesh=False).orderBy("record_no").first()
+    assert plain.keywords == ["own"]
+    r = semantic_records(spark.createDataFrame([("PT J\nZZ x\nER\n",)], "t string"), [], "t", "two_letter").first()
+    assert (r.record_key, r.concatenated_text, r.extras) == ("ID_1", "Unknown document content", {})
+
+
+def test_number_files_and_encodings(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("a,b\n1,2\n\n3,oops\n ,4\n")
+    assert [r.vec for r in tables.read_numbers(spark, str(tmp_path / "n.csv")).orderBy("row").collect()] == [[1.0, 2.0], [3.0, 0.0], [0.0, 4.0]]
+    (tmp_path / "w.csv").write_bytes("Updated\nname,docs,x,y\nMünchen,\"1000\",y,z\nbad,1,2\n".encode("latin-1"))
+    assert [tuple(r) for r in tables.read_indicators(spark, str(tmp_path / "w.csv")).collect()] == [("München", "1000", "y", "z")]
+
+
+def test_one_unit_of_an_inventory(spark, tmp_path):
+    (tmp_path / "Locations.csv").write_text("name,docs,x\nA,5,\n")
+    (tmp_path / "Locations Trend.csv").write_text("Updated\nname,year,docs\nA,2020,2\n")
+    found = units.inventory(spark, [*(str(tmp_path / n) for n in ("Locations.csv", "Locations Trend.csv")), "/nowhere/Researchers.csv"])
+    got = {(r.period, r.column, r.value) for r in units.scan_unit(spark, found, "Locations").collect()}
+    assert got == {("Whole", "name", "A"), ("Whole", "docs", "5"), ("Trend", "name", "A"), ("Trend", "year", "2020"), ("Trend", "docs", "2")}
+    with pytest.raises(ValueError):
+        units.scan_unit(spark, found, "Funding Agencies")
+
+
+def test_json_result(spark):
+    import json
+
+    from quillmap.sources import sinks
+
+    df = spark.createDataFrame([("b", None), ("a", 1)], "k string, n int")
+    got = json.loads(sinks.result_json(df, "rows", unit="x").first()["json"])
+    assert got == {"success": True, "unit": "x", "rows": [{"k": "a", "n": 1}, {"k": "b", "n": None}]}
+    assert json.loads(sinks.result_json(df.limit(0), "rows").first()["json"]) == {"success": True, "rows": []}
+
+
+def test_tables_are_removed(spark):
+    import os
+
+    from quillmap import runtime
+
+    path = runtime.materialize(spark.range(3)).inputFiles()[0].removeprefix("file:").removeprefix("//")
+    assert os.path.exists(path)
+    runtime.release(spark)
+    assert not os.path.exists(path)
