@@ -120,7 +120,7 @@ def pair_counts(ids: DataFrame) -> DataFrame:
     none = F.lit(None).cast("array<long>")
     tiles = F.flatten(F.transform(blocks, lambda x, i: F.transform(F.slice(blocks, i + 1, F.size(blocks)), lambda y, j: F.struct(x.alias("a"), F.when(j > 0, y).alias("b")))))
     short = ids.where(F.size("ids").between(2, BLOCK)).select(F.col("ids").alias("a"), none.alias("b"))
-    long = ids.where(F.size("ids") > BLOCK).select(F.explode(tiles).alias("t")).select("t.a", "t.b").repartition(F.rand(7))
+    long = ids.where(F.size("ids") > BLOCK).select(F.explode(tiles).alias("t")).select("t.a", "t.b").repartition(F.xxhash64("a", "b"))
     n = ids.sparkSession.conf.get("spark.sql.shuffle.partitions")
     runs = short.union(long).mapInArrow(_runs, "code long, n long")
     return runs.repartition(int(n), "code").sortWithinPartitions("code").mapInArrow(_merge, "code long, n long")
@@ -129,6 +129,7 @@ def pair_counts(ids: DataFrame) -> DataFrame:
 def cooccurrence(records: DataFrame, min_pairs: int = 5, min_lift: float = 10.0) -> DataFrame:
     """item_a, item_b, n_ab, n_a, n_b, n, lift, odds_ratio of every pair of items with
     n_ab >= min_pairs and n_ab * n >= min_lift * n_a * n_b. records: as record_items gives."""
+    records = materialize(records, "records")  # counted, filtered and paired: its cells are cut once
     n = records.count()
     exploded = records.select("rec", F.explode("items").alias("item"))
     kept = exploded.groupBy("item").agg(F.count(F.lit(1)).alias("n_item")).where((F.col("n_item") >= min_pairs) & (F.col("n_item") * F.lit(float(min_lift)) <= F.lit(n)))

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize, spread
 
-#: Where the vocabulary files are, the words sent to tasks, and the longest of them.
-TOKENIZERS, HEAD_WORDS, HEAD_CHARS = "/opt/tokenizers", 50_000, 48
+#: Where the vocabulary files are, the words sent to tasks and the longest of them, and the same of long words, so that
+#: neither a frequent word nor a frequent long run of signs meets in one task.
+TOKENIZERS, HEAD_WORDS, HEAD_CHARS, LONG_WORDS, LONG_CHARS = "/opt/tokenizers", 50_000, 48, 2_000, 4_096
 #: Fixed value: the published word pattern of byte-level BPE.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LIST = pa.list_(pa.int32())
@@ -72,8 +73,10 @@ def encode(df: DataFrame, id_col: str, text_col: str, name: str = "byte_bpe_50k"
     path = os.path.join(folder, f"{name}.json")
     docs = spread(df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")))
     words = materialize(encode_words(word_counts(docs.select("text")), path), "words")
-    top = words.where(F.length("word") <= HEAD_CHARS).orderBy(F.desc("n"), "word").limit(head_words)
-    sent = spark.sparkContext.broadcast({r.word: list(r.ids) for r in top.collect()})
+    most = lambda rows, n: rows.orderBy(F.desc("n"), "word").limit(n).collect()
+    size = F.length("word")
+    top = most(words.where(size <= HEAD_CHARS), head_words) + most(words.where((size > HEAD_CHARS) & (size <= LONG_CHARS)), min(LONG_WORDS, head_words))
+    sent = spark.sparkContext.broadcast({r.word: list(r.ids) for r in top})
     id_type = df.schema[id_col].dataType.simpleString()
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
