@@ -352,15 +352,16 @@ def condensed(n: int, edges: list[tuple[float, int, int]], least: int) -> np.nda
     return label
 
 
-def lloyd(x: np.ndarray, k: int, seed: int = 42, rounds: int = 50) -> np.ndarray:
+def lloyd(x: np.ndarray, k: int, seed: int = 42, rounds: int = 50, times: np.ndarray | None = None) -> np.ndarray:
+    """times: how often each row counts, once if not given."""
     rng = np.random.default_rng(seed)
-    c = x[[int(rng.integers(len(x)))]]
+    c = x[[int(rng.integers(len(x))) if times is None else int(rng.choice(len(x), p=times / times.sum()))]]
     while len(c) < min(k, len(x)):
-        d = (som_math.distances(x, c) ** 2).min(1)
+        d = (som_math.distances(x, c) ** 2).min(1) * (1 if times is None else times)
         c = np.vstack([c, x[int(rng.choice(len(x), p=d / d.sum())) if d.sum() > 0 else int(rng.integers(len(x)))]])
     for _ in range(rounds):
         a = som_math.distances(x, c).argmin(1)
-        new = np.stack([x[a == j].mean(0) if (a == j).any() else c[j] for j in range(len(c))])
+        new = np.stack([np.average(x[a == j], axis=0, weights=None if times is None else times[a == j]) if (a == j).any() else c[j] for j in range(len(c))])
         if np.allclose(new, c):
             break
         c = new
@@ -377,17 +378,71 @@ def kmeans(data: DataFrame, k: int, seed: int = 42) -> DataFrame:
 
 
 def sub_clusters(points: DataFrame, group: str, least: int = 10, seed: int = 42) -> DataFrame:
-    """group, id, sub: k-means of each group's 2-D points with k = min(4, n / least), one task per group of at most MOST_LOCAL points."""
+    """group, id, sub: k-means of each group's 2-D points with k = min(4, n / least). A group of at most MOST_LOCAL points is one
+    task; the larger ones are clustered all at once by jobs over their distinct points."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST_LOCAL:
-            raise ValueError(f"a group of more than {MOST_LOCAL} points; use kmeans")
         pdf = pdf.sort_values("id")
         k = min(4, len(pdf) // max(1, least))
         sub = lloyd(pdf[["x", "y"]].to_numpy(float), k, seed) if k >= 2 else np.zeros(len(pdf), int)
         return pd.DataFrame({group: pdf[group], "id": pdf["id"], "sub": sub.astype(np.int32)})
 
-    return points.where(F.col(group).isNotNull()).groupBy(group).applyInPandas(work, f"{group} int, id long, sub int")
+    points, schema = points.where(F.col(group).isNotNull()), f"{group} int, id long, sub int"
+    sizes = points.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_LOCAL).collect()
+    if not sizes:
+        return points.groupBy(group).applyInPandas(work, schema)
+    big = {r[group]: min(4, r["n"] // max(1, least)) for r in sizes}
+    is_big = F.col(group).isin(list(big))
+    small = points.where(~is_big).groupBy(group).applyInPandas(work, schema)
+    return small.unionByName(_points_kmeans(points.where(is_big), group, big, seed))
+
+
+def _points_kmeans(points: DataFrame, group: str, k_of: dict[int, int], seed: int, rounds: int = 50) -> DataFrame:
+    """group, id, sub as by `lloyd` over each group's distinct points and their numbers: one task where these are at most
+    MOST_LOCAL, else seeds drawn by squared distance and rounds of means as jobs over all such groups; the driver holds at most
+    four centres a group."""
+    spark = points.sparkSession
+    held = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)")  # those without a place get a null sub
+    kinds = materialize(held.groupBy(group, "x", "y").agg(F.count(F.lit(1)).cast("double").alias("n")), "points")
+    few = [r[group] for r in kinds.groupBy(group).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") <= MOST_LOCAL).collect()]
+
+    def means(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "y"])
+        pdf["sub"] = lloyd(pdf[["x", "y"]].to_numpy(float), k_of[int(pdf[group].iloc[0])], seed, rounds, pdf["n"].to_numpy(float))
+        return pdf.assign(x=pdf["x"] * pdf["n"], y=pdf["y"] * pdf["n"]).groupby([group, "sub"], as_index=False)[["x", "y", "n"]].sum()
+
+    done: dict[int, list] = {}
+    for r in kinds.where(F.col(group).isin(few)).groupBy(group).applyInPandas(means, f"{group} int, sub int, x double, y double, n double").orderBy(group, "sub").collect() if few else []:
+        done.setdefault(r[group], []).append((r["x"] / r["n"], r["y"] / r["n"]))
+    kinds = kinds.where(~F.col(group).isin(few))
+    place = "struct<x:double,y:double>"
+    gaps = F.transform("c", lambda c: (F.col("x") - c["x"]) * (F.col("x") - c["x"]) + (F.col("y") - c["y"]) * (F.col("y") - c["y"]))
+
+    def near(rows: DataFrame, centres: dict) -> DataFrame:
+        held = spark.createDataFrame([(g, [tuple(map(float, v)) for v in c]) for g, c in centres.items()], f"{group} int, c array<{place}>")
+        rows = rows.join(F.broadcast(held), group).withColumn("ds", gaps)
+        return rows.withColumn("d", F.array_min("ds")).withColumn("sub", (F.array_position("ds", F.col("d")) - 1).cast("int"))
+
+    # the least of exponential times of rate weight is drawn in proportion to the weight
+    draw = lambda weight, at: -F.log((F.pmod(F.xxhash64(group, "x", "y", F.lit(seed), F.lit(at)), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))) / weight
+    first = kinds.groupBy(group).agg(F.min_by(F.struct("x", "y"), draw(F.col("n"), 0)).alias("p")).collect() if len(few) < len(k_of) else []
+    centres = {r[group]: [tuple(r["p"])] for r in first}
+    for at in range(1, max((k_of[g] for g in centres), default=1)):
+        drawn = near(kinds, {g: c for g, c in centres.items() if k_of[g] > at}).where("d > 0")
+        for r in drawn.groupBy(group).agg(F.min_by(F.struct("x", "y"), draw(F.col("n") * F.col("d"), at)).alias("p")).collect():
+            centres[r[group]].append(tuple(r["p"]))
+    moving = {g: np.array(c, float) for g, c in centres.items()}
+    centres = done | moving
+    for _ in range(rounds if moving else 0):
+        found = near(kinds, moving).groupBy(group, "sub").agg(*((F.sum(F.col(v) * F.col("n")) / F.sum("n")).alias(v) for v in "xy")).collect()
+        new = {g: c.copy() for g, c in moving.items()}
+        for r in found:
+            new[r[group]][r["sub"]] = r["x"], r["y"]
+        centres |= {g: c for g, c in new.items() if not np.allclose(c, moving[g])}
+        moving = {g: c for g, c in new.items() if not np.allclose(c, moving[g])}
+        if not moving:
+            break
+    return near(points, centres).select(F.col(group).cast("int").alias(group), F.col("id").cast("long").alias("id"), "sub")
 
 
 def medians(points: DataFrame, group: str) -> DataFrame:

@@ -365,3 +365,21 @@ def test_tables_are_removed(spark):
     assert os.path.exists(path)
     runtime.release(spark)
     assert not os.path.exists(path)
+
+
+def test_sub_clusters_of_groups_of_any_size(spark, monkeypatch):
+    """Groups beyond a task's rows are clustered too, by the same means; the other groups as before."""
+    rng = np.random.default_rng(4)
+    spots = {(1, 0): (0, 0), (1, 1): (50, 0), (1, 2): (0, 50), (1, 3): (50, 50), (2, 0): (0, 0)}
+    rows = [(g, s, *(np.array(c) + rng.normal(0, 1, 2)).round(2).tolist()) for (g, s), c in spots.items() for _ in range(30 if g == 1 else 9)]
+    df = spark.createDataFrame([(g, i, x, y) for i, (g, _, x, y) in enumerate(rows)] + [(3, 900 + i, 1.0, 1.0) for i in range(60)], "grp int, id long, x double, y double")
+
+    def parts():
+        by = {}
+        for r in S.sub_clusters(df, "grp").collect():
+            by.setdefault((r.grp, r.sub), set()).add(r.id)
+        return sorted((g, sorted(v)) for (g, _), v in by.items())
+
+    whole = parts()
+    monkeypatch.setattr(S, "MOST_LOCAL", 50)
+    assert parts() == whole and len(whole) == 6 and sum(len(v) for _, v in whole) == df.count()
