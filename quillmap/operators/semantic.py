@@ -3,8 +3,9 @@
 Rows: id, vec (array of double), usable ones only (see som.clean). Exact neighbours come from the
 partition index (`vector_index`); the tree of density clusters is built in tiles of row blocks by row
 blocks, each of bounded size. What is sequential by nature runs in one task on a row or an edge of a few
-numbers each: the walk down that tree, and the moves of the manifold layout, which beyond MOST_LAYOUT
-rows is an error.
+numbers each: the walk down that tree. The moves of the manifold layout are one task up to TASK_LAYOUT
+rows, beyond it a job a step over blocks of rows; all positions are sent, so more than MOST_LAYOUT rows
+are an error.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from ..functions import som_math
 from ..runtime import materialize, rows_bounded
 from . import som, vector_index
 
-#: Rows of a tile, the most rows of one-task operators and of a layout, and the tiles whose edges are merged at a time.
-TILE, MOST_LOCAL, MOST_LAYOUT, MERGED = 4_096, 20_000, 250_000, 8
+#: Rows of a tile, the most rows of one-task operators, of a layout in one task and of any layout, and the tiles whose edges are merged at a time.
+TILE, MOST_LOCAL, TASK_LAYOUT, MOST_LAYOUT, MERGED = 4_096, 20_000, 250_000, 16_000_000, 8
 
 
 def neighbours(data: DataFrame, k: int) -> DataFrame:
@@ -121,7 +122,7 @@ def reduce_linear(data: DataFrame, d: int) -> DataFrame:
 
 def manifold(data: DataFrame, near: DataFrame, k: int = 15, least: float = 0.1, epochs: int = 200, seed: int = 42) -> DataFrame:
     """id, x, y: fuzzy neighbour graph laid out by attraction and sampled repulsion, from the linear projection.
-    The moves are made in one task; more than MOST_LAYOUT rows are an error."""
+    The moves of at most TASK_LAYOUT rows are made in one task, others by `_layout_steps`; more than MOST_LAYOUT rows are an error."""
     if not rows_bounded(data, MOST_LAYOUT):
         raise ValueError(f"more than {MOST_LAYOUT} rows to lay out")
     rows = reduce_linear(data, 2).join(near, "id").select(F.col("id").cast("long").alias("id"), "coords", F.slice(_d("near"), 1, k).alias("d"), F.slice(F.transform("near", lambda x: x["id"]), 1, k).alias("n"))
@@ -167,7 +168,75 @@ def manifold(data: DataFrame, near: DataFrame, k: int = 15, least: float = 0.1,
                 np.add.at(pos, i, np.clip(2 * diff / ((0.001 + d2) * (1 + d2)), -4, 4) * rate * 0.2)
         return pa.table({"id": ids, "x": pos[:, 0].round(6), "y": pos[:, 1].round(6)})
 
-    return rows.mapInArrow(weigh, "id long, coords array<double>, n array<long>, w array<double>").groupBy().applyInArrow(work, "id long, x double, y double")
+    weighed = rows.mapInArrow(weigh, "id long, coords array<double>, n array<long>, w array<double>")
+    if not rows_bounded(data, TASK_LAYOUT):
+        return _layout_steps(materialize(weighed, "weighed"), least, epochs, seed)
+    return weighed.groupBy().applyInArrow(work, "id long, x double, y double")
+
+
+def _layout_steps(weighed: DataFrame, least: float, epochs: int, seed: int) -> DataFrame:
+    """id, x, y: the moves of `manifold` with a job for each step. A block of TILE rows has the edges from and to its rows and moves
+    only these; the places of the other rows are those of the step before. An edge is drawn for each of its ends."""
+    sc = weighed.sparkSession.sparkContext
+    start = weighed.select("id", F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y")).toArrow().sort_by("id")
+    ids, pos = start.column("id").to_numpy(), np.stack([start.column(c).to_numpy() for c in "xy"], 1)
+    del start
+    pos = pos / max(np.abs(pos).max(), 1e-9) * 10
+    sent_ids, size = sc.broadcast(ids), TILE
+
+    def ends(batches):
+        ids = sent_ids.value
+        for b in batches:
+            if b.num_rows:
+                me, held = np.searchsorted(ids, b.column(0).to_numpy()), np.diff(b.column(1).offsets.to_numpy())
+                me, other, w = np.repeat(me, held), np.searchsorted(ids, b.column(1).flatten().to_numpy()), b.column(2).flatten().to_numpy(zero_copy_only=False)
+                # the edge at its first end, and below 0 at its second
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[me << 32 | other, other << 32 | me]), pa.array(np.r_[w, -w].astype(np.float32))], ["e", "w"])
+
+    def pack(t: pa.Table) -> pa.Table:
+        e, w = t.column("e").to_numpy(), t.column("w").to_numpy()
+        order = np.lexsort((w, e))
+        e, w = e[order], w[order]
+        one = lambda v, kind: pa.array([v.astype(kind).tobytes()], pa.binary())
+        return pa.table({"block": pa.array([int(e[0] >> 32) // size]), "me": one(e >> 32, np.int32), "other": one(e & 0xFFFFFFFF, np.int32), "w": one(w, np.float32)})
+
+    edges = weighed.select("id", "n", "w").mapInArrow(ends, "e long, w float").groupBy(F.floor(F.shiftright("e", 32) / size).alias("b")).applyInArrow(pack, "block long, me binary, other binary, w binary")
+    edges = materialize(edges, "edges")
+    for step in range(epochs):
+        sent, rate = sc.broadcast(pos), 1.0 - step / epochs
+
+        def move(batches, sent=sent, rate=rate, step=step):
+            pos = sent.value
+            for b in batches:
+                for block, *packed in zip(*(c.to_pylist() for c in b.columns)):
+                    me, other, w = (np.frombuffer(v, kind) for v, kind in zip(packed, (np.int32, np.int32, np.float32)))
+                    rng, low = np.random.default_rng([seed, step, block]), block * size
+                    own = pos[low : low + size].copy()
+                    add = lambda i, by: np.stack([np.bincount(i, by[:, c], len(own)) for c in range(2)], 1)
+                    use = rng.random(len(w)) < np.abs(w)
+                    first, i, j = w[use] >= 0, me[use] - low, other[use]
+                    diff = own[i] - pos[j]
+                    own += add(i, np.clip(-2 * diff / (1 + (diff**2).sum(1, keepdims=True) + least), -4, 4) * rate)
+                    i = i[first]
+                    for _ in range(5):
+                        diff = own[i] - pos[rng.integers(0, len(pos), len(i))]
+                        d2 = (diff**2).sum(1, keepdims=True)
+                        own += add(i, np.clip(2 * diff / ((0.001 + d2) * (1 + d2)), -4, 4) * rate * 0.2)
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([own.tobytes()], pa.binary())], ["block", "own"])
+
+        moved = pos.copy()
+        for r in edges.mapInArrow(move, "block long, own binary").collect():
+            moved[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["own"]).reshape(-1, 2)
+        pos = moved
+        sent.destroy()
+    sent = sc.broadcast(pos.round(6))
+
+    def place(batches):
+        for b in batches:
+            at = np.searchsorted(sent_ids.value, b.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(sent.value[at, c]) for c in range(2))], ["id", "x", "y"])
+
+    return weighed.select("id").mapInArrow(place, "id long, x double, y double")
 
 
 def density_clusters(data: DataFrame, least: int, seed: int = 42) -> DataFrame:

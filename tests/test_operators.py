@@ -383,3 +383,24 @@ def test_sub_clusters_of_groups_of_any_size(spark, monkeypatch):
     whole = parts()
     monkeypatch.setattr(S, "MOST_LOCAL", 50)
     assert parts() == whole and len(whole) == 6 and sum(len(v) for _, v in whole) == df.count()
+
+
+def test_layout_of_more_rows_than_a_task_takes(spark, monkeypatch):
+    """Beyond the rows of a task every row is laid out too, next to its neighbours; blocks of rows move as the whole does."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 1, (60, 4)) for c in (0, 30, 60)])
+    df = spark.createDataFrame([(7 * i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    near = S.neighbours(df, 15)
+
+    def kept():
+        rows = S.manifold(df, near, epochs=20).orderBy("id").collect()
+        assert [r.id for r in rows] == [7 * i for i in range(180)]
+        p = np.array([(r.x, r.y) for r in rows])
+        d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
+        np.fill_diagonal(d, np.inf)
+        return np.mean(np.argsort(d, 1)[:, :5] // 60 == np.arange(180)[:, None] // 60)
+
+    whole = kept()
+    monkeypatch.setattr(S, "TASK_LAYOUT", 100)
+    monkeypatch.setattr(S, "TILE", 50)
+    assert whole > 0.95 and kept() > 0.95
