@@ -44,3 +44,19 @@ def test_small_tables_have_few_neighbours(spark):
 
 def test_parts_grow_with_the_rows():
     assert [vi.parts_for(n) for n in (1, 10_000, 1_000_000, 10**12)] == [1, 1, 500, vi.MOST_SAMPLE // vi.PER_PART]
+
+
+def test_queries_in_turns_and_tables_removed(spark, monkeypatch):
+    """Queries taken in turns give the same lists, of float vectors too; only the lists themselves stay on disk."""
+    from pathlib import Path
+
+    from quillmap import runtime
+
+    x = np.random.default_rng(3).normal(0, 1, (400, 6)).astype(np.float32)
+    df = frame(spark, x).selectExpr("id", "cast(vec as array<float>) vec")
+    runtime.release(spark)
+    monkeypatch.setattr(vi, "TURN", 100)
+    found = vi.neighbour_lists(df, 5, parts=6)
+    assert ids(found) == brute(x.astype(float), 5)
+    names = [p.name.split("-")[0] for p in Path(runtime.own_dir(spark).removeprefix("file://")).iterdir()]
+    assert sorted(names) == ["found"] * 4 + ["kinds"]
