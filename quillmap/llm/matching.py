@@ -54,6 +54,9 @@ VIEWS = ("title", "head", "keywords", "makers", "doi")
 TABLES = (3, 3, 3, 3, 2)
 #: Pairs of a key beyond which it is reranked in tiles, by view, and the rows of a side of a tile.
 HOT, TILE = (100, 10, 100, 100, 100), 500
+#: Pairs of a tile from which bounds are made for the whole tile at once, and rows of a block of word pairs,
+#: and share of open pairs below which titles are compared pair by pair.
+BULK, WORD_ROWS, FEW_LEFT = 200, 512, 0.05
 HEAD = 36
 _TAG = re.compile(r"<[^<>]{1,60}>")
 _WORD = re.compile(r"[a-z0-9]+")
@@ -284,9 +287,133 @@ def _tile_pairs(bits: list[list[bytes]], pos: int) -> tuple[np.ndarray, np.ndarr
     return np.nonzero(ok)
 
 
+@lru_cache(1 << 17)
+def _signature(w: str) -> int:
+    """Bits of the characters of w, and of the letters it has twice: an insertion changes one bit, a substitution two, a swap none."""
+    bits = 0
+    for c in set(w):
+        i = ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) - 48 if "0" <= c <= "9" else 63
+        bits |= 1 << i
+        if i < 26 and w.count(c) > 1:
+            bits |= 1 << (36 + i)
+    return bits
+
+
+def _near_sets(a: list[str], b: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, block of rows): True where near_words of the words of a and b can hold; all pairs that do are True."""
+    sa, sb = (np.array([_signature(w) for w in ws], np.uint64) for ws in (a, b))
+    la, lb = (np.array([len(w) for w in ws], np.int64) for ws in (a, b))
+    for s in range(0, len(a), WORD_ROWS):
+        l = la[s : s + WORD_ROWS, None]
+        most = np.where(np.minimum(l, lb) < 11, 1, 2)
+        yield s, (np.abs(l - lb) <= most) & (np.bitwise_count(sa[s : s + WORD_ROWS, None] ^ sb) <= 2 * most)
+
+
+def _partners(x: list[list[str]], y: list[list[str]], titles: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """(len(x), len(y)) twice: how many words of each list of x can have a partner in each list of y, and (of titles) the
+    other way round. Partners are equal or perhaps near; in titles also one that begins or ends the other, among makers as pair_evidence asks."""
+    at = [{w: i for i, w in enumerate(sorted({w for ws in rows for w in ws}))} for rows in (x, y)]
+    a, b = (list(d) for d in at)
+    ok = np.zeros((len(a), len(b)), bool)
+    ends = [[np.array([w[k] for w in ws], "U1") for k in (0, -1)] for ws in (a, b)]
+    for s, near in _near_sets(a, b):
+        e = s + len(near)
+        l = np.array([len(w) for w in a[s:e]], np.int64)[:, None]
+        m = np.array([len(w) for w in b], np.int64)
+        if titles:
+            near &= (np.minimum(l, m) > 3) & ~(np.char.isdigit(ends[0][0][s:e])[:, None] & np.char.isdigit(ends[1][0]))
+        else:
+            near &= (l > 4) & (np.abs(l - m) < 2) & ((ends[0][0][s:e, None] == ends[1][0]) | (ends[0][1][s:e, None] == ends[1][1]))
+        ok[s:e] = near
+    for k, (own, other) in enumerate(((at[0], at[1]), (at[1], at[0]))):
+        for w, i in own.items():
+            for part in (w, *(w[:c] for c in range(1, len(w))), *(w[c:] for c in range(1, len(w)))) if titles else (w,):
+                j = other.get(part)
+                if j is not None:
+                    ok[(i, j) if k == 0 else (j, i)] = True
+    counts = [np.zeros((len(rows), len(d)), np.float32) for rows, d in zip((x, y), at)]
+    for c, rows, d in zip(counts, (x, y), at):
+        np.add.at(c, (np.repeat(np.arange(len(rows)), [len(ws) for ws in rows]), np.array([d[w] for ws in rows for w in ws], np.int64)), 1)
+
+    def met(rel: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """(words, lists): lists with a partner of the word."""
+        out = np.zeros((len(rel), len(c)), np.float32)
+        i, j = np.nonzero(rel)
+        if len(i):
+            first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+            has = (c > 0).T
+            for s in range(0, len(first), 2 * WORD_ROWS):
+                f = first[s : s + 2 * WORD_ROWS]
+                end = first[s + 2 * WORD_ROWS] if s + 2 * WORD_ROWS < len(first) else len(i)
+                out[i[f]] = np.logical_or.reduceat(has[j[f[0] : end]], f - f[0], axis=0)
+        return out
+
+    return counts[0] @ met(ok, counts[1]), (counts[1] @ met(ok.T, counts[0])).T if titles else None
+
+
+def _reachable(x: list[dict], y: list[dict]) -> np.ndarray:
+    """(len(x), len(y)): whether the evidence of a pair can reach EVIDENCE. Bounds from above of each part of pair_evidence for a
+    whole tile at once, from counts of words that can be partners; the same rules as there, so that none that passes is False."""
+    seen: dict = {"": 0}
+    code = lambda rows, name: np.array([seen.setdefault(r[name], len(seen)) for r in rows], np.int64)
+
+    def near(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a text: both have it, equal, perhaps near."""
+        p, q = code(x, name), code(y, name)
+        (a, i), (b, j) = ((sorted({r[name] for r in rows}), rows) for rows in (x, y))
+        rel = np.concatenate([block for _, block in _near_sets(a, b)])
+        places = [np.searchsorted(np.array(ws), [r[name] for r in rows]) for ws, rows in ((a, i), (b, j))]
+        return (p > 0)[:, None] & (q > 0), p[:, None] == q, rel[places[0][:, None], places[1]]
+
+    stock = np.array([r["stock"] for r in x], bool)[:, None] | np.array([r["stock"] for r in y], bool)
+    p, q = code(x, "title"), code(y, "title")
+    long = np.array([len(r["title"]) >= 12 for r in x], bool)[:, None]
+    alike, none = p[:, None] == q, (p[:, None] == 0) | (q == 0)
+    t = np.where(none, 0.0, np.where(alike, np.where(stock | ~long, 0.0, 3.0), np.where(stock, 0.0, 3.0)))
+    both, equal, close = near("doi")
+    same = both & equal
+    e = t + np.where(same, 2.5, np.where(both, np.where(close, 1.0, -1.0), 0.0))
+    ax, ay = (np.array([r["year"] for r in rows], np.int64) for rows in (x, y))
+    gap = np.abs(ax[:, None] - ay)
+    e += np.where((ax[:, None] == 0) | (ay == 0), 0.0, np.where(gap == 0, 0.5, np.where(gap == 1, 0.2, -0.8)))
+    both, equal, close = near("source")
+    e += np.where(both, np.where(equal | close, 0.7, -0.5), 0.0)
+    at = {w: i for i, w in enumerate(sorted({w for r in (*x, *y) for w in r["words"]}))}
+    has = [np.zeros((len(rows), len(at)), np.float32) for rows in (x, y)]
+    for h, rows in zip(has, (x, y)):
+        for i, r in enumerate(rows):
+            h[i, [at[w] for w in r["words"]]] = 1
+    least = np.minimum(has[0].sum(1)[:, None], has[1].sum(1)).astype(float)
+    share = (has[0] @ has[1].T).astype(float) / np.maximum(least, 1)
+    e += np.where(least == 0, 0.0, np.where(share >= 0.6, 1.5, np.where(share >= 0.3, 0.3, -0.7)))
+    mx, my = (np.array([len(r["makers"]) for r in rows], np.int64) for rows in (x, y))
+    least = np.minimum(mx[:, None], my)
+    open_ = e + np.where(least == 0, 0.0, 1.5) >= EVIDENCE - 1e-6
+    i, j = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+    if not len(i):
+        return open_
+    hit = np.zeros(open_.shape, np.float32)
+    hit[np.ix_(i, j)] = _partners([x[k]["makers"] for k in i], [y[k]["makers"] for k in j], False)[0]
+    e += np.where(least == 0, 0.0, np.where(hit >= 0.5 * least, 1.5, np.where(hit > 0, 0.5, -1.5)))
+    ok = open_ & (e >= EVIDENCE - 1e-6)
+    if ok.mean() < FEW_LEFT:
+        return ok
+    wx, wy = ([r["title"].split() for r in rows] for rows in (x, y))
+    nx, ny = (np.array([len(w) for w in ws], np.int64) for ws in (wx, wy))
+    hit_x, hit_y = _partners(wx, wy, True)
+    short = np.minimum(nx[:, None], ny)
+    miss = np.where(nx[:, None] <= ny, nx[:, None] - hit_x, ny - hit_y)  # words of the shorter title without a partner count as bad
+    less = np.where(stock, np.where((nx[:, None] == ny) & (miss == 0), 0.0, -9.0), np.select([miss == 0, (miss == 1) & (short >= 6), (miss == 2) & (short >= 8)], [3.0, 2.0, 0.5], -4.0))
+    less = np.where(alike | none, t, less)
+    return ok & (less > -9) & ((less >= 0) | same) & (e - t + less >= EVIDENCE - 1e-6)
+
+
 def _possible(x: list[dict], y: list[dict], u: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, int]]:
     """The pairs (u, v) of x and y whose evidence can reach EVIDENCE: bounds from above of what pair_evidence adds, the
     cheap ones first, so that none that passes is lost."""
+    if len(u) >= BULK:
+        ok = _reachable(x, y)[u, v]
+        u, v = u[ok], v[ok]
 
     def codes(name: str) -> list[np.ndarray]:
         seen: dict = {"": 0, 0: 0}

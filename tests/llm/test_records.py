@@ -125,6 +125,19 @@ def test_bounds_lose_no_pair():
     assert passes and passes <= possible and len(possible) < 0.5 * len(u)
 
 
+def test_a_tile_is_bounded_as_a_whole(monkeypatch):
+    """Titles that begin alike over unlike makers: few pairs of a tile are compared one by one, and none that passes is lost."""
+    rng = random.Random(6)
+    row = lambda: {"title": f"on the slow growth of coral reefs near {rng.choice(NUMBERS)} {rng.choice(NUMBERS)}", "doi": f"109999{rng.randrange(10**6):06d}", "year": rng.randrange(1990, 2020), "makers": sorted("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(3)), "source": rng.choice(NUMBERS), "words": rng.sample(NUMBERS, 4), "stock": False}
+    x = [row() for _ in range(120)]
+    y = [r | {"title": r["title"].replace("coral", "corla"), "makers": [w[:3] + w[4] + w[3] + w[5:] for w in r["makers"]]} for r in x[:60]] + [row() for _ in range(60)]
+    u, v = (a.ravel() for a in np.indices((120, 120)))
+    passes = {(i, j) for i in range(120) for j in range(120) if matching.pair_evidence(x[i], y[j]) >= matching.EVIDENCE}
+    calls, plain = [], matching.title_evidence
+    monkeypatch.setattr(matching, "title_evidence", lambda *a: calls.append(a) or plain(*a))
+    assert len(passes) >= 60 and passes <= set(matching._possible(x, y, u, v)) and len(calls) < 0.05 * len(u)
+
+
 def test_titles():
     same = matching.title_evidence
     p = matching.plain
