@@ -8,6 +8,11 @@ records without terms add nothing; an empty table gives an empty network. Edges
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +21,8 @@ from ..runtime import global_rank, materialize, rows_bounded
 
 #: Documents of a list of one key, and hot keys that are sent to the tasks.
 BLOCK, SENT_KEYS = 512, 1_000_000
+#: Rows (document, key) of a block of documents, pairs counted at once, and rows of a batch of results.
+BLOCK_ROWS, PAIRS_AT_ONCE, OUT_ROWS = 4_000_000, 2_000_000, 65_536
 
 
 def term_array(terms: Column) -> Column:
@@ -112,12 +119,20 @@ def incidence(docs: DataFrame, nodes: DataFrame, *keep: str) -> DataFrame:
     return docs.select("rec", *keep, F.explode("terms").alias("term")).join(nodes.select("term"), "term", "left_semi").select("rec", *keep, "term")
 
 
-def shared(df: DataFrame, doc: str, key: str, block: int = BLOCK) -> DataFrame:
+def shared(df: DataFrame, doc: str, key: str, block: int = BLOCK, dense: bool | None = None) -> DataFrame:
     """a < b, weight: how many distinct keys two documents share (coupling; with columns swapped, co-citation). Pairs are made
     inside lists of at most about `block` documents of a key and between two such lists, so that a key of very many
-    documents is many small rows, and counted with partial sums."""
-    d = df.select(F.col(doc).alias("doc"), F.col(key).alias("key")).where("doc is not null and key is not null").distinct()
-    hot = materialize(d.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb")).where("nb > 1"), "hot")
+    documents is many small rows, and counted with partial sums. Where the pairs are many for the rows (or `dense` says
+    so) no pair becomes a row: blocks of documents are multiplied with each other, and only sums leave a task."""
+    d = df.select(F.col(doc).alias("doc"), F.col(key).alias("key")).where("doc is not null and key is not null")
+    keys = materialize(d.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "keys")
+    rows, pairs_ = keys.agg(F.sum("n"), F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    blocks = max(math.ceil((rows or 0) / BLOCK_ROWS), math.ceil(math.sqrt(4 * cores)))
+    if dense or dense is None and rows and pairs_ > 4.0 * rows * blocks:
+        return _multiplied(d, keys, blocks)
+    d = d.distinct()
+    hot = keys.select("key", F.ceil(F.col("n") / block).cast("int").alias("nb")).where("nb > 1")
     hot = F.broadcast(hot) if rows_bounded(hot, SENT_KEYS) else hot
     rows = d.join(hot, "key", "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("x", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
     lists = rows.groupBy("key", "x", "nb").agg(F.array_sort(F.collect_list("doc")).alias("docs"))
@@ -130,6 +145,101 @@ def shared(df: DataFrame, doc: str, key: str, block: int = BLOCK) -> DataFrame:
     return found.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def _multiplied(d: DataFrame, keys: DataFrame, blocks: int) -> DataFrame:
+    """`shared` by blocks: documents and keys get numbers, the rows of a block of documents are packed (keys in order), and each
+    two blocks are multiplied in one task, a document of the first at a time."""
+    kind = d.schema["doc"].dataType.simpleString()
+    send = lambda t: F.broadcast(t) if rows_bounded(t, SENT_KEYS) else t
+    docs = materialize(global_rank(d.select("doc").distinct(), "doc", name="k").select("doc", (F.col("k") - 1).alias("k")), "docs")
+    size = max(1, math.ceil(docs.count() / blocks))
+    number = materialize(global_rank(keys.select("key"), "key", name="l"), "numbers")
+    rows = d.join(send(docs), "doc").join(send(number), "key").select((F.col("k") / size).cast("int").alias("block"), (F.col("k") % size).cast("int").alias("at"), F.col("l").cast("long").alias("l"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            block, at, l = (b.column(i).to_numpy() for i in range(3))
+            for k in np.unique(block).tolist():
+                held.setdefault(k, []).append((l << 31 | at)[block == k])
+        for k in list(held):
+            code = np.unique(np.concatenate(held.pop(k)))
+            for s in range(0, len(code), PAIRS_AT_ONCE):
+                c = code[s : s + PAIRS_AT_ONCE]
+                first = int(c[0] >> 31)
+                # the difference of the keys in order packs well
+                step = np.diff(c >> 31, prepend=first).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([first], pa.int64()), pa.array([step.tobytes()], pa.binary()), pa.array([(c & 0x7FFFFFFF).astype(np.int32).tobytes()], pa.binary())], ["block", "first", "step", "at"])
+
+    packed = materialize(rows.repartition(blocks, "block").mapInArrow(pack, "block int, first long, step binary, at binary"), "packed")
+    names = docs.groupBy((F.col("k") / size).cast("int").alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "doc"))), lambda x: x["doc"]).alias("docs"))
+    parts = packed.withColumn("docs", F.lit(None).cast(f"array<{kind}>")).unionByName(names, allowMissingColumns=True)
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
+    sent = parts.select("*", other).select(F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "first", "step", "at", "docs")
+
+    def multiply(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        i, j = rows[0]["i"], rows[0]["j"]
+        side = {}
+        for k in {i, j}:
+            own = sorted((r for r in rows if r["block"] == k and r["at"] is not None), key=lambda r: r["first"])
+            names = next((r["docs"] for r in rows if r["block"] == k and r["docs"] is not None), None)
+            if names is None or not own:
+                return
+            keys = np.concatenate([r["first"] + np.cumsum(np.frombuffer(r["step"], np.int32), dtype=np.int64) for r in own])
+            side[k] = names, keys, np.concatenate([np.frombuffer(r["at"], np.int32) for r in own])
+        (left, ka, da), (right, kb, db) = side[i], side[j]
+        starts, ends = np.searchsorted(kb, ka, "left"), np.searchsorted(kb, ka, "right")
+        order = np.argsort(da, kind="stable")
+        of = np.searchsorted(da[order], np.arange(len(left) + 1))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        have = 0
+        left_docs, right_docs = pa.array(left, TYPES.get(kind)), pa.array(right, TYPES.get(kind))
+
+        def batch() -> pa.RecordBatch:
+            a, b, w = (np.concatenate(x) for x in zip(*out))
+            return pa.RecordBatch.from_arrays([left_docs.take(pa.array(a)), right_docs.take(pa.array(b)), pa.array(w)], ["a", "b", "weight"])
+
+        for a in range(len(left)):
+            own = order[of[a] : of[a + 1]]
+            s, n = starts[own], ends[own] - starts[own]
+            s, n = s[n > 0], n[n > 0]
+            if not len(n):
+                continue
+            total = np.zeros(len(right), np.int64)
+            upto = np.cumsum(n)
+            cuts = np.unique(np.r_[0, np.searchsorted(upto, np.arange(PAIRS_AT_ONCE, upto[-1], PAIRS_AT_ONCE)), len(n)])
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                m = n[x:y]
+                total += np.bincount(db[np.repeat(s[x:y] - np.cumsum(m) + m, m) + np.arange(m.sum())], minlength=len(right))
+            if i == j:
+                total[: a + 1] = 0
+            hit = np.flatnonzero(total)
+            if len(hit):
+                out.append((np.full(len(hit), a, np.int32), hit.astype(np.int32), total[hit]))
+                have += len(hit)
+                if have >= OUT_ROWS:
+                    yield batch()
+                    out, have = [], 0
+        if out:
+            yield batch()
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for b in batches:
+            for r in b.to_pylist():
+                if held and (held[0]["i"], held[0]["j"]) != (r["i"], r["j"]):
+                    yield from multiply(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield from multiply(held)
+
+    return sent.repartition(blocks * (blocks + 1) // 2, "i", "j").sortWithinPartitions("i", "j").mapInArrow(tiles, f"a {kind}, b {kind}, weight long")
+
+
+#: Arrow types of documents whose Python values don't tell them.
+TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
 def _words(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 

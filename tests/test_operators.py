@@ -315,6 +315,30 @@ def test_shared_keys_of_many_documents(spark):
         assert {(r.a, r.b): r.weight for r in N.shared(df, "d", "k", block).collect()} == want
 
 
+def test_shared_by_blocks(spark, monkeypatch):
+    """Where pairs are many for the rows, no pair is a row: blocks multiplied give the same counts, for texts and numbers."""
+    rows = [(d, f"k{k}") for d in range(90) for k in range(60) if (d * 7 + k * k) % 3] * 2
+    df = spark.createDataFrame([*rows, (None, "k1"), (3, None)], "d long, k string")
+    have = {d: {k for x, k in rows if x == d} for d in range(90)}
+    want = {(a, b): len(have[a] & have[b]) for a in range(90) for b in range(a + 1, 90) if have[a] & have[b]}
+    monkeypatch.setattr(N, "PAIRS_AT_ONCE", 50)
+    monkeypatch.setattr(N, "OUT_ROWS", 100)
+    for rows_of_block in (2000, 10**6):
+        monkeypatch.setattr(N, "BLOCK_ROWS", rows_of_block)
+        got = N.shared(df, "d", "k", dense=True)
+        assert got.dtypes == N.shared(df, "d", "k", dense=False).dtypes
+        got = got.collect()
+        assert len(got) == len(want) and {(r.a, r.b): r.weight for r in got} == want
+    text = N.shared(df.withColumn("d", F.format_string("%03d", "d")).where("k is not null"), "d", "k", dense=True)
+    assert {(int(r.a), int(r.b)): r.weight for r in text.where("a <> 'null' and b <> 'null'").collect()} == want
+    assert N.shared(df.limit(0), "d", "k", dense=True).count() == N.shared(df.limit(0), "d", "k").count() == 0
+    plan = []
+    monkeypatch.setattr(N, "_multiplied", lambda d, keys, blocks: plan.append(blocks) or d)
+    many = spark.range(800).selectExpr("id d").crossJoin(spark.range(3).selectExpr("id k"))
+    N.shared(many, "d", "k")
+    assert plan
+
+
 def test_semantic_records(spark):
     from quillmap.sources.semantic_records import semantic_records
 
