@@ -2,8 +2,8 @@
 
 1. Each name is read into family-name keys (accents, particles and hyphens folded; both halves of
    a double name) and given names. Distinct family names become character 3-gram vectors weighted
-   by rarity; a prefix-filtered posting join finds all pairs with cosine >= COSINE (no cap on
-   partners), and an edit-distance check keeps those a slip of the pen apart.
+   by rarity; all pairs a slip of the pen apart meet by what is left of them without two or three
+   letters, and those with cosine >= COSINE are linked (no cap on partners).
 2. Rows meet where their family names are linked and they share a context token (a word of the
    affiliation, the keyword, a full given name), so that a family name which a third of all rows
    bears is split by context before any pair is made. Rows with neither affiliation nor keyword meet
@@ -200,6 +200,33 @@ def _read(df: DataFrame, id_col: str, name: str, place: str, keyword: str, first
     return spread(df.select(*cols)).mapInArrow(read, "id long, keys array<string>, given array<string>, words array<string>, keyword string, first int, last int, ctx array<string>").where(F.size("keys") > 0)
 
 
+def _letters_left(key: str) -> list[str]:
+    """key with up to 2 letters left out, 3 from 11 letters on: keys so many edits apart have one of these in common."""
+    out = {key}
+    last = out
+    for _ in range(2 if len(key) < 11 else 3):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out |= last
+    return list(out)
+
+
+def _close_keys(keys: DataFrame) -> DataFrame:
+    """x < y: all pairs of distinct keys that near spelling allows, met by what is left of them without some letters."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 1024):
+                b = big.slice(at, 1024)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_letters_left(k) for k in b.column(0).to_pylist()], pa.list_(pa.string()))], ["key", "left"])
+
+    # hashes that fall together only add candidates
+    each = keys.select("key").mapInArrow(cut, "key string, left array<string>").select("key", F.explode("left").alias("h")).select("key", F.xxhash64("h").alias("h"))
+    lists = each.groupBy("h").agg(F.array_sort(F.collect_list("key")).alias("k")).where(F.size("k") > 1)
+    met = lists.select(F.posexplode("k").alias("i", "x"), "k").select("x", F.explode(F.slice("k", F.col("i") + 2, F.size("k"))).alias("y")).where("x < y")
+    shorter = F.least(F.length("x"), F.length("y"))
+    return met.where((F.abs(F.length("x") - F.length("y")) <= 2) & (F.levenshtein("x", "y") <= F.when(shorter < 11, 2).otherwise(3))).distinct()
+
+
 def family_links(keys: DataFrame, cosine: float = COSINE) -> DataFrame:
     """x, y (both ways, x = y included) of distinct family keys (column key) by 3-gram cosine, and near in edit distance."""
     padded = F.concat(F.lit("__"), F.col("key"), F.lit("_"))
@@ -210,16 +237,10 @@ def family_links(keys: DataFrame, cosine: float = COSINE) -> DataFrame:
     weighed = each.join(df, "gram").withColumn("w", F.log(F.lit(float(n + 1)) / F.col("df")) + 0.05)
     own = Window.partitionBy("key")
     unit = weighed.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(own)))
-    # the grams left out of the prefix cannot reach the cosine by themselves
-    rest = F.sum(F.col("w") * F.col("w")).over(own.orderBy(F.col("df").desc(), F.col("gram").desc()))
-    unit = materialize(unit.withColumn("prefix", rest >= cosine * cosine).select("key", "gram", "w", "prefix"), "grams")
-    vector = unit.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v"))
-    short = unit.where("prefix").select("key", "gram")
-    met = short.withColumnRenamed("key", "x").join(short.withColumnRenamed("key", "y"), "gram").where("x < y").select("x", "y").distinct()
-    met = met.where(F.abs(F.length("x") - F.length("y")) <= 2)
-    both = met.join(vector.withColumnsRenamed({"key": "x", "v": "vx"}), "x").join(vector.withColumnsRenamed({"key": "y", "v": "vy"}), "y")
+    vector = materialize(unit.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v")), "grams")
+    both = _close_keys(vector).join(vector.withColumnsRenamed({"key": "x", "v": "vx"}), "x").join(vector.withColumnsRenamed({"key": "y", "v": "vy"}), "y")
     dot = F.aggregate(F.map_keys("vx"), F.lit(0.0), lambda s, g: s + F.coalesce(F.col("vx")[g] * F.try_element_at("vy", g), F.lit(0.0)))
-    good = both.where((dot >= cosine) & (F.levenshtein("x", "y") <= F.when(F.least(F.length("x"), F.length("y")) < 11, 2).otherwise(3))).select("x", "y")
+    good = both.where(dot >= cosine).select("x", "y")
     return good.union(good.select("y", "x")).union(keys.select("key", "key"))
 
 

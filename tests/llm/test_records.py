@@ -47,6 +47,21 @@ def test_variants(spark):
     assert {(r.name_id_a, r.name_id_b) for r in names.person_pairs(link(twice)).collect()} >= {(0, 77), (0, 1)}
 
 
+def test_close_family_names_meet_without_all_pairs(spark):
+    """The links are those of all pairs compared; keys that share grams but are no slip of the pen apart never meet."""
+    rng = random.Random(9)
+    words = {"".join(rng.choice(["ra", "ven", "holt", "mar", "lo", "ski", "qu", "il"]) for _ in range(rng.randrange(2, 6))) for _ in range(160)}
+    words |= {w[:2] + w[3:] for w in list(words)[:40]} | {w[:3] + "x" + w[4:-1] + "z" for w in list(words)[40:80]}
+    keys = spark.createDataFrame([(w,) for w in sorted(words)], "key string").cache()
+    close = keys.alias("a").join(keys.alias("b"), F.col("a.key") < F.col("b.key")).select(F.col("a.key").alias("x"), F.col("b.key").alias("y"))
+    close = close.where((F.abs(F.length("x") - F.length("y")) <= 2) & (F.levenshtein("x", "y") <= F.when(F.least(F.length("x"), F.length("y")) < 11, 2).otherwise(3)))
+    want = {tuple(r) for r in close.collect()}
+    got = [tuple(r) for r in names._close_keys(keys).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
+    links = {tuple(r) for r in names.family_links(keys).collect() if r.x < r.y}
+    assert links and links <= want
+
+
 def _works(n, rng):
     topics = [a + " " + b for a in ("coral", "solar", "tensile", "wage", "jury", "neural", "forest", "vaccine") for b in ("growth", "cells", "strength", "gap", "selection", "response")]
     out = []
