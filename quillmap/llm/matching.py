@@ -1,10 +1,11 @@
 """Matching entities across sources without keys.
 
-1. Fit, on a bounded sample of records: random walks over the record - attribute - token graph
-   (record to one of its attributes, to a token of it, to another record with that token, ...)
-   give token sequences; skip-gram with negative sampling trains the token vectors on them. Tokens are
-   hashed 4-grams of characters, so the model has a fixed size and slips of the pen move a vector
-   little.
+1. Fit, on all records: random walks over the record - attribute - token graph, at least one from each record
+   (to one of its attributes, to a token of it, to another record with that token, ...)
+   give token sequences; skip-gram with negative sampling trains the token vectors on them, in parts of
+   the records whose vectors are averaged by how often a token was met. Tokens are hashed 4-grams of
+   characters, so the model has a fixed size and slips of the pen move a vector little. Rarity, centre
+   and width are those of all records.
 2. Every record gets one vector for each attribute view (title, head of the title, keywords,
    authors with source, doi), the rarity-weighted sum of its token vectors, and from each some
    table keys: signs of its products with random hyperplanes. Records of the two sides that share a
@@ -14,9 +15,9 @@
 3. Candidates are reranked exactly on title, doi, year, authors, source and keywords. Stock headings
    are found, not listed: titles that stand over records of UNLIKE or more unlike makers.
 4. Confidence: the exact cosine of the two records (mean over the views both have, in the space where
-   the sample's vectors are centred and equally wide) and the evidence apart from the doi are calibrated
-   by a logistic curve. Its labels don't come from the rerank: they are whether the dois of a pair are
-   the same, over a bounded sample of the candidates that have both (`calibrate` holds half of it out).
+   all vectors are centred and equally wide) and the evidence apart from the doi are calibrated by a
+   logistic curve. Its labels don't come from the rerank: they are whether the dois of a pair are the
+   same, over all pairs of few-pair keys that have both. `match_pairs` gives the pairs without it.
 
 Defined results: null and blank attributes give no view, no key and no evidence; records without
 any view are unmatched; repeated records are matched each; an empty side gives no rows; ids and
@@ -28,7 +29,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,14 +37,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, rows_bounded, spread
+from ..runtime import discard, materialize, rows_bounded, spread
 from .names import near_words
 
-#: Records of the fit sample, buckets of the token vocabulary, dimensions, evidence of a match, pairs
-#: of the calibration sample.
-SAMPLE, BUCKETS, DIM, EVIDENCE, CALIBRATE = 12_000, 1 << 15, 32, 2.4, 20_000
-#: Walks, their steps, and how far a token moves on the mean of a round; unlike makers of a stock heading, and the most headings that are sent.
+#: Buckets of the token vocabulary, dimensions, evidence of a match.
+BUCKETS, DIM, EVIDENCE = 1 << 15, 32, 2.4
+#: Walks of a part of the fit at least (each record starts as many as it takes, one or more), their steps, and how far a token moves on the mean of a batch; unlike makers of a stock heading, and the most headings that are sent.
 WALKS, STEPS, RATE, UNLIKE, SENT_HEADINGS = 60_000, 6, 0.3, 5, 1_000_000
+#: Batches of the walks of a part, and walks of one at least; records of a part of the fit at least (where there are so many), and parts at most.
+BATCHES, BATCH, PART_ROWS, PARTS = 64, 910, 60_000, 8
+#: Token vectors that are added up at once.
+SUMMED = 1 << 15
+#: Blocks in which the arrays of tasks are added up.
+BLOCKS, ARRAYS = 16, "block int, x binary"
 #: The views of the cosine: title, keywords, makers, doi.
 COSINE_VIEWS = (0, 2, 3, 4)
 #: Bits of a key: so many more than the logarithm of the records that chance meetings stay few at any
@@ -65,6 +71,8 @@ _DOI = re.compile(r"10\.\d{3,}/?[^\s;,]+")
 _ABOUT = re.compile(r"^(correction|corrigendum|erratum|errata|addendum|retraction|retracted|reply|response|comment|commentary|author correction|publisher correction|rejoinder)( to| on| for)?\b")
 _PART = re.compile(r"\bpart ([ivx]+|\d+)\b(?! of\b)")
 SCHEMA = "id long, side int, keys array<int>, bits binary, fact string"
+FACTS = "id long, side int, fact string"
+SCORES = ", cosine double, rest double, evidence double"
 
 
 def plain(s: str | None) -> str:
@@ -108,6 +116,12 @@ def _views(r: dict) -> tuple[str, ...]:
     return r["title"], r["title"][:HEAD], " ".join(r["words"]), " ".join([*r["makers"], r["source"]]) if r["makers"] else "", r["doi"]
 
 
+def _fact_views(s: str) -> tuple[str, ...]:
+    """The views of a record from its fact as it is written."""
+    title, doi, _, makers, source, words = s.split("\x1f")
+    return title, title[:HEAD], words, f"{makers} {source}" if makers else "", doi
+
+
 def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all character 4-grams of all texts, and the text of each. Vectorised over the batch."""
     raw = np.frombuffer("".join(f"^{t}$\0\0\0" for t in texts).encode("ascii"), np.uint8)
@@ -122,88 +136,166 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[ok].astype(np.int64), owner[:-3][ok]
 
 
+def token_counts(records: list[tuple[str, ...]]) -> np.ndarray:
+    """In how many of the records (as views) each token stands."""
+    keys = np.sort(np.concatenate([(o << 15 | t).astype(np.uint32) for t, o in (_tokens([r[v] for r in records]) for v in range(len(VIEWS) - 1))]))
+    return np.bincount(keys[np.r_[True, keys[1:] != keys[:-1]]] & (BUCKETS - 1), minlength=BUCKETS) if len(keys) else np.zeros(BUCKETS, np.int64)
+
+
+def _uniform(h: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of [0, 1) that hang on h and k alone, so that no division of the rows changes them."""
+    z = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ z >> np.uint64(31)) >> np.uint64(11)) * 2.0**-53
+
+
+def draws(records: list[tuple[str, ...]], h: np.ndarray, per: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """(walks, steps) tokens of `per` walks from each record, -1 where the attribute is empty, and a number of each walk; h: one of each record.
+    These stay at their record; `cross` lets them go on at others."""
+    tokens = [_tokens([r[v] for r in records]) for v in range(len(VIEWS) - 1)]
+    flat = np.concatenate([t for t, _ in tokens])
+    first = np.cumsum([0, *(len(t) for t, _ in tokens)])
+    ends = np.stack([first[v] + np.searchsorted(o, np.arange(len(records) + 1)) for v, (_, o) in enumerate(tokens)])
+    r = np.repeat(np.arange(len(records)), per)
+    h = np.repeat(h, per) ^ (np.tile(np.arange(per, dtype=np.uint64), len(records)) << np.uint64(40))
+    out = np.full((len(r), steps), -1, np.int16)
+    for s in range(steps):
+        v = (_uniform(h, 2 * s) * len(tokens)).astype(np.int64)
+        at, end = ends[v, r], ends[v, r + 1]
+        ok = end > at
+        out[ok, s] = flat[(at + (_uniform(h, 2 * s + 1) * (end - at)).astype(np.int64))[ok]]
+    return out, h
+
+
+def cross(walks: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The walks when, after each token, half of them change to another record that holds it: those at one token change
+    places, each going on where the next one was, so that as many are at every record as before."""
+    walks = walks.copy()
+    for i in range(walks.shape[1] - 1):
+        go = np.flatnonzero((walks[:, i] >= 0) & (_uniform(h, 100 + i) < 0.5))
+        if len(go):
+            go = go[np.lexsort((_uniform(h[go], 200 + i), walks[go, i]))]
+            first = np.flatnonzero(np.r_[True, walks[go[1:], i] != walks[go[:-1], i]])
+            to = np.roll(go, -1)
+            to[np.r_[first[1:], len(go)] - 1] = go[first]
+            walks[go, i + 1 :] = walks[to, i + 1 :]
+    return walks
+
+
+def _add(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds rows to those of total at `at`, which may repeat."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    total[at[first]] += np.add.reduceat(rows.take(order, 0), first, axis=0)
+
+
+def train(start: np.ndarray, df: np.ndarray, walks: np.ndarray, seed: int) -> np.ndarray:
+    """(BUCKETS, 1 + DIM): how often a token was met, and its way from start times that, by skip-gram with negative
+    sampling on walks in random order. Every batch moves a token by the mean of what its pairs ask for; there are about BATCHES
+    whatever the rows, so that vectors don't go the further the more there are."""
+    rng, vec, out = np.random.default_rng(seed), start.copy(), np.zeros_like(start)
+    noise = np.cumsum(df.astype(float) ** 0.75)
+    seen, size = np.zeros(BUCKETS), max(BATCH, -(-len(walks) // BATCHES))
+    for s in range(0, len(walks), size):
+        (move, n), (pull, np_), (push, nn) = ((np.zeros_like(vec), np.zeros(BUCKETS, np.int64)) for _ in range(3))
+        for c in range(s, min(s + size, len(walks)), BATCH):
+            w = walks[c : min(c + BATCH, s + size)].astype(np.int64)
+            x, y = np.r_[w[:, :-1].ravel(), w[:, :-2].ravel()], np.r_[w[:, 1:].ravel(), w[:, 2:].ravel()]
+            ok = (x >= 0) & (y >= 0) & (x != y)
+            x, y = x[ok], y[ok]
+            if not len(x):
+                continue
+            va, step = vec.take(x, 0), np.zeros((len(x), DIM), np.float32)
+            bad = np.minimum(np.searchsorted(noise, rng.random((3, len(x))) * noise[-1]), BUCKETS - 1)
+            for target, want, total, count in ((y, 1.0, pull, np_), *((k, 0.0, push, nn) for k in bad)):
+                o = out.take(target, 0)
+                g = (want - 1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", va, o), -30, 30))))[:, None].astype(np.float32)
+                step += g * o
+                _add(total, target, g * va)
+                count += np.bincount(target, minlength=BUCKETS)
+            _add(move, x, step)
+            n += np.bincount(x, minlength=BUCKETS)
+        share = lambda k: (RATE / np.maximum(k, 1))[:, None].astype(np.float32)
+        out += pull * share(np_) + 3 * push * share(nn)
+        vec += move * share(n)
+        seen += n
+    return np.c_[seen, (vec - start) * seen[:, None]]
+
+
 class Model:
-    """Token vectors and rarity weights, from walks over a sample of records."""
+    """Token vectors and rarity weights, from walks over records. Fitted here on records in memory; `fit_model` does the same over a table."""
 
     def __init__(self, records: list[tuple[str, ...]], bits: int = 20, seed: int = 5, walks: int = WALKS, steps: int = STEPS):
-        rng = np.random.default_rng(seed)
-        self.bits = bits
-        start = rng.standard_normal((BUCKETS, DIM)).astype(np.float32)
-        start /= np.linalg.norm(start, axis=1, keepdims=True)
         n = len(records)
-        per_view = [tuple(x.astype(np.int32) for x in _tokens([r[v] for r in records])) for v in range(len(VIEWS) - 1)]
-        tok = np.concatenate([t for t, _ in per_view] or [np.empty(0, np.int64)])
-        rec = np.concatenate([o for _, o in per_view] or [np.empty(0, np.int64)])
-        df = np.bincount(np.unique(tok.astype(np.int64) * max(1, n) + rec) // max(1, n), minlength=BUCKETS)
-        self.weight = np.log((n + 2) / (df + 1)).astype(np.float32)
-        self.weight = np.maximum(self.weight, 0.05)
-        # graph as attribute nodes: (record, view) owns its tokens
-        view = np.concatenate([np.full(len(t), v, np.int32) for v, (t, _) in enumerate(per_view)] or [np.empty(0, np.int64)])
-        node = rec * len(VIEWS) + view
-        order = np.argsort(node, kind="stable")
-        by_node, node_start = tok[order], np.searchsorted(node[order], np.arange(n * len(VIEWS) + 1))
-        del node, view, per_view
-        order = np.argsort(tok, kind="stable")
-        by_tok, tok_start = rec[order], np.searchsorted(tok[order], np.arange(BUCKETS + 1))
-        out = np.zeros((BUCKETS, DIM), np.float32)
-        vec = start.copy()
-        if n and len(tok) and walks:
-            r = rng.integers(0, n, walks)
-            seq = []
-            for _ in range(steps):
-                v = rng.integers(0, len(VIEWS) - 1, walks)
-                a, b = node_start[r * len(VIEWS) + v], node_start[r * len(VIEWS) + v + 1]
-                t = np.where(b > a, by_node[np.minimum(a + (rng.random(walks) * np.maximum(b - a, 1)).astype(np.int64), len(by_node) - 1)], -1)
-                seq.append(t)
-                a, b = tok_start[np.maximum(t, 0)], tok_start[np.maximum(t, 0) + 1]
-                nxt = by_tok[np.minimum(a + (rng.random(walks) * np.maximum(b - a, 1)).astype(np.int64), len(by_tok) - 1)]
-                # stay at the record or cross to another that holds the token
-                r = np.where((t >= 0) & (rng.random(walks) < 0.5), nxt, r)
-            seq = np.stack(seq, 1)
-            x = np.concatenate([seq[:, i] for i in range(steps - 1)] + [seq[:, i] for i in range(steps - 2)])
-            y = np.concatenate([seq[:, i + 1] for i in range(steps - 1)] + [seq[:, i + 2] for i in range(steps - 2)])
-            ok = (x >= 0) & (y >= 0) & (x != y)
-            x, y = x[ok], y[ok]
-            noise = np.cumsum(np.maximum(df, 0) ** 0.75)
-            order = rng.permutation(len(x))
-            for s in range(0, len(order), 8192):
-                i = order[s : s + 8192]
-                a, b = x[i], y[i]
-                bad = np.searchsorted(noise, rng.random((3, len(i))) * noise[-1])
-                va, step = vec[a], np.zeros((len(i), DIM), np.float32)
-                share = lambda t: (RATE / np.bincount(t, minlength=BUCKETS)[t])[:, None].astype(np.float32)
-                for target, want in ((b, 1.0), *((k, 0.0) for k in bad)):
-                    o = out[target]
-                    g = want - 1 / (1 + np.exp(-np.clip((va * o).sum(1), -30, 30)))
-                    step += g[:, None] * o
-                    np.add.at(out, target, g[:, None] * va * share(target))
-                np.add.at(vec, a, step * share(a))
+        self.begin(n, token_counts(records) if n else np.zeros(BUCKETS, np.int64), bits, seed)
+        if n and walks and self.df.any():
+            tokens, h = draws(records, np.random.default_rng(seed).integers(0, 1 << 63, n).astype(np.uint64), -(-walks // n), steps)
+            order = np.argsort(h)
+            self.move(train(self.start, self.df, cross(tokens[order], h[order]), seed))
+        self.widen(self.moments(records))
+
+    def begin(self, n: int, df: np.ndarray, bits: int, seed: int = 5) -> None:
+        """Random vectors, and the weights of tokens that stand in df of n records."""
+        self.bits, self.seed, self.df = bits, seed, df
+        start = np.random.default_rng(seed).standard_normal((BUCKETS, DIM)).astype(np.float32)
+        self.start = start / np.linalg.norm(start, axis=1, keepdims=True)
+        self.weight = np.maximum(np.log((n + 2) / (df + 1)).astype(np.float32), 0.05)
+        self.move(np.zeros((BUCKETS, 1 + DIM)))
+
+    def move(self, met: np.ndarray) -> None:
+        """Sets the vectors by what `train` gave, summed over the parts."""
+        vec = self.start + (met[:, 1:] / np.maximum(met[:, :1], 1)).astype(np.float32)
         self.vec = (vec / np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-9) * self.weight[:, None]).astype(np.float32)
-        # what all records of a view share would send them to one side of most planes: planes are drawn
-        # in the space where the sample's vectors are centred and equally wide in every direction
+
+    def moments(self, records: list[tuple[str, ...]]) -> np.ndarray:
+        """(views, 1 + DIM + DIM * DIM): number, sum and sum of products of the vectors of a view."""
+        out = np.zeros((len(VIEWS), 1 + DIM + DIM * DIM))
+        for v in range(len(VIEWS)):
+            x = self._units([r[v] for r in records if r[v]]).astype(np.float64)
+            out[v] = np.r_[len(x), x.sum(0), (x.T @ x).ravel()]
+        return out
+
+    def widen(self, moments: np.ndarray) -> None:
+        """What all records of a view share would send them to one side of most planes: planes are drawn in the space
+        where the vectors are centred and equally wide in every direction."""
+        rng = np.random.default_rng((self.seed, 1))
         self.mean, self.wide, self.planes = np.zeros((len(VIEWS), DIM), np.float32), [], []
         for v, tables in enumerate(TABLES):
-            x = self._units([r[v] for r in records if r[v]])
+            n, total, products = moments[v, 0], moments[v, 1 : 1 + DIM], moments[v, 1 + DIM :].reshape(DIM, DIM)
             wide = np.eye(DIM)
-            if len(x) > DIM:
-                self.mean[v] = x.mean(0)
-                values, axes = np.linalg.eigh(np.cov((x - self.mean[v]).T.astype(np.float64)) + 1e-5 * np.eye(DIM))
+            if n > DIM:
+                self.mean[v] = total / n
+                values, axes = np.linalg.eigh((products - np.outer(total, total) / n) / (n - 1) + 1e-5 * np.eye(DIM))
                 wide = axes / np.sqrt(values)
             self.wide.append(wide.astype(np.float32))
-            self.planes += [(wide @ rng.standard_normal((DIM, bits))).astype(np.float32) for _ in range(tables)]
+            self.planes += [(wide @ rng.standard_normal((DIM, self.bits))).astype(np.float32) for _ in range(tables)]
 
     def _units(self, texts: list[str]) -> np.ndarray:
         x = self.vectors(texts)
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
     def vectors(self, texts: list[str]) -> np.ndarray:
-        """One vector a text; zero where the text is empty."""
+        """One vector a text; zero where the text is empty. Texts of about the same length are added up together."""
         out = np.zeros((len(texts), DIM), np.float32)
         tok, own = _tokens(texts)
-        for s in range(0, len(tok), 16_384):
-            t, o = tok[s : s + 16_384], own[s : s + 16_384]
-            first = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
-            out[o[first]] += np.add.reduceat(self.vec[t], first, axis=0)
+        first = np.searchsorted(own, np.arange(len(texts) + 1))
+        n = np.diff(first)
+        order = np.argsort(n, kind="stable")
+        s = int(np.searchsorted(n[order], 1))
+        while s < len(order):
+            most = int(n[order[min(s + 128, len(order)) - 1]])
+            r = order[s : s + max(1, min(128, SUMMED // most))]
+            s += len(r)
+            if len(r) == 1:
+                for c in range(first[r[0]], first[r[0] + 1], SUMMED):
+                    out[r[0]] += self.vec.take(tok[c : min(c + SUMMED, first[r[0] + 1])], 0).sum(0)
+                continue
+            i = np.arange(n[r[-1]])
+            ok = (i < n[r][:, None]).astype(np.float32)
+            x = self.vec.take(tok[np.minimum(first[r][:, None] + i, len(tok) - 1)], 0)
+            out[r] = np.matmul(ok[:, None], x)[:, 0]
         return out
 
     def cosines(self, a: list[dict], b: list[dict]) -> np.ndarray:
@@ -242,20 +334,114 @@ def fields(df: DataFrame, id_col: str, side: int, title, doi, year, authors, sou
     return df.select(F.col(id_col).cast("long").alias("id"), F.lit(side).alias("side"), text(title).alias("title"), text(doi).alias("doi"), text(year).alias("year"), text(authors).alias("authors"), text(source).alias("source"), text(keywords).alias("keywords"))
 
 
-def _sign(records: DataFrame, model: Model) -> DataFrame:
-    sent = records.sparkSession.sparkContext.broadcast(model)
+def _facts(records: DataFrame) -> DataFrame:
+    """id, side and the cleaned attributes of each record in one text."""
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [features(*r) for r in zip(*(b.column(i).to_pylist() for i in range(2, 8)))]
+            facts = ["\x1f".join((r[0], r[1] or "", str(r[2] or ""), " ".join(r[3]), r[4], " ".join(r[5]))) for r in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(facts, pa.string())], ["id", "side", "fact"])
+
+    return records.mapInArrow(clean, FACTS)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A column of the bytes of each row."""
+    return pa.Array.from_buffers(pa.binary(rows.shape[1] * rows.itemsize), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+
+
+def _fixed(column: pa.Array, dtype, width: int) -> np.ndarray:
+    """The rows that `_binary` made a column of; a copy."""
+    fixed = column.cast(pa.binary(width * np.dtype(dtype).itemsize))
+    return np.frombuffer(fixed.buffers()[1], dtype).reshape(-1, width)[fixed.offset : fixed.offset + len(fixed)].copy()
+
+
+def _array_rows(x: np.ndarray) -> pa.RecordBatch:
+    """x as rows (block, bytes of doubles), for `_summed`."""
+    blocks = np.array_split(np.ravel(x).astype(np.float64), BLOCKS)
+    return pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "x"])
+
+
+def _summed(parts: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
+    """Sum of the arrays that the tasks of parts give as `_array_rows`. Each block is added up in one task; the driver gets one array."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1)):
+                total[k] = total.get(k, 0.0) + np.frombuffer(x.as_buffer(), np.float64)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "x"])
+
+    rows = parts.repartitionById(BLOCKS, "block").mapInArrow(add, ARRAYS).collect()
+    return np.concatenate([np.frombuffer(r.x, np.float64) for r in sorted(rows, key=lambda r: r.block)]).reshape(shape)
+
+
+def fit_model(facts: DataFrame, n: int, bits: int, walks: int = WALKS, steps: int = STEPS) -> Model:
+    """The model of all n records of facts: three passes, for rarity, walks, and centre and width. Only sums leave a task."""
+    sc, model = facts.sparkSession.sparkContext, Model.__new__(Model)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in _slices(batches):
+            total += token_counts([_fact_views(f) for f in b.column(0).to_pylist()])
+        yield _array_rows(total)
+
+    model.begin(n, _summed(facts.select("fact").mapInArrow(count, ARRAYS), (BUCKETS,)).astype(np.int64), bits)
+    parts = max(1, min(PARTS, n // PART_ROWS))
+    per = max(1, -(-walks * parts // n))
+    begun = sc.broadcast((model.start, model.df, model.seed))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            own = b.column(0).to_numpy().view(np.uint64)
+            tokens, h = draws([_fact_views(f) for f in b.column(1).to_pylist()], own, per, steps)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat((own % np.uint64(parts)).astype(np.int32), per)), pa.array(h.view(np.int64)), _binary(tokens)], ["part", "h", "walk"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), _fixed(b.column(2), np.int16, steps)) for b in batches if b.num_rows]
+        if held:
+            part, h, tokens = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            for p in np.unique(part):
+                at = part == p
+                yield _array_rows(train(begun.value[0], begun.value[1], cross(tokens[at], h[at]), begun.value[2] + int(p)))
+
+    rows = facts.select(F.xxhash64("id", "side", "fact").alias("h"), "fact").mapInArrow(walk, "part int, h long, walk binary")
+    if walks and model.df.any():
+        model.move(_summed(rows.repartitionById(parts, "part").sortWithinPartitions("part", "h", "walk").mapInArrow(learn, ARRAYS), (BUCKETS, 1 + DIM)))
+    begun.unpersist()
+    del model.start, model.df  # of no more use; the model is sent to all tasks
+    sent = sc.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(VIEWS), 1 + DIM + DIM * DIM))
+        for b in _slices(batches):
+            total += sent.value.moments([_fact_views(f) for f in b.column(0).to_pylist()])
+        yield _array_rows(total)
+
+    model.widen(_summed(facts.select("fact").mapInArrow(measure, ARRAYS), (len(VIEWS), 1 + DIM + DIM * DIM)))
+    sent.unpersist()
+    return model
+
+
+def _sign(facts: DataFrame, model: Model) -> DataFrame:
+    sent = facts.sparkSession.sparkContext.broadcast(model)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for big in batches:
-            for at in range(0, big.num_rows, 4096):
-                b = big.slice(at, 4096)
-                rows = [features(*r) for r in zip(*(b.column(i).to_pylist() for i in range(2, 8)))]
-                keys = model.keys([[r[6][v] for r in rows] for v in range(len(VIEWS))])
-                facts = ["\x1f".join((r[0], r[1] or "", str(r[2] or ""), " ".join(r[3]), r[4], " ".join(r[5]))) for r in rows]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(keys), pa.list_(pa.int32())), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(facts, pa.string())], ["id", "side", "keys", "bits", "fact"])
+        for b in _slices(batches):
+            views = [_fact_views(f) for f in b.column(2).to_pylist()]
+            keys = sent.value.keys([[r[v] for r in views] for v in range(len(VIEWS))])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], np.int32)), pa.array(keys.ravel())), _binary(keys), b.column(2)], ["id", "side", "keys", "bits", "fact"])
 
-    return records.mapInArrow(sign, SCHEMA)
+    return facts.mapInArrow(sign, SCHEMA)
 
 
 def _keyed(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -450,8 +636,14 @@ def _possible(x: list[dict], y: list[dict], u: np.ndarray, v: np.ndarray) -> Ite
     return zip(u.tolist(), v.tolist())
 
 
+def _scores(ids: tuple[list, list], x: list[dict], y: list[dict], e: list[float], model: Model | None, *more: list) -> pa.RecordBatch:
+    """Rows of pairs: their ids and, with a model, cosine, evidence apart from the doi and evidence."""
+    told = (model.cosines(x, y) if x else [], list(map(apart_from_doi, x, y)), e, *more) if model else ()
+    return pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in ids), *(pa.array(v, pa.float64()) for v in told)], ["a", "b", "cosine", "rest", "evidence", "same"][: 2 + len(told)])
+
+
 def _tiled(each: DataFrame, size: DataFrame, left_facts: DataFrame, right_facts: DataFrame, model) -> DataFrame:
-    """a, b, cosine, rest, evidence of all matches among the pairs that share a hot key, made and reranked tile by tile."""
+    """a, b (with a model also cosine, rest, evidence) of all matches among the pairs that share a hot key, made and reranked tile by tile."""
     hot = size.where("hot").select("key", F.ceil(F.col("n0") / TILE).cast("int").alias("m0"), F.ceil(F.col("n1") / TILE).cast("int").alias("m1"))
 
     def side(k: int, name: str, facts: DataFrame) -> DataFrame:
@@ -474,8 +666,7 @@ def _tiled(each: DataFrame, size: DataFrame, left_facts: DataFrame, right_facts:
                     if e >= EVIDENCE:
                         found.append((u, v, e))
             x, y = [facts[0][u] for u, _, _ in found], [facts[1][v] for _, v, _ in found]
-            columns = (model.value.cosines(x, y) if found else [], list(map(apart_from_doi, x, y)), [e for _, _, e in found])
-            return pa.RecordBatch.from_arrays([pa.array([ids[0][u] for u, _, _ in found], pa.int64()), pa.array([ids[1][v] for _, v, _ in found], pa.int64()), *(pa.array(v, pa.float64()) for v in columns)], ["a", "b", "cosine", "rest", "evidence"])
+            return _scores(([ids[0][u] for u, _, _ in found], [ids[1][v] for _, v, _ in found]), x, y, [e for _, _, e in found], model and model.value)
 
         rest: pa.Table | None = None  # the tile whose rows may go on in the next batch
         for b in batches:
@@ -489,7 +680,7 @@ def _tiled(each: DataFrame, size: DataFrame, left_facts: DataFrame, right_facts:
         if rest is not None and len(rest):
             yield tile(rest)
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(rerank, "a long, b long, cosine double, rest double, evidence double")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(rerank, "a long, b long" + (SCORES if model else ""))
 
 
 def _is_stock(a: str, heading: str) -> bool:
@@ -610,66 +801,93 @@ def stock_headings(signed: DataFrame) -> DataFrame:
 PRIOR = (4.0, 1.0, -4.0)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of P(same work | x) by Newton steps of length 1 at most, held towards PRIOR."""
+def _logistic(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weights of P(same work | x) by Newton steps of length 1 at most, held towards PRIOR. sums: gradient and curvature at weights."""
     w = prior = np.array(PRIOR)
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (y - p) - 0.5 * (w - prior)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w)), g)
+        g, h = sums(w)
+        step = np.linalg.solve(h + 0.5 * np.eye(len(w)), g - 0.5 * (w - prior))
         w = w + step / max(1.0, np.linalg.norm(step))
+        if np.linalg.norm(step) < 1e-9:
+            break
     return w
 
 
+def _array_sums(x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        return x.T @ (y - p), (x * (p * (1 - p))[:, None]).T @ x
+
+    return sums
+
+
+def _table_sums(known: DataFrame) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The sums over all rows of known (cosine, rest, same), a job for each call."""
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = (F.col("cosine"), F.col("rest"), F.lit(1.0))
+        z = sum((float(a) * b for a, b in zip(w[1:], x[1:])), float(w[0]) * x[0])
+        p = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
+        rows = known.select(*(v.alias(f"x{i}") for i, v in enumerate(x)), (F.col("same") - p).alias("d"), (p * (1 - p)).alias("q"))
+        pairs = [(i, j) for i in range(3) for j in range(3)]
+        r = rows.agg(*(F.coalesce(F.sum(F.col(f"x{i}") * F.col("d")), F.lit(0.0)) for i in range(3)), *(F.coalesce(F.sum(F.col(f"x{i}") * F.col(f"x{j}") * F.col("q")), F.lit(0.0)) for i, j in pairs)).first()
+        return np.array(r[:3]), np.array(r[3:]).reshape(3, 3)
+
+    return sums
+
+
 def calibrate(cosine: np.ndarray, rest: np.ndarray, same: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, float]:
     """(weights, mean squared error over the held-out half) of P(same dois | cosine, rest)."""
     x = np.stack([cosine, rest, np.ones_like(cosine)], 1)
-    w = _logistic(x[~held], same[~held]) if (~held).any() else np.array(PRIOR)
+    w = _logistic(_array_sums(x[~held], same[~held])) if (~held).any() else np.array(PRIOR)
     p = 1 / (1 + np.exp(-np.clip(x[held] @ w, -30, 30)))
     return w, float(((p - same[held]) ** 2).mean()) if held.any() else float("nan")
 
 
-def match_records(left: DataFrame, right: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def match_records(left: DataFrame, right: DataFrame) -> DataFrame:
     """a, b, cosine, evidence, confidence of every match of left and right (as `fields` gives them)."""
+    return _matched(left, right, True)
+
+
+def match_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """a, b of every match: those of match_records, without working out cosines and confidence."""
+    return _matched(left, right, False)
+
+
+def _matched(left: DataFrame, right: DataFrame, told: bool) -> DataFrame:
     spark: SparkSession = left.sparkSession
-    out = "a long, b long, cosine double, evidence double, confidence double"
     both = left.unionByName(right)
     n = left.count() + right.count()
     if not n:
-        return spark.createDataFrame([], out)
-    part = min(1_000_000, int(1_000_000 * sample / n) + 1)
-    got = both.where(F.pmod(F.xxhash64("id", "side"), F.lit(1_000_000)) < part).drop("id", "side").limit(2 * sample).collect()
+        return spark.createDataFrame([], "a long, b long" + (", cosine double, evidence double, confidence double" if told else ""))
     bits = min(MOST_BITS, DIM - 1, max(LEAST_BITS, n.bit_length() + MORE_BITS))
-    model = Model([features(*r)[6] for r in got], bits)
-    sent = spark.sparkContext.broadcast(model)
-    signed = materialize(_sign(spread(both), model), "signed")
+    facts = materialize(_facts(spread(both)), "facts")
+    model = fit_model(facts, n, bits)
+    signed = materialize(_sign(facts, model), "signed")
+    discard(facts)
+    sent = spark.sparkContext.broadcast(model) if told else None
     each, size = _keyed(signed)
     pairs = _candidates(each, size)
     headings = materialize(stock_headings(signed), "headings").withColumn("stock", F.lit("1"))
     marked = signed.withColumn("title", F.substring_index("fact", "\x1f", 1)).join(F.broadcast(headings) if rows_bounded(headings, SENT_HEADINGS) else headings, "title", "left").withColumn("fact", F.concat("fact", F.lit("\x1f"), F.coalesce("stock", F.lit(""))))
     left_facts, right_facts = (marked.where(F.col("side") == k).select(F.col("id").alias(n), F.col("bits").alias(f"b{n}"), F.col("fact").alias(f"f{n}")) for k, n in ((0, "a"), (1, "b")))
     wide = pairs.join(left_facts.drop("ba"), "a").join(right_facts.drop("bb"), "b").select("a", "b", "fa", "fb")
-    # the pairs of few-pair keys, counted with repeats, bound the sample of those with both dois
-    most = size.where("not hot").agg(F.sum(F.col("n0").cast("double") * F.col("n1"))).first()[0] or 1.0
-    share = min(1_000_000, int(1_000_000 * CALIBRATE / most) + 1)
-    wide = wide.withColumn("h", F.pmod(F.xxhash64("a", "b"), F.lit(1_000_000)))
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for at in range(0, big.num_rows, 4096):
-                b = big.slice(at, 4096)
-                x, y = ([_fact(f) for f in b.column(i).to_pylist()] for i in (2, 3))
-                e = [pair_evidence(u, v) for u, v in zip(x, y)]
-                label = [float(u["doi"] == v["doi"]) if h < share and u["doi"] and v["doi"] else None for u, v, h in zip(x, y, b.column(4).to_pylist())]
-                use = [i for i, v in enumerate(label) if v is not None or e[i] >= EVIDENCE]
-                x, y, take = [x[i] for i in use], [y[i] for i in use], pa.array(use, pa.int64())
-                columns = (sent.value.cosines(x, y) if use else [], [apart_from_doi(u, v) for u, v in zip(x, y)], [e[i] for i in use], [label[i] for i in use])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array(v, pa.float64()) for v in columns)], ["a", "b", "cosine", "rest", "evidence", "same"])
-
-    scored = materialize(wide.mapInArrow(rerank, "a long, b long, cosine double, rest double, evidence double, same double"), "scored")
-    known = scored.where("same is not null").select("cosine", "rest", "same", (F.pmod(F.xxhash64("b", "a"), F.lit(2)) == 0).alias("held")).limit(4 * CALIBRATE).toPandas()
-    w, _ = calibrate(*(known[c].to_numpy(float) for c in ("cosine", "rest", "same")), known["held"].to_numpy(bool))
-    logit = float(w[0]) * F.col("cosine") + float(w[1]) * F.col("rest") + float(w[2]) + (F.col("evidence") - F.col("rest"))
+        for b in _slices(batches):
+            x, y = ([_fact(f) for f in b.column(i).to_pylist()] for i in (2, 3))
+            e = [pair_evidence(u, v) for u, v in zip(x, y)]
+            label = [float(u["doi"] == v["doi"]) if told and u["doi"] and v["doi"] else None for u, v in zip(x, y)]
+            use = [i for i, v in enumerate(label) if v is not None or e[i] >= EVIDENCE]
+            ids = tuple(b.column(i).take(pa.array(use, pa.int64())) for i in (0, 1))
+            yield _scores(ids, [x[i] for i in use], [y[i] for i in use], [e[i] for i in use], sent and sent.value, [label[i] for i in use])
+
+    scored = materialize(wide.mapInArrow(rerank, "a long, b long" + (SCORES + ", same double" if told else "")), "scored")
+    tiled = _tiled(each, size, left_facts, right_facts, sent)
     # a pair of a tile may share a key of few pairs as well
-    matches = scored.where(F.col("evidence") >= EVIDENCE).drop("same").unionByName(_tiled(each, size, left_facts, right_facts, sent)).dropDuplicates(["a", "b"])
+    if not told:
+        return scored.unionByName(tiled).dropDuplicates(["a", "b"])
+    w = _logistic(_table_sums(scored.where("same is not null").select("cosine", "rest", "same")))
+    logit = float(w[0]) * F.col("cosine") + float(w[1]) * F.col("rest") + float(w[2]) + (F.col("evidence") - F.col("rest"))
+    matches = scored.where(F.col("evidence") >= EVIDENCE).drop("same").unionByName(tiled).dropDuplicates(["a", "b"])
     return matches.select("a", "b", "cosine", "evidence", F.round(1 / (1 + F.exp(-logit)), 6).alias("confidence"))

@@ -186,6 +186,60 @@ def test_vectors_come_from_the_walks():
     assert np.allclose(same(plain), 1, atol=1e-4) and np.median(same(trained)[np.unique(matching._tokens([w[0] for w in works])[0])]) < 0.9
 
 
+def _fact_rows(works):
+    """Facts as matching writes them, and the views of each."""
+    rows = [matching.features(w["title"], w["doi"], str(w["year"]), w["authors"], w["source"], w["kw"]) for w in works]
+    return ["\x1f".join((r[0], r[1] or "", str(r[2] or ""), " ".join(r[3]), r[4], " ".join(r[5]))) for r in rows], [r[6] for r in rows]
+
+
+def test_the_model_is_of_all_records(spark, monkeypatch):
+    """Beyond 12,000 records too, rarity, centre and width are those of every record."""
+    works = _works(7000, random.Random(12))
+    models, plain = [], matching._sign
+    monkeypatch.setattr(matching, "_sign", lambda rows, model: models.append(model) or plain(rows, model))
+    rows = spark.createDataFrame([(i, w["title"], w["doi"], str(w["year"]), w["authors"], w["source"], w["kw"]) for i, w in enumerate(works)], "k long, t string, d string, y string, au string, so string, kw string")
+    left, right = (matching.fields(x, "k", side, *(F.col(c) for c in ("t", "d", "y", "au", "so", "kw"))) for side, x in ((0, rows), (1, rows)))
+    assert {(r.a, r.b) for r in matching.match_records(left, right).collect()} >= {(i, i) for i in range(7000)}
+    views = _fact_rows(works)[1] * 2
+    want = np.zeros(matching.BUCKETS)
+    for v in views:
+        want[np.unique(matching._tokens(list(v[:4]))[0])] += 1
+    assert np.allclose(models[0].weight, np.maximum(np.log((len(views) + 2) / (want + 1)), 0.05), atol=1e-5)
+    for v in range(len(matching.VIEWS)):
+        assert np.allclose(models[0].mean[v], models[0]._units([r[v] for r in views]).mean(0), atol=1e-4)
+
+
+def test_every_record_walks_whatever_the_parts(spark, monkeypatch):
+    """Each record starts a walk; walks go on at records with the token; division of the rows into tasks doesn't change the model."""
+    facts, views = _fact_rows(_works(600, random.Random(5)))
+    h = np.arange(600, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    tokens, hashes = matching.draws(views, h, 2, 6)
+    assert tokens.shape == (1200, 6) and (tokens >= 0).all()
+    own = [set(matching._tokens(list(v[:4]))[0].tolist()) for v in views]
+    assert all(set(t) <= own[i // 2] for i, t in enumerate(tokens.tolist()))
+    crossed = matching.cross(tokens, hashes)
+    step = lambda x: sorted(zip(x[:, :-1].ravel().tolist(), x[:, 1:].ravel().tolist()))
+    assert (np.sort(crossed, 0) == np.sort(tokens, 0)).all() and step(crossed) == step(tokens) and (crossed != tokens).any(1).mean() > 0.5
+    monkeypatch.setattr(matching, "PART_ROWS", 300)
+    rows = spark.createDataFrame([(i, i % 2, f) for i, f in enumerate(facts)], matching.FACTS)
+    one, many = (matching.fit_model(rows.repartition(k), 600, 16, walks=20_000) for k in (1, 5))
+    assert np.allclose(one.vec, many.vec, atol=1e-5) and all(np.allclose(a, b, atol=1e-2) for a, b in zip(one.planes, many.planes))
+    still = matching.fit_model(rows, 600, 16, walks=0)
+    cosine = (one.vec * still.vec).sum(1) / (np.linalg.norm(one.vec, axis=1) * np.linalg.norm(still.vec, axis=1))
+    assert np.median(cosine[sorted(set().union(*own))]) < 0.95
+
+
+def test_confidence_is_of_all_pairs(spark):
+    """The curve over a table is that over all its rows in memory, none held out."""
+    rng = np.random.default_rng(7)
+    x = np.stack([rng.uniform(-0.2, 1, 3000), rng.uniform(-6, 7, 3000), np.ones(3000)], 1)
+    same = (rng.random(3000) < 1 / (1 + np.exp(-(6 * x[:, 0] + x[:, 1] - 5)))).astype(float)
+    known = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b, _), c in zip(x, same)], "cosine double, rest double, same double")
+    assert np.allclose(matching._logistic(matching._table_sums(known)), matching._logistic(matching._array_sums(x, same)), atol=1e-6)
+    assert np.allclose(matching._logistic(matching._table_sums(known.limit(0))), matching.PRIOR)
+    assert matching.match_pairs(*(matching.fields(known.limit(0).selectExpr("1 id", "'' s"), "id", k, *[F.col("s")] * 6) for k in (0, 1))).columns == ["a", "b"]
+
+
 def test_calibration_holds_on_held_out_pairs():
     rng = np.random.default_rng(1)
     cosine, rest = rng.uniform(-0.2, 1, 4000), rng.uniform(-6, 7, 4000)
